@@ -364,7 +364,13 @@ def vector_dim_check(spark, sf):
                       (F.size("embedding") == 64).alias("valid"))
 
 
+EXTENSIONS = ("quire.plans.catalog_search",)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import importlib
+    for mod in EXTENSIONS:
+        importlib.import_module(mod)
     out = {}
     for name, fn in QUERIES.items():
         out[name[:-2] if name.endswith("_q") else name] = fn

@@ -66,6 +66,7 @@ m0 AS (
     {san('hot6m_raw')} AS publicationHotScore6m,
     {san('pagerank_raw')} AS pageRank,
     citations_raw AS citationsCount,
+    0 AS voteScore,
     CASE WHEN pub_year IS NULL THEN DATE '0001-01-01'
          ELSE try_cast(printf('%04d-%02d-%02d', pub_year, coalesce(pub_month, 1), coalesce(pub_day, 1)) AS DATE)
     END AS publishedAt,
@@ -305,3 +306,13 @@ SELECT name, (lower(name) LIKE '.opensearch%' OR lower(name) LIKE '.security%' O
 
 ORACLES["vector_dim_check"] = """
 SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, len(embedding) = 64 AS valid FROM embeddings"""
+
+
+ORACLE_EXTENSIONS = ("quire.plans.oracles_search",)
+
+
+def all_oracles() -> dict[str, str]:
+    import importlib
+    for mod in ORACLE_EXTENSIONS:
+        importlib.import_module(mod)
+    return dict(ORACLES)

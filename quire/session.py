@@ -77,7 +77,11 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, *parts, uuid.uuid4().hex])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: lineage is cut, the data survives executor loss (never a
+    local checkpoint), and later stages get column pruning and real size
+    statistics for their join decisions."""
+    path = shared_path(df.sparkSession, "stages", name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
