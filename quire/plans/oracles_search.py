@@ -130,28 +130,44 @@ FROM ({base})"""
     if variant == "contextual":
         return (f"SELECT query_id, query, 0 AS \"from\", 10 AS size, CASE WHEN query_id % 2 = 1 THEN 'date' END AS r_sort, "
                 f"{nulls} FROM ({base})")
+    if variant == "vector":
+        return f"""SELECT q.query_id, q.query, CAST(e.embedding AS DOUBLE[]) AS vec, (q.query_id % 2) * 10 AS "from", 10 AS size,
+  ['latest', 'HOT', 'top'][q.query_id % 3 + 1] AS r_sort,
+  NULL::VARCHAR AS r_journal, NULL::DATE AS r_from_date, NULL::DATE AS r_to_date, NULL::VARCHAR AS r_topics,
+  NULL::VARCHAR AS r_author,
+  CASE WHEN q.query_id % 3 = 0 THEN TRUE WHEN q.query_id % 3 = 2 THEN FALSE END AS r_has_abstract
+FROM ({base}) q LEFT JOIN embeddings e ON e.vec_id = q.query_id"""
     if variant == "contextual_sorted":
         return (f"SELECT query_id, query, 0 AS \"from\", 10 AS size, "
                 f"['citationscount', 'votescore', 'pagerank', 'hotscore', 'zzz'][query_id % 5 + 1] AS r_sort, {nulls} FROM ({base})")
     raise ValueError(variant)
 
 
-def search_sql(variant: str, fields: dict, kw_fields: dict, fuzzy: bool, msm: float | None, sorts: dict,
-               default: str | None, select: str | None = None) -> str:
+def ranking_sql(scored_name: str, sorts: dict, default: str | None, score_first: bool = False,
+                select: str | None = None) -> str:
     sel = select or ("query_id, CAST(rank AS BIGINT) AS rank, id, score, CAST(total_hits AS BIGINT) AS total_hits "
                      "FROM ranked WHERE rank > \"from\" AND rank <= \"from\" + size")
-    return f"""WITH {MAPPED},
-r AS ({requests_sql(variant)}),
-{scored_ctes(fields, kw_fields, fuzzy, msm)},
-j AS (SELECT s.query_id, s.score, p.*, r."from", r.size, r.r_sort
-      FROM scored s JOIN papers p ON p.id = s.id JOIN r ON r.query_id = s.query_id WHERE {FILTER_SQL}),
+    order = f"{sort_key(sorts, default)} DESC, id"
+    if score_first:
+        order = "score DESC, " + order
+    return f"""j AS (SELECT s.query_id, s.score, p.*, r."from", r.size, r.r_sort,
+             r.r_journal, r.r_from_date, r.r_to_date, r.r_topics, r.r_author, r.r_has_abstract
+      FROM {scored_name} s JOIN papers p ON p.id = s.id JOIN r ON r.query_id = s.query_id WHERE {FILTER_SQL}),
 tot AS (SELECT query_id, count(*) AS total_hits FROM j GROUP BY query_id),
 ranked AS (SELECT j.*, tot.total_hits,
-                  row_number() OVER (PARTITION BY j.query_id ORDER BY {sort_key(sorts, default)} DESC, id) AS rank
+                  row_number() OVER (PARTITION BY j.query_id ORDER BY {order}) AS rank
            FROM j JOIN tot ON tot.query_id = j.query_id)
 SELECT {sel}"""
 
 
+def search_sql(variant: str, fields: dict, kw_fields: dict, fuzzy: bool, msm: float | None, sorts: dict,
+               default: str | None, select: str | None = None) -> str:
+    return f"""WITH {MAPPED},
+r AS ({requests_sql(variant)}),
+{scored_ctes(fields, kw_fields, fuzzy, msm)},
+{ranking_sql("scored", sorts, default, False, select)}"""
+
+
 SEARCH_FIELDS = {"title": 3.0, "abstract": 2.0, "journal": 1.0}
 KW = {"authors": 1.0}
 CONTEXTUAL = {"contextualContent": 3.0, "title": 2.0, "abstract": 1.0, "openSummary": 1.0}
