@@ -364,7 +364,7 @@ def vector_dim_check(spark, sf):
                       (F.size("embedding") == 64).alias("valid"))
 
 
-EXTENSIONS = ("quire.plans.catalog_search", "quire.plans.catalog_vector")
+EXTENSIONS = ("quire.plans.catalog_search", "quire.plans.catalog_vector", "quire.plans.catalog_sync")
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

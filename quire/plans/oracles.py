@@ -308,7 +308,7 @@ ORACLES["vector_dim_check"] = """
 SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, len(embedding) = 64 AS valid FROM embeddings"""
 
 
-ORACLE_EXTENSIONS = ("quire.plans.oracles_search", "quire.plans.oracles_vector")
+ORACLE_EXTENSIONS = ("quire.plans.oracles_search", "quire.plans.oracles_vector", "quire.plans.oracles_sync")
 
 
 def all_oracles() -> dict[str, str]:
