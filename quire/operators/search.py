@@ -70,8 +70,25 @@ def query_terms(requests: DataFrame) -> DataFrame:
 
 
 def expansions(qterms: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
-    """(field, qterm, term, weight) for the analysed fields of the request."""
-    fields = list(spec.fields)
+    """(field, qterm, term, weight) for the analysed fields of the request.
+
+    English sub-fields (``*.english``) see the query term's English form
+    (stop words dropped, stemmed) and expand it against their own vocabulary.
+    """
+    std = [f for f in spec.fields if not f.endswith(".english")]
+    eng = [f for f in spec.fields if f.endswith(".english")]
+    out = _expand(qterms, index, spec, std) if std else None
+    if eng:
+        from quire.functions.english import english_map
+        qmap = english_map(qterms.select(F.col("qterm").alias("term"))).select(F.col("term").alias("orig"), "eterm")
+        e = _expand(qmap.select(F.col("eterm").alias("qterm")).distinct(), index, spec, eng)
+        e = e.join(qmap.withColumnRenamed("eterm", "qterm"), "qterm").select(
+            "field", F.col("orig").alias("qterm"), "term", "weight")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def _expand(qterms: DataFrame, index: TextIndex, spec: TextQuery, fields: list[str]) -> DataFrame:
     ts = index.term_stats.where(F.col("field").isin(fields))
     if spec.fuzzy:
         exp = fuzzy_expansions(qterms.select("qterm"), ts, spec.max_expansions)

@@ -19,15 +19,26 @@ def paper_index(p: DataFrame, english: bool = False, materialize: bool = True):
     statistics, postings), so it is written once to the shared checkpoint
     folder instead of being recomputed from the sources each time."""
     extra = {"authors": F.transform(F.col("authors"), lambda a: a["name"])}
-    if english:
-        from quire.functions.english import english_tokens
-        extra["contextualContent.english"] = english_tokens(F.col("contextualContent"))
     idx = build_index(p, extra=extra)
+    if english:
+        idx = with_english(idx)
     if materialize:
         idx = TextIndex(cut_lineage(idx.postings), cut_lineage(idx.term_stats), cut_lineage(idx.field_stats))
     return idx
 
 
+def with_english(idx: TextIndex) -> TextIndex:
+    """Adds the contextualContent.english sub-field, derived from the postings."""
+    from quire.functions.english import english_postings
+    from quire.operators.index import build_term_stats
+    eng = english_postings(idx.postings)
+    postings = idx.postings.unionByName(eng)
+    per_doc = eng.select("id", "dl").distinct()
+    fstat = per_doc.agg(F.lit("contextualContent.english").alias("field"), F.count(F.lit(1)).alias("n_docs"),
+                        F.avg("dl").alias("avgdl"))
+    return TextIndex(postings, build_term_stats(postings), idx.field_stats.unionByName(fstat))
+
+
 def search_requests(spark, sf, variant: str = "plain") -> DataFrame:
     """Search requests over the benchmark items; parameters vary by item id."""
     q = text_queries(spark, sf)
@@ -49,6 +60,9 @@ def search_requests(spark, sf, variant: str = "plain") -> DataFrame:
     elif variant == "contextual":
         out = out.select("query_id", "query", "from", "size",
                          F.when(qid % 2 == 1, F.lit("date")).alias("sort"))
+    elif variant in ("compare", "analyze"):
+        out = out.select("query_id", "query", "from", F.lit(10 if variant == "compare" else 20).alias("size"),
+                         F.lit("latest").alias("sort"))
     elif variant == "contextual_sorted":
         sorts = F.array(*[F.lit(s) for s in ("citationscount", "votescore", "pagerank", "hotscore", "zzz")])
         out = out.select("query_id", "query", "from", "size", F.get(sorts, (qid % 5).cast("int")).alias("sort"))
@@ -138,3 +152,63 @@ def search_contextual(spark, sf):
 @query
 def contextual_sorted(spark, sf):
     return _hits(contextual(spark, sf, "contextual_sorted"))
+
+
+@query
+def analyze_english(spark, sf):
+    """English form of every contextualContent term (vocabulary-level stemming)."""
+    from quire.functions.english import english_map
+    idx = paper_index(papers(spark, sf), materialize=False)
+    vocab = idx.term_stats.where(F.col("field") == "contextualContent").select("term")
+    return english_map(vocab).select("term", "eterm")
+
+
+@query
+def search_contextual_english(spark, sf):
+    """Contextual search with the English sub-field leg (rows-only check)."""
+    return _hits(contextual(spark, sf, "contextual", english=True))
+
+
+def _both_ranks(spark, sf, variant):
+    p = cut_lineage(papers(spark, sf))
+    idx = paper_index(p)
+    req = search_requests(spark, sf, variant)
+    spec = S.TextQuery(CONTEXTUAL_NO_ENGLISH, fuzzy=True, min_should_match=0.75)
+    a = S.search(p, idx, req, spec, sorts=S.CONTEXTUAL_SORTS).select(
+        "query_id", "id", F.col("rank").cast("long").alias("contextual_rank"))
+    b = S.search(p, idx, req).select("query_id", "id", F.col("rank").cast("long").alias("search_rank"))
+    return a.join(b, ["query_id", "id"], "full")
+
+
+@query
+def compare_search(spark, sf):
+    """Contextual vs field search side by side (both sorted by latest)."""
+    return _both_ranks(spark, sf, "compare")
+
+
+@query
+def analyze_search(spark, sf):
+    """Per query: overlap@20, Jaccard@20 and mean rank shift of the common hits."""
+    j = _both_ranks(spark, sf, "analyze")
+    both = F.col("contextual_rank").isNotNull() & F.col("search_rank").isNotNull()
+    g = j.groupBy("query_id").agg(
+        F.count("contextual_rank").alias("n_contextual"), F.count("search_rank").alias("n_search"),
+        F.sum(F.when(both, 1).otherwise(0)).cast("long").alias("overlap"),
+        F.avg(F.when(both, F.abs(F.col("contextual_rank") - F.col("search_rank")))).alias("shift"))
+    return g.select("query_id", "n_contextual", "n_search", "overlap",
+                    F.round(F.col("overlap") / (F.col("n_contextual") + F.col("n_search") - F.col("overlap")), 6).alias("jaccard"),
+                    F.round("shift", 6).alias("mean_rank_shift"))
+
+
+@query
+def highlight(spark, sf):
+    """Highlighted fragments for the first page of each contextual search."""
+    from quire.operators.highlight import highlight as hl
+    p = cut_lineage(papers(spark, sf))
+    idx = paper_index(p)
+    req = search_requests(spark, sf, "contextual")
+    spec = S.TextQuery(CONTEXTUAL_NO_ENGLISH, fuzzy=True, min_should_match=0.75)
+    page = S.search(p, idx, req, spec, sorts=S.CONTEXTUAL_SORTS)
+    out = hl(page.select("query_id", "id", "rank"), p, req, idx, spec)
+    return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "field",
+                      F.array_join("fragments", " ... ").alias("fragments"))

@@ -137,6 +137,9 @@ FROM ({base})"""
   NULL::VARCHAR AS r_author,
   CASE WHEN q.query_id % 3 = 0 THEN TRUE WHEN q.query_id % 3 = 2 THEN FALSE END AS r_has_abstract
 FROM ({base}) q LEFT JOIN embeddings e ON e.vec_id = q.query_id"""
+    if variant in ("compare", "analyze"):
+        size = 10 if variant == "compare" else 20
+        return f"SELECT query_id, query, 0 AS \"from\", {size} AS size, 'latest' AS r_sort, {nulls} FROM ({base})"
     if variant == "contextual_sorted":
         return (f"SELECT query_id, query, 0 AS \"from\", 10 AS size, "
                 f"['citationscount', 'votescore', 'pagerank', 'hotscore', 'zzz'][query_id % 5 + 1] AS r_sort, {nulls} FROM ({base})")
@@ -206,3 +209,24 @@ ORACLES["total_hits"] = search_sql("filtered", SEARCH_FIELDS, KW, True, None, SE
                                           "WHERE rank > \"from\" AND rank <= \"from\" + size")
 ORACLES["search_contextual"] = search_sql("contextual", CONTEXTUAL, {}, True, 0.75, CONTEXTUAL_SORTS, None)
 ORACLES["contextual_sorted"] = search_sql("contextual_sorted", CONTEXTUAL, {}, True, 0.75, CONTEXTUAL_SORTS, None)
+
+
+
+def _pair_sql(variant: str) -> str:
+    a = search_sql(variant, CONTEXTUAL, {}, True, 0.75, CONTEXTUAL_SORTS, None)
+    b = search_sql(variant, SEARCH_FIELDS, KW, True, None, SEARCH_SORTS, None)
+    return f"""SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id,
+  a.rank AS contextual_rank, b.rank AS search_rank
+FROM ({a}) a FULL OUTER JOIN ({b}) b ON a.query_id = b.query_id AND a.id = b.id"""
+
+
+ORACLES["compare_search"] = _pair_sql("compare")
+ORACLES["analyze_search"] = f"""SELECT query_id, CAST(count(contextual_rank) AS BIGINT) AS n_contextual,
+  CAST(count(search_rank) AS BIGINT) AS n_search,
+  CAST(count(*) FILTER (WHERE contextual_rank IS NOT NULL AND search_rank IS NOT NULL) AS BIGINT) AS overlap,
+  round(count(*) FILTER (WHERE contextual_rank IS NOT NULL AND search_rank IS NOT NULL)
+        / (count(contextual_rank) + count(search_rank)
+           - count(*) FILTER (WHERE contextual_rank IS NOT NULL AND search_rank IS NOT NULL)), 6) AS jaccard,
+  round(avg(CASE WHEN contextual_rank IS NOT NULL AND search_rank IS NOT NULL
+                 THEN abs(contextual_rank - search_rank) END), 6) AS mean_rank_shift
+FROM ({_pair_sql("analyze")}) GROUP BY query_id"""
