@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions._ship import ship_by_value
+from quire.session import checked_broadcast
 
 ship_by_value(__name__)
 
@@ -79,20 +80,60 @@ def _dl_batch(a: pd.Series, b: pd.Series) -> pd.Series:
 dl_distance = F.pandas_udf(_dl_batch, T.IntegerType()).asNondeterministic()
 
 
-def fuzzy_candidates(qterms: DataFrame, vocab: DataFrame) -> DataFrame:
+def variant_rows(df: DataFrame, col: str, depth: Column) -> DataFrame:
+    """Rows (col, variant, dv) for 0..depth deletions (depth <= 2), built with
+    explode over positions (code-generated), not nested lambda functions.
+    Deletion pairs are enumerated once each (i <= j on the shortened string);
+    repeated letters can still yield repeated variants, which the candidate
+    de-duplication absorbs."""
+    base = df.select(F.col(col), depth.alias("_depth"), F.length(col).alias("_n"))
+    d0 = base.select(col, F.col(col).alias("variant"), F.lit(0).alias("dv"))
+    one = base.where((F.col("_depth") >= 1) & (F.col("_n") >= 1)).select(
+        col, "_depth", "_n", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    one = one.select(col, "_depth", "_n", "_i",
+                     F.concat(F.expr(f"substr(`{col}`, 1, _i - 1)"), F.expr(f"substr(`{col}`, _i + 1)")).alias("variant"))
+    d1 = one.select(col, "variant", F.lit(1).alias("dv"))
+    two = one.where((F.col("_depth") >= 2) & (F.col("_n") >= 2)).select(
+        col, "variant", F.explode(F.sequence(F.col("_i"), F.col("_n") - 1)).alias("_j"))
+    d2 = two.select(col, F.concat(F.expr("substr(variant, 1, _j - 1)"), F.expr("substr(variant, _j + 1)")).alias("variant"),
+                    F.lit(2).alias("dv"))
+    return d0.unionByName(d1).unionByName(d2)
+
+
+def vocabulary_variants(vocab: DataFrame) -> DataFrame:
+    """(term, variant, dv): deletion variants of each distinct term with their
+    depth. Depth 2 only for terms of 4+ characters (a 2-edit query term has
+    6+ characters, so shorter vocabulary terms can only need one deletion).
+    This is the index-sized side; it can be stored next to the postings."""
+    # each term fans out to dozens of variants: spread the (small) distinct
+    # vocabulary over all cores first so the fan-out is not one task
+    par = vocab.sparkSession.sparkContext.defaultParallelism
+    t = vocab.select("term").distinct().repartition(par)
+    depth = F.when(F.length("term") >= 4, F.lit(2)).otherwise(F.lit(1))
+    return variant_rows(t, "term", depth)
+
+
+def fuzzy_candidates(qterms: DataFrame, vocab: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """(qterm, term, distance) for every vocabulary term within AUTO edits.
 
-    ``qterms`` has ``qterm``; ``vocab`` has ``term``. The query side is
-    small; the vocabulary side's variants are the index-sized part.
+    ``qterms`` has ``qterm``; ``vocab`` has ``term``. A pair qualifies for
+    the exact check only if both strings reach a shared variant with at most
+    k deletions each, and native Levenshtein rules out pairs with Lev > 2k
+    (DL >= Lev / 2); the rest are measured by the Damerau-Levenshtein UDF,
+    evaluated once per distinct pair.
     """
     q = qterms.select("qterm").distinct().withColumn("k", auto_edits(F.length("qterm")))
-    qv = q.select("qterm", "k", F.explode(deletion_variants(F.col("qterm"), F.col("k"))).alias("variant"))
-    vv = vocab.select("term").distinct().select("term", F.explode(deletion_variants(F.col("term"), 2)).alias("variant"))
-    cand = qv.join(vv, "variant").select("qterm", "k", "term").distinct()
-    # cheap necessary condition before the exact check
-    cand = cand.where(F.abs(F.length("qterm") - F.length("term")) <= F.col("k"))
-    scored = cand.withColumn("distance", dl_distance("qterm", "term"))
-    return scored.where(F.col("distance") <= F.col("k")).select("qterm", "term", "distance")
+    qv = checked_broadcast(variant_rows(q, "qterm", F.col("k")).select("qterm", "variant").join(q, "qterm"),
+                           name="query_variants")
+    vv = variants if variants is not None else vocabulary_variants(vocab)
+    cand = (qv.join(vv, "variant").where(F.col("dv") <= F.col("k"))
+            .select("qterm", "k", "term").distinct()
+            .where(F.levenshtein("qterm", "term") <= 2 * F.col("k")))  # DL >= Lev / 2
+    # spread the Python check over all cores: AQE would otherwise coalesce the
+    # small post-shuffle input into one task and one Python worker
+    par = cand.sparkSession.sparkContext.defaultParallelism
+    checked = cand.repartition(par, "qterm", "term").withColumn("distance", dl_distance("qterm", "term"))
+    return checked.where(F.col("distance") <= F.col("k")).select("qterm", "term", "distance")
 
 
 def fuzzy_expansions(qterms: DataFrame, term_stats: DataFrame, max_expansions: int = 50) -> DataFrame:

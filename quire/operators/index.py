@@ -78,3 +78,19 @@ def write_index(index: TextIndex, path: str, buckets: int = 64) -> None:
 def read_index(spark, path: str) -> TextIndex:
     return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_stats"),
                      spark.read.parquet(f"{path}/field_stats"))
+
+
+def stats_from_postings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """term_stats and field_stats recomputed from (stored) postings alone."""
+    per_doc = postings.groupBy("field", "id").agg(F.first("dl").alias("dl"))
+    field_stats = per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return build_term_stats(postings), field_stats
+
+
+def materialize_index(index: TextIndex, name: str = "index") -> TextIndex:
+    """Write the postings once (shared checkpoint folder), then derive and
+    write the two statistics tables from the stored postings."""
+    from quire.session import cut_lineage
+    postings = cut_lineage(index.postings, f"{name}_postings")
+    term_stats, field_stats = stats_from_postings(postings)
+    return TextIndex(postings, cut_lineage(term_stats, f"{name}_term_stats"), cut_lineage(field_stats, f"{name}_field_stats"))

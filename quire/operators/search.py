@@ -25,12 +25,11 @@ from pyspark.sql import functions as F
 from quire.functions.fuzzy import fuzzy_expansions
 from quire.functions.text import tokens
 from quire.operators.index import TextIndex
-from quire.session import cut_lineage
+from quire.session import MAX_BROADCAST_ROWS, checked_broadcast, cut_lineage
 
 # BM25 parameters.
 K1 = 1.2
 B = 0.75
-MAX_BROADCAST_ROWS = 2_000_000
 
 # Field boosts of each request type.
 SEARCH_FIELDS = {"title": 3.0, "abstract": 2.0, "journal": 1.0}
@@ -55,14 +54,6 @@ class TextQuery:
     max_expansions: int = 50
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialise a request-derived table once (reliable checkpoint) and
-    broadcast it only when its measured row count is within the bound;
-    otherwise leave the join to a shuffle (AQE splits skewed partitions)."""
-    frozen = cut_lineage(df)
-    return F.broadcast(frozen) if frozen.count() <= max_rows else frozen
-
-
 def query_terms(requests: DataFrame) -> DataFrame:
     """(query_id, qterm) distinct analysed terms, and nq per request."""
     toks = requests.select("query_id", F.array_distinct(tokens("query")).alias("qts"))

@@ -8,22 +8,30 @@ from pyspark.sql import functions as F
 from quire.functions.fuzzy import fuzzy_candidates
 from quire.functions.text import tokens
 from quire.operators import search as S
-from quire.operators.index import TextIndex, build_index, field_tokens
+from quire.operators.index import TextIndex, build_index, field_tokens, materialize_index
 from quire.session import cut_lineage
 from quire.plans.catalog import query
 from quire.plans.common import papers, text_queries
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
 def paper_index(p: DataFrame, english: bool = False, materialize: bool = True):
     """Index of the papers table. A search job reads it several times (term
     statistics, postings), so it is written once to the shared checkpoint
-    folder instead of being recomputed from the sources each time."""
+    folder; within a session the index of the same published snapshot is
+    built once and reused, as a stored index would be."""
+    key = (tuple(sorted(p.inputFiles())), english) if materialize else None
+    if key is not None and key in _INDEXES:
+        return _INDEXES[key]
     extra = {"authors": F.transform(F.col("authors"), lambda a: a["name"])}
     idx = build_index(p, extra=extra)
     if english:
         idx = with_english(idx)
     if materialize:
-        idx = TextIndex(cut_lineage(idx.postings), cut_lineage(idx.term_stats), cut_lineage(idx.field_stats))
+        idx = materialize_index(idx)
+        _INDEXES[key] = idx
     return idx
 
 
@@ -109,7 +117,7 @@ def fuzzy_terms(spark, sf):
 
 
 def _search(spark, sf, variant="plain"):
-    p = cut_lineage(papers(spark, sf))
+    p = papers(spark, sf)
     return S.search(p, paper_index(p), search_requests(spark, sf, variant))
 
 
@@ -137,7 +145,7 @@ CONTEXTUAL_NO_ENGLISH = {k: v for k, v in S.CONTEXTUAL_FIELDS.items() if k != "c
 
 
 def contextual(spark, sf, variant, english=False):
-    p = cut_lineage(papers(spark, sf))
+    p = papers(spark, sf)
     fields = S.CONTEXTUAL_FIELDS if english else CONTEXTUAL_NO_ENGLISH
     spec = S.TextQuery(fields, fuzzy=True, min_should_match=0.75)
     return S.search(p, paper_index(p, english), search_requests(spark, sf, variant), spec,
@@ -170,7 +178,7 @@ def search_contextual_english(spark, sf):
 
 
 def _both_ranks(spark, sf, variant):
-    p = cut_lineage(papers(spark, sf))
+    p = papers(spark, sf)
     idx = paper_index(p)
     req = search_requests(spark, sf, variant)
     spec = S.TextQuery(CONTEXTUAL_NO_ENGLISH, fuzzy=True, min_should_match=0.75)
@@ -204,7 +212,7 @@ def analyze_search(spark, sf):
 def highlight(spark, sf):
     """Highlighted fragments for the first page of each contextual search."""
     from quire.operators.highlight import highlight as hl
-    p = cut_lineage(papers(spark, sf))
+    p = papers(spark, sf)
     idx = paper_index(p)
     req = search_requests(spark, sf, "contextual")
     spec = S.TextQuery(CONTEXTUAL_NO_ENGLISH, fuzzy=True, min_should_match=0.75)

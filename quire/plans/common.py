@@ -19,8 +19,28 @@ def papers_and_rejects(spark: SparkSession, sf_dir: str, with_vectors: bool = Tr
     return map_papers(stats, cr, vectors, dim=TEST_DIM)
 
 
+_PUBLISHED: dict[tuple, str] = {}
+
+
 def papers(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> DataFrame:
-    return papers_and_rejects(spark, sf_dir, with_vectors)[0]
+    """The published ``papers`` snapshot of a source folder.
+
+    Like the sync job would, it is built once per session from the driver
+    tables and written to the shared checkpoint folder; every later plan in
+    the session reads that snapshot instead of re-running the ingest.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), with_vectors)
+    path = _PUBLISHED.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # snapshot folder cleaned up: rebuild
+            _PUBLISHED.pop(key, None)
+    from quire.session import shared_path
+    path = shared_path(spark, "published", "papers")
+    papers_and_rejects(spark, sf_dir, with_vectors)[0].write.mode("overwrite").parquet(path)
+    _PUBLISHED[key] = path
+    return spark.read.parquet(path)
 
 
 def mapped_all(spark: SparkSession, sf_dir: str) -> DataFrame:

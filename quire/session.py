@@ -36,6 +36,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # one machine, small files: let file scans split by core count instead
+        # of packing every small file into one task
+        .config("spark.sql.files.openCostInBytes", str(64 * 1024))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", str(256 * 1024))
     )
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)
@@ -85,3 +89,15 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = shared_path(df.sparkSession, "stages", name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, name: str = "broadcast_side"):
+    """Materialise a request-derived table once (shared folder) and mark it
+    for broadcast only when its measured row count is within the bound;
+    otherwise the join stays a shuffle join (AQE splits skewed partitions)."""
+    from pyspark.sql import functions as F
+    frozen = cut_lineage(df, name)
+    return F.broadcast(frozen) if frozen.count() <= max_rows else frozen
