@@ -112,7 +112,9 @@ def score_requests(requests: DataFrame, index: TextIndex, spec: TextQuery) -> Da
             .withColumn("boost", F.element_at(_boosts(spec), F.col("field")))
             .select("query_id", "nq", "field", "qterm", "term", "weight", "idf", "avgdl", "boost"))
     qexp = checked_broadcast(qexp)
-    hits = index.postings.join(qexp, ["field", "term"])
+    # One shuffle on (query_id, id): the three aggregations below group by
+    # supersets of it and then run in the same stage without re-shuffling.
+    hits = index.postings.join(qexp, ["field", "term"]).repartition("query_id", "id")
     tfn = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     s = F.col("weight") * F.col("idf") * tfn
     per_term = hits.groupBy("query_id", "field", "qterm", "id").agg(

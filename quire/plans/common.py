@@ -22,13 +22,16 @@ def papers_and_rejects(spark: SparkSession, sf_dir: str, with_vectors: bool = Tr
 _PUBLISHED: dict[tuple, str] = {}
 
 
-def papers(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> DataFrame:
-    """The published ``papers`` snapshot of a source folder.
+def papers(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
+    """The published ``papers`` snapshot of a source folder (with vectors).
 
     Like the sync job would, it is built once per session from the driver
     tables and written to the shared checkpoint folder; every later plan in
-    the session reads that snapshot instead of re-running the ingest.
+    the session reads that snapshot (and its one text index) instead of
+    re-running the ingest. Plans that do not touch ``embeddingVector`` never
+    read it (column pruning).
     """
+    with_vectors = True
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), with_vectors)
     path = _PUBLISHED.get(key)
     if path is not None:
