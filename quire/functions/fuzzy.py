@@ -42,8 +42,11 @@ def deletion_variants(term: Column, depth: Column | int) -> Column:
         F.when(d <= 0, v0).when(d == 1, F.concat(v0, one)).otherwise(F.concat(v0, one, two)))
 
 
-def damerau_levenshtein(a: str, b: str) -> int:
-    """Unrestricted Damerau-Levenshtein distance (Lowrance-Wagner)."""
+def damerau_levenshtein(a: str, b: str, limit: int | None = None) -> int:
+    """Unrestricted Damerau-Levenshtein distance (Lowrance-Wagner).
+
+    With ``limit``, returns ``limit + 1`` as soon as a whole DP row exceeds
+    it (row minima never decrease, transpositions included)."""
     la, lb = len(a), len(b)
     if la == 0 or lb == 0:
         return la + lb
@@ -58,21 +61,40 @@ def damerau_levenshtein(a: str, b: str) -> int:
         d[0][j + 1] = big
         d[1][j + 1] = j
     for i in range(1, la + 1):
+        ai = a[i - 1]
         last_match_col = 0
+        row, prev = d[i + 1], d[i]
+        row_min = big
         for j in range(1, lb + 1):
-            i1 = last_row.get(b[j - 1], 0)
+            bj = b[j - 1]
+            i1 = last_row.get(bj, 0)
             j1 = last_match_col
-            cost = 0 if a[i - 1] == b[j - 1] else 1
-            if cost == 0:
+            if ai == bj:
+                cost = 0
                 last_match_col = j
-            d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1,
-                                  d[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
-        last_row[a[i - 1]] = i
+            else:
+                cost = 1
+            v = prev[j] + cost
+            t = row[j] + 1
+            if t < v:
+                v = t
+            t = prev[j + 1] + 1
+            if t < v:
+                v = t
+            t = d[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1)
+            if t < v:
+                v = t
+            row[j + 1] = v
+            if v < row_min:
+                row_min = v
+        if limit is not None and row_min > limit:
+            return limit + 1
+        last_row[ai] = i
     return d[la + 1][lb + 1]
 
 
-def _dl_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([damerau_levenshtein(x, y) for x, y in zip(a, b)], dtype="int32")
+def _dl_batch(a: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([damerau_levenshtein(x, y, int(m)) for x, y, m in zip(a, b, k)], dtype="int32")
 
 
 # Marked non-deterministic only so the optimizer evaluates it once, after the
@@ -132,7 +154,7 @@ def fuzzy_candidates(qterms: DataFrame, vocab: DataFrame, variants: DataFrame |
     # spread the Python check over all cores: AQE would otherwise coalesce the
     # small post-shuffle input into one task and one Python worker
     par = cand.sparkSession.sparkContext.defaultParallelism
-    checked = cand.repartition(par, "qterm", "term").withColumn("distance", dl_distance("qterm", "term"))
+    checked = cand.repartition(par, "qterm", "term").withColumn("distance", dl_distance("qterm", "term", "k"))
     return checked.where(F.col("distance") <= F.col("k")).select("qterm", "term", "distance")
 
 

@@ -76,6 +76,12 @@ class PapersTable:
     def __init__(self, spark: SparkSession, base: str, key: str = "id", buckets: int = DEFAULT_BUCKETS):
         self.spark, self.base, self.key, self.buckets = spark, base.rstrip("/"), key, buckets
         self.fs = _FS(spark, self.base)
+        self._schema = None
+
+    def schema(self):
+        if self._schema is None:
+            self._schema = self.spark.read.parquet(f"{self.base}/_schema").schema
+        return self._schema
 
     # ------------------------------------------------------------ manifests
     def _commits(self) -> list[int]:
@@ -96,13 +102,14 @@ class PapersTable:
         if self.exists():
             return
         self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.base}/_schema")
+        self._schema = schema
         self.fs.write_new(f"{self.base}/_commits/{0:020d}.json",
                           json.dumps({"version": 0, "buckets": {}, "batch_id": None, "committed_at": time.time()}))
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         paths = [f"{self.base}/data/v={v}/bucket={b}" for b, v in sorted(m["buckets"].items(), key=lambda x: int(x[0]))]
-        schema = self.spark.read.parquet(f"{self.base}/_schema").schema
+        schema = self.schema()
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
@@ -119,7 +126,7 @@ class PapersTable:
             batch = batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", order_col)
         else:
             batch = batch.dropDuplicates([self.key])
-        schema = self.spark.read.parquet(f"{self.base}/_schema").schema
+        schema = self.schema()
         batch = batch.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
         staged = batch.withColumn("bucket", bucket_col(self.key, self.buckets))
         path = f"{self.base}/_staging/{int(time.time() * 1e6)}"
