@@ -28,6 +28,21 @@ class TextIndex:
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    stored: bool = False                 # tables live in the shared folder
+    variants: DataFrame | None = None    # fuzzy index: deletion variants of the vocabulary
+
+
+def fuzzy_variants(index: TextIndex) -> DataFrame:
+    """Deletion variants of the whole vocabulary. For a stored index they are
+    written once next to it and reused by every later fuzzy search."""
+    if index.variants is None:
+        from quire.functions.fuzzy import vocabulary_variants
+        v = vocabulary_variants(index.term_stats.select("term"))
+        if index.stored:
+            from quire.session import cut_lineage
+            v = cut_lineage(v, "fuzzy_variants")
+        index.variants = v
+    return index.variants
 
 
 def field_tokens(papers: DataFrame, fields=TEXT_FIELDS, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -93,4 +108,5 @@ def materialize_index(index: TextIndex, name: str = "index") -> TextIndex:
     from quire.session import cut_lineage
     postings = cut_lineage(index.postings, f"{name}_postings")
     term_stats, field_stats = stats_from_postings(postings)
-    return TextIndex(postings, cut_lineage(term_stats, f"{name}_term_stats"), cut_lineage(field_stats, f"{name}_field_stats"))
+    return TextIndex(postings, cut_lineage(term_stats, f"{name}_term_stats"),
+                     cut_lineage(field_stats, f"{name}_field_stats"), stored=True)

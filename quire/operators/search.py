@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.fuzzy import fuzzy_expansions
 from quire.functions.text import tokens
-from quire.operators.index import TextIndex
+from quire.operators.index import TextIndex, fuzzy_variants
 from quire.session import MAX_BROADCAST_ROWS, checked_broadcast, cut_lineage
 
 # BM25 parameters.
@@ -82,7 +82,7 @@ def expansions(qterms: DataFrame, index: TextIndex, spec: TextQuery) -> DataFram
 def _expand(qterms: DataFrame, index: TextIndex, spec: TextQuery, fields: list[str]) -> DataFrame:
     ts = index.term_stats.where(F.col("field").isin(fields))
     if spec.fuzzy:
-        exp = fuzzy_expansions(qterms.select("qterm"), ts, spec.max_expansions)
+        exp = fuzzy_expansions(qterms.select("qterm"), ts, spec.max_expansions, fuzzy_variants(index))
         w = F.lit(1.0) - F.col("distance") / F.least(F.length("qterm"), F.length("term"))
         return exp.select("field", "qterm", "term", w.alias("weight"))
     q = qterms.select("qterm").distinct()
