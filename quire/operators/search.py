@@ -180,7 +180,7 @@ REQUEST_FILTERS = [("journal", "string"), ("from_date", "date"), ("to_date", "da
 def search(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery | None = None,
            sorts: dict[str, str] = SEARCH_SORTS, default_sort: str | None = None, score_first: bool = False,
            with_total: bool = True, scored: DataFrame | None = None) -> DataFrame:
-    """Search requests -> hits (query_id, rank, id, score, total_hits, paper columns).
+    """Search requests -> hits (query_id, rank, id, score, total_hits, sort columns).
 
     ``requests`` columns: query_id, query, from, size and optional sort and
     filter columns journal, from_date, to_date, topics, author, has_abstract.
@@ -194,8 +194,13 @@ def search(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQ
     if scored is None:
         scored = score_requests(requests.select("query_id", "query"), index, spec)
     r = checked_broadcast(requests.select("query_id", "from", "size", *[F.col(c).alias(f"r_{c}") for c, _ in REQUEST_FILTERS]))
-    p = papers.drop("embeddingVector", "contextualContent")
-    joined = scored.join(p, "id").join(r, "query_id").where(request_filter())
+    keys = ["publicationHotScore", "pageRank", "publishedAt", "citationsCount", "voteScore"]
+    p = papers.select("id", *keys, "journal", "topics", "authors", "hasAbstract")
+    joined = scored.join(p, "id").join(r, "query_id").where(request_filter()).select(
+        "query_id", "id", "score", "from", "size", "r_sort", *keys)
+    # the filtered matches feed both the exact totals and the ranking:
+    # written once instead of scoring twice
+    joined = cut_lineage(joined, "search_matches")
     if with_total:
         totals = joined.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
         joined = joined.join(totals, "query_id")
