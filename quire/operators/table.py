@@ -129,6 +129,8 @@ class PapersTable:
         schema = self.schema()
         batch = batch.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
         staged = batch.withColumn("bucket", bucket_col(self.key, self.buckets))
+        if not m["buckets"]:
+            return self._first_load(staged, m, batch_id)
         path = f"{self.base}/_staging/{int(time.time() * 1e6)}"
         staged.write.mode("overwrite").parquet(path)  # the batch is read twice below
         staged = self.spark.read.parquet(path)
@@ -157,6 +159,20 @@ class PapersTable:
         self.fs.delete(path)
         return UpsertResult(version, True, tallies)
 
+    def _first_load(self, staged: DataFrame, m: dict, batch_id: int | None) -> UpsertResult:
+        """Empty table: every row is a create; write the buckets directly and
+        read the touched bucket list back from the written folders."""
+        version = m["version"] + 1
+        out = f"{self.base}/data/v={version}"
+        staged.write.mode("overwrite").partitionBy("bucket").parquet(out)
+        touched = [int(n.split("=", 1)[1]) for n in self.fs.list_names(out) if n.startswith("bucket=")]
+        created = self.spark.read.parquet(out).count() if touched else 0
+        tallies = self.spark.createDataFrame([("created", created)], "result string, n long")
+        self.fs.write_new(f"{self.base}/_commits/{version:020d}.json", json.dumps(
+            {"version": version, "buckets": {str(b): version for b in touched}, "batch_id": batch_id,
+             "committed_at": time.time()}))
+        return UpsertResult(version, True, tallies)
+
     def drop(self) -> bool:
         return drop_table(self.spark, self.base)
 
