@@ -147,7 +147,9 @@ class PapersTable:
             accounting = staged.select(self.key).withColumn("_old", F.lit(None).cast("boolean"))
         merged = staged if kept is None else kept.unionByName(staged)
         version = m["version"] + 1
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/data/v={version}")
+        # one task (one file) per bucket: ids hash uniformly, so buckets are even
+        (merged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{self.base}/data/v={version}"))
         tallies = accounting.select(F.when(F.col("_old"), F.lit("updated")).otherwise(F.lit("created")).alias("result")) \
             .groupBy("result").agg(F.count(F.lit(1)).alias("n"))
         tallies = self.spark.createDataFrame(tallies.collect(), "result string, n long")  # at most two rows
@@ -164,7 +166,7 @@ class PapersTable:
         read the touched bucket list back from the written folders."""
         version = m["version"] + 1
         out = f"{self.base}/data/v={version}"
-        staged.write.mode("overwrite").partitionBy("bucket").parquet(out)
+        staged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
         touched = [int(n.split("=", 1)[1]) for n in self.fs.list_names(out) if n.startswith("bucket=")]
         created = self.spark.read.parquet(out).count() if touched else 0
         tallies = self.spark.createDataFrame([("created", created)], "result string, n long")
