@@ -250,6 +250,12 @@ def filter_journal(spark, sf):
     return flat_paper(papers(spark, sf).where(flt.journal_is("Journal of src3")))
 
 
+@query
+def filter_journal_term(spark, sf):
+    """Compatibility mode: the value must equal one analysed token of the journal."""
+    return flat_paper(papers(spark, sf).where(flt.journal_is("src3", mode="term")))
+
+
 @query
 def filter_dates(spark, sf):
     return flat_paper(papers(spark, sf).where(flt.date_between("2000-01-01", "2010-06-30")))

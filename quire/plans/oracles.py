@@ -230,6 +230,8 @@ ORACLES["topic_inner_hits"] = topic_sql(
             f"{topic_score('neural networks', 'ttop')} AS topScore, {topic_score('neural networks', 'thot')} AS hotScore"))
 
 ORACLES["filter_journal"] = with_papers(f"SELECT {FLAT} FROM papers WHERE journal = 'Journal of src3'")
+ORACLES["filter_journal_term"] = with_papers(
+    f"SELECT {FLAT} FROM papers WHERE list_contains({tokens_sql('journal')}, 'src3')")
 ORACLES["filter_dates"] = with_papers(
     f"SELECT {FLAT} FROM papers WHERE publishedAt >= DATE '2000-01-01' AND publishedAt <= DATE '2010-06-30'")
 ORACLES["filter_topics"] = with_papers(f"SELECT {FLAT} FROM papers WHERE {topic_match('ensemble')} OR {topic_match('data mining')}")
