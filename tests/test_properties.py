@@ -48,3 +48,15 @@ def test_search_has_no_row_at_a_time_python(spark):
 def test_stream_restart_reprocesses_nothing(spark):
     out = registry()["stream_resume"](spark, SF001)
     assert out.count() > 0
+
+
+def test_ivf_probing_every_cell_equals_exact(spark):
+    from quire.operators import vector as V
+    emb = read_table(spark, SF001, "embeddings").select(F.col("vec_id").cast("string").alias("id"),
+                                                        F.col("embedding").alias("vec"))
+    qs = emb.limit(3).select(F.col("id").alias("query_id"), "vec")
+    model = V.ivf_train(emb, 64, n_cells=4)
+    approx = V.ivf_search(emb, qs, 5, 64, nprobe=4, model=model)
+    exact = V.knn_exact(emb, qs, 5, 64)
+    rec = [r.recall for r in V.recall_at_k(approx, exact).collect()]
+    assert rec and all(x == 1.0 for x in rec)
