@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.bpe import bpe_round_trip
 from quire.llm.common import apply_llm_conf, table
 from quire.llm.simhash import simhash_near_duplicates
 
@@ -17,7 +18,16 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = [op2_simhash_near_dedup]
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: every whole text by the multi-language 50k ranks."""
+    import public_tokenizers
+
+    found = bpe_round_trip(table(spark, sf_dir, "documents"), "doc_id", "text",
+                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES = [op2_simhash_near_dedup, op3_byte_bpe]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
