@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bpe import bpe_round_trip
 from quire.llm.common import apply_llm_conf, table
+from quire.llm.quality import classify_quality
 from quire.llm.simhash import simhash_near_duplicates
 
 
@@ -27,7 +28,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = [op2_simhash_near_dedup, op3_byte_bpe]
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade (0 poor, 1 toxic, 2 good) and selection of every document."""
+    scored = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    score = F.col("quality_score")
+    return scored.select("doc_id", score["expected_grade"].alias("expected_grade"), score["tails"][0].alias("p_not_poor"),
+                         score["tails"][1].alias("p_good"), score["keep"].alias("keep"))
+
+
+QUERIES = [op2_simhash_near_dedup, op3_byte_bpe, op7_quality_classifier]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
