@@ -2,7 +2,36 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_source_mixing": r"""
+        WITH rated AS (
+            SELECT doc_id, 0.25::DOUBLE + 0.75::DOUBLE * avg(quality) AS weight
+            FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+        docs AS (
+            SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                   -ln((('0x' || substr(md5('42:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5)
+                       / 281474976710656.0::DOUBLE) / greatest(coalesce(r.weight, 0.5::DOUBLE), 1e-9::DOUBLE) AS key
+            FROM documents d LEFT JOIN rated r USING (doc_id)),
+        sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+        placed AS (
+            SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS place, sum(source_size) OVER () AS total FROM sources),
+        weighed AS (
+            SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+                   3 * source_size AS cap FROM placed),
+        levels AS (
+            SELECT *, (total - coalesce(sum(cap) OVER w, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS own
+            FROM weighed WINDOW w AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        targets AS (SELECT source, source_size, least(cap::DOUBLE, max(own) OVER () * weight) AS target FROM levels),
+        rests AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
+        summed AS (
+            SELECT d.*, r.source_size, r.target, r.epochs, round(r.target - r.epochs * r.source_size)::BIGINT AS rest,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
+            FROM docs d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, size, source_size, target,
+               (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+        FROM summed""",
+}
 
 
 def oracles() -> dict[str, str]:

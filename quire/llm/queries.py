@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import bpe_round_trip
-from quire.llm.common import apply_llm_conf, table
+from quire.llm.common import apply_llm_conf, table, word_count
+from quire.llm.mixing import mix_sources, quality_weights
 from quire.llm.quality import classify_quality
 from quire.llm.simhash import simhash_near_duplicates
 
@@ -28,6 +29,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: weights 5, 2, 1 by source, at most 3 times a source; documents
+    rated good are preferred within their source."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", word_count(F.col("text")),
+                        ratings=quality_weights(table(spark, sf_dir, "labels")), weights=(5, 2, 1), max_times=3)
+    return mixed.select(F.col("id").alias("doc_id"), "size", F.col("mix.source_size").alias("source_size"),
+                        F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade (0 poor, 1 toxic, 2 good) and selection of every document."""
     scored = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -36,7 +46,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          score["tails"][1].alias("p_good"), score["keep"].alias("keep"))
 
 
-QUERIES = [op2_simhash_near_dedup, op3_byte_bpe, op7_quality_classifier]
+QUERIES = [op2_simhash_near_dedup, op3_byte_bpe, op6_source_mixing, op7_quality_classifier]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
