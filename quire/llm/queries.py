@@ -12,6 +12,13 @@ from quire.llm.common import apply_llm_conf, table, word_count
 from quire.llm.mixing import mix_sources, quality_weights
 from quire.llm.quality import classify_quality
 from quire.llm.simhash import simhash_near_duplicates
+from quire.llm.syncmers import fingerprints_with_next
+
+
+def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: every whole text, its edited text and the next document."""
+    found = fingerprints_with_next(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          score["tails"][1].alias("p_good"), score["keep"].alias("keep"))
 
 
-QUERIES = [op2_simhash_near_dedup, op3_byte_bpe, op6_source_mixing, op7_quality_classifier]
+QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op6_source_mixing, op7_quality_classifier]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
