@@ -21,18 +21,18 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import ship_by_value, shuffle_partitions
 
-#: Length of inner substrings, and how many of them a k-mer has: k = S + W - 1.
-S, W = 8, 24
-K = S + W - 1
+#: Length s of inner substrings and how many w of them a k-mer has (k = s + w - 1),
+#: for texts in general and for texts below SHORT code points.
+LONG_SCALE, SHORT_SCALE, SHORT = (8, 24), (3, 6), 96
 #: Code points that are worked on in one go; work size only.
 CHUNK = 1 << 18
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _STEP
-    x = (x ^ (x >> np.uint64(29))) * _MULT
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(_MULT)
     return x ^ (x >> np.uint64(32))
 
 
@@ -40,52 +40,64 @@ def _hash_of_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
 
 
+def _sliding(x: np.ndarray, length: int, join) -> np.ndarray:
+    """``join`` over every window of a length: windows of powers of two, then
+    two of them that overlap."""
+    width = 1
+    while 2 * width <= length:
+        x, width = join(x[:-width], x[width:], width), 2 * width
+    return x if width == length else join(x[:width - length], x[length - width:], length)
+
+
+def closed_syncmers(points: np.ndarray, s: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and 32-bit hashes of the closed syncmers of code points: the
+    k-mers whose first inner s-mer is the least of all, or whose last one is
+    less than all others."""
+    if len(points) < s + w - 1:
+        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    own = (points.astype(np.uint64) + np.uint64(1)) * _STEP
+    own ^= own >> np.uint64(31)
+    own = _sliding(own, s, lambda a, b, n: a * np.uint64(pow(_MULT, n, 1 << 64)) + b)
+    order = (_mix(own) >> np.uint64(32)).astype(np.uint32)
+    least = _sliding(order, w - 1, lambda a, b, n: np.minimum(a, b))  # of all inner s-mers but the last
+    n = len(order) - w + 1
+    first, last = order[:n], order[w - 1:]
+    at = np.flatnonzero((first <= least[:n]) & (first <= last) | (last < least[:n]))
+    whole = own[at]
+    for inner in [*range(s, w - 1, s), w - 1]:
+        whole = _mix(whole * _STEP + own[at + inner])
+    return at, (whole >> np.uint64(32)).astype(np.uint32)
+
+
 class Anchors:
     """Anchors of several texts: their text's number, position and 32-bit hash,
-    ordered by text and position. A text too short to hold one has a single
-    anchor for all of it; an empty text has none."""
+    ordered by text and position. Texts below SHORT code points are read at the
+    short scale. A text too short to hold an anchor has a single one for all of
+    it; an empty text has none."""
 
     def __init__(self, texts: list[str]):
         self.texts = len(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(lengths)
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        text, at, value = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
-        if len(points) >= K:
-            own = (points.astype(np.uint64) + np.uint64(1)) * _STEP
-            own ^= own >> np.uint64(31)
-            power, width = _MULT, 1
-            while width < S:  # hashes of substrings of 1, 2, 4, 8 code points
-                own = own[:-width] * power + own[width:]
-                power, width = power * power, width * 2
-            order = (_mix(own) >> np.uint64(32)).astype(np.uint32)
-            least = order
-            for width in (1, 2, 4, 8):
-                least = np.minimum(least[:-width], least[width:])
-            least = np.minimum(least[:len(least) - (W - 17)], least[W - 17:])  # of the W - 1 inner substrings but the last
-            n = len(order) - W + 1
-            first, last = order[:n], order[W - 1:]
-            at = np.flatnonzero((first <= least[:n]) & (first <= last) | (last < least[:n]))
-            text = np.searchsorted(ends, at, side="right")
-            inside = at + K <= ends[text]
-            at, text = at[inside], text[inside]
-            whole = own[at] * _MULT + own[at + 8]
-            whole = _mix(whole * _STEP + own[at + 16]) * _MULT + own[at + K - S]
-            value = (_mix(whole) >> np.uint64(32)).astype(np.uint32)
-            at = at - (ends - lengths)[text]
-        bare = np.setdiff1d(np.flatnonzero(lengths), text)
-        if len(bare):
-            text, at = np.r_[text, bare], np.r_[at, np.zeros(len(bare), np.int64)]
-            value = np.r_[value, np.array([_hash_of_text(texts[i]) for i in bare], np.uint32)]
-            by_text = np.argsort(text, kind="stable")
-            text, at, value = text[by_text], at[by_text], value[by_text]
-        self.text, self.at, self.value = text, at, value
+        parts = []
+        for (s, w), members in ((LONG_SCALE, np.flatnonzero(lengths >= SHORT)), (SHORT_SCALE, np.flatnonzero(lengths < SHORT))):
+            points = np.frombuffer("".join([texts[i] for i in members]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            at, value = closed_syncmers(points, s, w)
+            ends = np.cumsum(lengths[members])
+            own = np.searchsorted(ends, at, side="right")
+            inside = at + s + w - 1 <= ends[own] if len(ends) else np.empty(0, bool)
+            at, own, value = at[inside], own[inside], value[inside]
+            parts.append((members[own], at - (ends - lengths[members])[own] if len(ends) else at, value))
+        bare = np.setdiff1d(np.flatnonzero(lengths), np.concatenate([p[0] for p in parts]))
+        parts.append((bare, np.zeros(len(bare), np.int64), np.array([_hash_of_text(texts[i]) for i in bare], np.uint32)))
+        text, at, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by_text = np.argsort(text, kind="stable")
+        self.text, self.at, self.value = text[by_text], at[by_text], value[by_text]
         self.counts = np.bincount(text, minlength=len(texts))
 
     def strings(self) -> list[str]:
         """Fingerprints: base64 of a 32-bit little-endian number per anchor,
         24 bits of its hash and 8 of its distance from the one before (less
-        than W; from the text's start for the first)."""
+        than w; from the text's start for the first)."""
         gap = np.diff(self.at, prepend=0)
         starts = np.cumsum(self.counts) - self.counts
         heads = starts[self.counts > 0]
