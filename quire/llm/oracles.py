@@ -2,7 +2,65 @@
 
 from __future__ import annotations
 
+def _url_tree_sql(levels: int) -> str:
+    """CTEs level_1 to level_n, each from the one before."""
+    out = []
+    for n in range(1, levels + 1):
+        out.append(f"""
+        branch_{n} AS (
+            SELECT host, template, parts[{n}] AS segment, sum(pages) AS pages, sum(labelled) AS labelled, sum(good) AS good
+            FROM level_{n - 1} WHERE len(parts) >= {n} GROUP BY ALL),
+        kept_{n} AS (
+            SELECT host, template, segment FROM (
+                SELECT *, sum(labelled) OVER w AS all_labelled, sum(good) OVER w AS all_good
+                FROM branch_{n} WINDOW w AS (PARTITION BY host, template))
+            WHERE pages >= 8 AND labelled >= 8 AND segment <> '#' AND all_labelled > labelled
+              AND (good::DOUBLE / labelled - (all_good - good)::DOUBLE / (all_labelled - labelled))
+                  * (good::DOUBLE / labelled - (all_good - good)::DOUBLE / (all_labelled - labelled))
+                  > 2.576::DOUBLE * 2.576::DOUBLE * ((all_good::DOUBLE / all_labelled) * (1 - all_good::DOUBLE / all_labelled)
+                    * (1::DOUBLE / labelled + 1::DOUBLE / (all_labelled - labelled)))),
+        level_{n} AS (
+            SELECT l.host, l.shape, l.parts, l.pages, l.labelled, l.good,
+                   l.template || CASE WHEN len(l.parts) < {n} THEN '' WHEN k.segment IS NOT NULL THEN '/' || k.segment ELSE '/*' END AS template
+            FROM level_{n - 1} l LEFT JOIN kept_{n} k ON l.host = k.host AND l.template = k.template AND l.parts[{n}] = k.segment),""")
+    return "".join(out)
+
+
 ORACLES: dict[str, str] = {
+    "op8_url_filter": r"""
+        WITH rated AS (
+            SELECT doc_id, min(quality) - max(coalesce(toxic, 0)) > 0 AS good
+            FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+        parsed AS (
+            SELECT page_id, TRY_CAST(nullif(regexp_extract(regexp_extract(url, '^[^?#]*'), '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) AS doc_id,
+                   CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        judged AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, r.good
+            FROM parsed p LEFT JOIN rated r USING (doc_id)),
+        paged AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM judged),
+        level_0 AS (
+            SELECT host, shape, list_filter(string_split(shape, '/'), lambda s: s <> '') AS parts, '' AS template,
+                   count(*) AS pages, count(good) AS labelled, count(*) FILTER (good) AS good
+            FROM paged GROUP BY host, shape),""" + _url_tree_sql(4) + r"""
+        leaves AS (SELECT host, shape, labelled, good, template || CASE WHEN len(parts) > 4 THEN '/**' ELSE '' END AS template FROM level_4),
+        overall AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good)::DOUBLE / sum(labelled) ELSE 0.5::DOUBLE END AS share FROM leaves),
+        templates AS (SELECT host, template, sum(labelled)::DOUBLE AS labelled, sum(good)::DOUBLE AS good FROM leaves GROUP BY host, template),
+        purities AS (
+            SELECT host, template, (good + 10.0::DOUBLE * ((sum(good) OVER w + 10.0::DOUBLE * share) / (sum(labelled) OVER w + 10.0::DOUBLE)))
+                   / (labelled + 10.0::DOUBLE) AS purity
+            FROM templates, overall WINDOW w AS (PARTITION BY host)),
+        rules(rule, rule_host, rule_path, action) AS (
+            VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                   ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+        fitting AS (
+            SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+            FROM paged, rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, CASE WHEN u.purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+               u.template, u.purity
+        FROM paged p JOIN leaves l USING (host, shape) JOIN purities u ON l.host = u.host AND l.template = u.template
+        LEFT JOIN fitting f USING (page_id)""",
     "op6_source_mixing": r"""
         WITH rated AS (
             SELECT doc_id, 0.25::DOUBLE + 0.75::DOUBLE * avg(quality) AS weight

@@ -11,8 +11,13 @@ from quire.llm.bpe import bpe_round_trip
 from quire.llm.common import apply_llm_conf, table, word_count
 from quire.llm.mixing import mix_sources, quality_weights
 from quire.llm.quality import classify_quality
+from quire.llm.sharding import shard_by_bytes
 from quire.llm.simhash import simhash_near_duplicates
 from quire.llm.syncmers import fingerprints_with_next
+from quire.llm.urls import judge_urls
+
+#: Fixed values of the URL filter's contract.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
 def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +41,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: 16 shards; the law is ``bytes``."""
+    placed = shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: weights 5, 2, 1 by source, at most 3 times a source; documents
     rated good are preferred within their source."""
@@ -53,7 +65,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          score["tails"][1].alias("p_good"), score["keep"].alias("keep"))
 
 
-QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op6_source_mixing, op7_quality_classifier]
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract rules; a page is labelled by the ratings of the document whose
+    id is the last number of its path: good is quality 1 and not toxic."""
+    labels = table(spark, sf_dir, "labels")
+    rated = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
+        (F.min("quality") - F.max(F.coalesce("toxic", F.lit(0))) > 0).alias("good"))
+    number = F.expr("try_cast(regexp_extract(regexp_extract(url, '^[^?#]*', 0), '([0-9]+)[^0-9]*$', 1) AS bigint)")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", number.alias("doc_id")).join(rated, "doc_id", "left")
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return judge_urls(pages, "page_id", "url", rules, F.col("good")).withColumnRenamed("id", "page_id")
+
+
+QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op6_source_mixing,
+           op7_quality_classifier, op8_url_filter]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
