@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +89,27 @@ class PairTable:
         return out.reshape(left.shape)
 
 
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
-    """Encodes pieces; remembers those it has seen."""
+    """Encodes texts; remembers the token ids of pieces it has seen, all in
+    one array with a start and a length per piece."""
 
     def __init__(self, ranks: dict[bytes, int], pairs: np.ndarray, pattern: str):
         import regex
@@ -100,42 +118,67 @@ class Encoder:
         self.pairs = PairTable(pairs)
         self.find = regex.compile(pattern).findall
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def texts(self, texts: list[str | None]) -> list[list[int]]:
-        pieces = [self.find(t) if t else [] for t in texts]
-        new = list({p for ps in pieces for p in ps} - self.seen.keys())
-        self.seen.update(zip(new, self._encode([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        out = [list(chain.from_iterable(map(self.seen.__getitem__, ps))) for ps in pieces]
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        return out
-
-    def _encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list = [None] * len(pieces)
-        by_width: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            whole = self.token_ids.get(piece)
-            if whole is not None:
-                out[i] = (whole,)
-            elif len(piece) > LONGEST_ROW:
-                out[i] = self._one_by_one(piece)
-            else:
-                n = len(piece)
-                step = 1 if n <= 4 else 2 if n <= 16 else 1 << (n.bit_length() - 3)
-                by_width.setdefault(-(-n // step) * step, []).append(i)
-        for width, members in by_width.items():
-            rows = max(1, MATRIX_CELLS // width)
-            for at in range(0, len(members), rows):
-                self._matrix(pieces, members[at:at + rows], width, out)
-        return out
-
-    def _matrix(self, pieces: list[bytes], members: list[int], width: int, out: list) -> None:
-        raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in members), np.uint8).reshape(-1, width)
-        lengths = np.fromiter((len(pieces[i]) for i in members), np.int64, len(members))
-        ids = np.where(np.arange(width) < lengths[:, None], self.of_byte[raw], np.int32(-1))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, and how many each has."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        look, find = self.numbers.__getitem__, self.find
+        numbers = [np.fromiter(map(look, find(t)), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        if self.numbers.new:
+            new, self.numbers.new = [p.encode("utf-8", "surrogatepass") for p in self.numbers.new], []
+            ids, lengths = self._encode(new)
+            ends = np.cumsum(lengths) + len(self.ids)
+            self.ids, self.lengths = np.r_[self.ids, ids], np.r_[self.lengths, lengths]
+            self.starts = np.r_[self.starts, ends - lengths]
+        flat = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+        lengths = self.lengths[flat]
+        upto = np.r_[0, np.cumsum(lengths)]
+        last = np.cumsum([len(n) for n in numbers], dtype=np.int64)
+        return self.ids[spread(self.starts[flat], lengths)], np.diff(np.r_[0, upto[last]])
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all pieces, one after the other, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        whole = np.fromiter((self.token_ids.get(p, -1) for p in pieces), np.int64, len(pieces))
+        tokens = np.flatnonzero(whole >= 0)
+        found = [(tokens, whole[tokens].astype(np.int32), np.ones(len(tokens), np.int64))]
+        for i in np.flatnonzero((whole < 0) & (sizes > LONGEST_ROW)):
+            ids = self._one_by_one(pieces[i])
+            found.append((np.array([i]), ids, np.array([len(ids)])))
+        rest = np.flatnonzero((whole < 0) & (sizes <= LONGEST_ROW))
+        step = np.where(sizes[rest] <= 12, 1, 1 << np.maximum(np.log2(np.maximum(sizes[rest], 1)).astype(np.int64) - 3, 0))
+        widths = -(-sizes[rest] // step) * step
+        order = np.argsort(widths, kind="stable")
+        rest, widths = rest[order], widths[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, widths[1:] != widths[:-1]]), len(rest)] if len(rest) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            rows = max(1, MATRIX_CELLS // int(widths[a]))
+            for at in range(a, b, rows):
+                members = rest[at:min(b, at + rows)]
+                found += self._matrix([pieces[i] for i in members], members, sizes[members], int(widths[a]))
+        lengths = np.zeros(len(pieces), np.int64)
+        for rows, _, counts in found:
+            lengths[rows] = counts
+        starts = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), np.int32)
+        for rows, ids, counts in found:
+            out[spread(starts[rows], counts)] = ids
+        return out, lengths
+
+    def _matrix(self, pieces: list[bytes], rows: np.ndarray, sizes: np.ndarray, width: int) -> list[tuple]:
+        """(rows, ids one after the other, number of ids) as rows are finished."""
+        filled = np.arange(width) < sizes[:, None]
+        raw = np.zeros((len(rows), width), np.uint8)
+        raw[filled] = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.where(filled, self.of_byte[raw], np.int32(-1))
         ranks = self.pairs.ranks(ids[:, :-1], ids[:, 1:])
-        rows = np.array(members)
+        out = []
         while True:
             if ids.shape[1] > 1:
                 at = ranks.argmin(axis=1)  # the leftmost of the least
@@ -144,11 +187,12 @@ class Encoder:
             else:
                 done = np.ones(len(ids), bool)
             if done.any():
-                for row, found in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
-                    out[row] = tuple(x for x in found if x >= 0)
-                go = ~done
-                if not go.any():
-                    return
+                ready = ids[done]
+                there = ready >= 0
+                out.append((rows[done], ready[there], there.sum(axis=1)))
+                go = np.flatnonzero(~done)
+                if not len(go):
+                    return out
                 ids, ranks, rows, at, best = ids[go], ranks[go], rows[go], at[go], best[go]
             n, w = ids.shape
             line = np.arange(n)
@@ -159,12 +203,11 @@ class Encoder:
             keep = np.ones((n, w - 1), bool)
             keep[line, np.minimum(at + 1, w - 2)] = False
             ranks = ranks[keep].reshape(n, w - 2)
-            right = np.flatnonzero(at < w - 2)
-            ranks[right, at[right]] = self.pairs.ranks(ids[right, at[right]], ids[right, at[right] + 1])
-            left = np.flatnonzero(at > 0)
-            ranks[left, at[left] - 1] = self.pairs.ranks(ids[left, at[left] - 1], ids[left, at[left]])
+            right, left = np.flatnonzero(at < w - 2), np.flatnonzero(at > 0)
+            changed, place = np.r_[right, left], np.r_[at[right], at[left] - 1]
+            ranks[changed, place] = self.pairs.ranks(ids[changed, place], ids[changed, place + 1])
 
-    def _one_by_one(self, piece: bytes) -> tuple[int, ...]:
+    def _one_by_one(self, piece: bytes) -> np.ndarray:
         """The same merges for a very long piece: a heap of (rank, place)."""
         ids = self.of_byte[np.frombuffer(piece, np.uint8)]
         first = self.pairs.ranks(ids[:-1], ids[1:])
@@ -192,14 +235,25 @@ class Encoder:
             renew(i)
             if before[i] >= 0:
                 renew(before[i])
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], np.int32)
+
+
+class Decoder:
+    """Bytes of token ids: all tokens' bytes in one array."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values()) + 1
+        self.lengths = np.full(size, -1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.starts = np.cumsum(np.maximum(self.lengths, 0)) - np.maximum(self.lengths, 0)
+        self.bytes = np.frombuffer(b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
 
-def _nested(lists: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    def __call__(self, ids: np.ndarray) -> bytes:
+        lengths = self.lengths[ids]
+        if (lengths < 0).any():
+            raise ValueError("an id that is not in the vocabulary")
+        return self.bytes[spread(self.starts[ids], lengths)].tobytes()
 
 
 def bpe_encode(df: DataFrame, text_col: str, rank_file: str, pattern: str, *, ids_col: str = "ids") -> DataFrame:
@@ -217,7 +271,8 @@ def bpe_encode(df: DataFrame, text_col: str, rank_file: str, pattern: str, *, id
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(*shared.value, pattern)
         for texts in batches:
-            yield _nested(encoder.texts(texts.to_pylist()))
+            ids, counts = encoder.texts(texts.to_pylist())
+            yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
 
     return df.withColumn(ids_col, encode(F.col(text_col)))
 
@@ -227,13 +282,13 @@ def bpe_decode(df: DataFrame, ids_col: str, rank_file: str, *, bytes_col: str =
     An id outside the vocabulary raises."""
     with open(rank_file, "rb") as f:
         ranks = read_ranks(f.read())
-    shared = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    shared = df.sparkSession.sparkContext.broadcast(Decoder(ranks))
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = shared.value.__getitem__
+        decoder, none = shared.value, np.empty(0, np.int64)
         for batch in batches:
-            yield pa.array([b"".join(map(token, ids or ())) for ids in batch.to_pylist()], pa.binary())
+            yield pa.array([decoder(row.values.to_numpy() if row.is_valid else none) for row in batch], pa.binary())
 
     return df.withColumn(bytes_col, decode(F.col(ids_col)))
 
