@@ -89,6 +89,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
         FROM summed""",
+    "op9_embedding_near_dedup": r"""
+        WITH RECURSIVE clean AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+        degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN degrees d ON e.vec_id = d.a LEFT JOIN least c ON e.vec_id = c.a""",
 }
 
 

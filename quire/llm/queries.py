@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bpe import bpe_round_trip
 from quire.llm.common import apply_llm_conf, table, word_count
+from quire.llm.embeddings import embedding_near_duplicates
 from quire.llm.mixing import mix_sources, quality_weights
 from quire.llm.quality import classify_quality
 from quire.llm.sharding import shard_by_bytes
@@ -77,8 +78,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, "page_id", "url", rules, F.col("good")).withColumnRenamed("id", "page_id")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: cosine of at least 0.9."""
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op6_source_mixing,
-           op7_quality_classifier, op8_url_filter]
+           op7_quality_classifier, op8_url_filter, op9_embedding_near_dedup]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
