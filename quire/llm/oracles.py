@@ -102,6 +102,21 @@ ORACLES: dict[str, str] = {
         degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
         FROM embeddings e LEFT JOIN degrees d ON e.vec_id = d.a LEFT JOIN least c ON e.vec_id = c.a""",
+    "op10_warc": r"""
+        WITH raw AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        hashed AS (
+            SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM raw),
+        bits AS (
+            SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || hex[i])::INT), 4, '0')), 'string_agg', '') AS b FROM hashed),
+        told AS (
+            SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+                   list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+                       1 + 16 * b[i * 5 + 1]::INT + 8 * b[i * 5 + 2]::INT + 4 * b[i * 5 + 3]::INT + 2 * b[i * 5 + 4]::INT + b[i * 5 + 5]::INT]),
+                       'string_agg', '') AS payload_digest
+            FROM bits)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM told""",
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import bpe_round_trip
-from quire.llm.common import apply_llm_conf, table, word_count
+from quire.llm.common import apply_llm_conf, shared_path, table, word_count
 from quire.llm.embeddings import embedding_near_duplicates
 from quire.llm.mixing import mix_sources, quality_weights
 from quire.llm.quality import classify_quality
@@ -16,6 +16,7 @@ from quire.llm.sharding import shard_by_bytes
 from quire.llm.simhash import simhash_near_duplicates
 from quire.llm.syncmers import fingerprints_with_next
 from quire.llm.urls import judge_urls
+from quire.llm.warc import read_archives, write_archives
 
 #: Fixed values of the URL filter's contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -83,8 +84,18 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: a record per page, written to archives in the shared folder
+    and read back; equal payloads of any size are revisits."""
+    path = shared_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return read_archives(spark, path).select(
+        F.expr("try_cast(key AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
+
+
 QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op6_source_mixing,
-           op7_quality_classifier, op8_url_filter, op9_embedding_near_dedup]
+           op7_quality_classifier, op8_url_filter, op9_embedding_near_dedup, op10_warc]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
