@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quire.llm.licenses import EQUIVALENT, known_licenses
+
+
 def _url_tree_sql(levels: int) -> str:
     """CTEs level_1 to level_n, each from the one before."""
     out = []
@@ -26,7 +29,32 @@ def _url_tree_sql(levels: int) -> str:
     return "".join(out)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_lines_sql(text: str) -> str:
+    form = f"lower(coalesce({text}, ''))"
+    for variant, common in EQUIVALENT:
+        form = f"replace({form}, {_quoted(variant)}, {_quoted(common)})"
+    return f"""list_filter(list_transform(string_split(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')),
+        lambda x: x <> '' AND NOT regexp_matches(x, '^(copyright )+((c )?[0-9]{{4}}( |$)|c )') AND x <> 'all rights reserved')"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_license_scan": f"""
+        WITH known AS (
+            SELECT sha256(array_to_string(lines, ' ')) AS digest, min(license) AS license
+            FROM (SELECT license, {_license_lines_sql('text')} AS lines
+                  FROM (VALUES {', '.join(f'({_quoted(n)}, {_quoted(t)})' for n, t in known_licenses())}) AS v(license, text))
+            WHERE len(lines) > 0 GROUP BY 1),
+        units AS (SELECT doc_id, {_license_lines_sql('text')} AS lines FROM documents),
+        told AS (SELECT doc_id, lines, sha256(coalesce(array_to_string(lines, ' '), '')) AS text_digest FROM units),
+        noted AS (
+            SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
+            FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM told) JOIN known USING (digest) GROUP BY doc_id)
+        SELECT t.doc_id, t.text_digest, k.license AS text_license, coalesce(n.line_licenses, '') AS line_licenses
+        FROM told t LEFT JOIN known k ON t.text_digest = k.digest LEFT JOIN noted n ON t.doc_id = n.doc_id""",
     "op8_url_filter": r"""
         WITH rated AS (
             SELECT doc_id, min(quality) - max(coalesce(toxic, 0)) > 0 AS good

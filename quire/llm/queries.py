@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import bpe_round_trip
 from quire.llm.common import apply_llm_conf, shared_path, table, word_count
 from quire.llm.embeddings import embedding_near_duplicates
+from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import mix_sources, quality_weights
 from quire.llm.quality import classify_quality
 from quire.llm.sharding import shard_by_bytes
@@ -43,6 +44,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licenses that a whole document, or a line of it, is."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "text_digest", "text_license", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: 16 shards; the law is ``bytes``."""
     placed = shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
@@ -94,7 +101,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
 
 
-QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op6_source_mixing,
+QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op4_license_scan, op5_sharding, op6_source_mixing,
            op7_quality_classifier, op8_url_filter, op9_embedding_near_dedup, op10_warc]
 
 
