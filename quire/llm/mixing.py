@@ -141,13 +141,13 @@ def mixed_copies(df: DataFrame, id_col: str, source_col: str, size: Column, *, r
     """``df``, whole rows, each as often as ``mix_sources`` would take it; a
     document on the boundary counts if at least half of it is taken. The
     columns of ``df`` stay as they are."""
-    def rows_of(part: DataFrame) -> DataFrame:
-        if ratings is None:
-            return mix_rows(part, id_col, source_col, size, F.lit(unrated), seed)
-        rated = ratings.select(F.col("doc_id").alias("__rated_id"), F.col("weight").alias("__weight"))
-        joined = part.join(rated, part[id_col] == rated["__rated_id"], "left")
-        return mix_rows(joined, id_col, source_col, size, F.coalesce("__weight", F.lit(unrated)), seed)
-
-    plan = mix_plan(cut_lineage(rows_of(df).select("__mix_source", *ROW), "mix_rows"), weights, max_times)
-    taken = apply_mix(rows_of(df), plan).where(F.col("__mix.copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    base = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))  # boxed, so no name can clash
+    weight = F.lit(unrated)
+    if ratings is not None:
+        base = base.join(ratings.select(F.col("doc_id").alias("id"), F.col("weight").alias("weight")), "id", "left")
+        weight = F.coalesce("weight", F.lit(unrated))
+    rows = mix_rows(base, "id", "source", F.col("size"), weight, seed)
+    plan = mix_plan(cut_lineage(rows.select("__mix_source", *ROW), "mix_rows"), weights, max_times)
+    taken = apply_mix(rows, plan).where(F.col("__mix.copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).select(*[F.col("row")[c].alias(c) for c in df.columns])

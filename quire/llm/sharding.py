@@ -69,8 +69,9 @@ def choose_splitters(rows: DataFrame, total: int, ranges: int, seed: int = 42) -
     """Sampled boundaries; overfull ranges are subdivided until none is left
     with more than one key to cut at."""
     mean = max(total / ranges, 1.0)
-    splitters = quantile_splitters(_sampled(rows, mean / OVERSAMPLE, seed), ranges)
-    splitters = np.unique(splitters[["hash", "tie"]])
+    splitters = quantile_splitters(_sampled(rows, mean / OVERSAMPLE, seed), ranges)[["hash", "tie"]].copy()
+    splitters["tie"] = -(2**63)  # at first between texts, so that ranges hold all copies of a text
+    splitters = np.unique(splitters)
     for attempt in range(1, 9):
         sizes = _ranged(rows, splitters).groupBy("range").agg(F.sum("size").alias("bytes"))
         over = [(r["range"], r["bytes"]) for r in sizes.where(F.col("bytes") > 2 * mean).collect()]

@@ -283,9 +283,11 @@ def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str
     # the component itself is named by its smallest id, or by fingerprint where all its ids are null
     kept = (found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
             .agg(F.min(row).alias("row")).select(F.col("row.id").alias("__kept_id"), F.col("row.text_hash").alias("__kept_hash")).distinct())
-    marked = df.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
-    own = marked.join(kept, marked[id_col].eqNullSafe(kept["__kept_id"]) & (marked["__text_hash"] == kept["__kept_hash"]), "left_semi")
-    return own.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    boxed = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # so no name can clash
+    marked = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), boxed.alias("row"))
+    own = marked.join(kept, marked["id"].eqNullSafe(kept["__kept_id"]) & (marked["text_hash"] == kept["__kept_hash"]), "left_semi")
+    return own.dropDuplicates(["id", "text_hash"]).select(*[F.col("row")[c].alias(c) for c in df.columns])
+
 
 
 ship_by_value(__name__)
