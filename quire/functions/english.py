@@ -8,7 +8,7 @@ back to the postings.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,18 +154,13 @@ def english_map(terms: DataFrame, col: str = "term") -> DataFrame:
     return d.withColumn("eterm", english_udf(F.col(col))).where(F.col("eterm").isNotNull())
 
 
-def english_postings(postings: DataFrame, source_field: str = "contextualContent",
+def english_postings(postings: DataFrame, emap: DataFrame, source_field: str = "contextualContent",
                      field: str = "contextualContent.english") -> DataFrame:
     """Postings of the English sub-field, derived from the standard postings
-    through the vocabulary map (the stemmer never sees an occurrence)."""
+    through the vocabulary map (term, eterm): the stemmer never sees an
+    occurrence. A hot term's rows are added up before they move."""
     src = postings.where(F.col("field") == source_field)
-    emap = english_map(src.select("term"))
-    joined = src.join(emap, "term")
-    per = joined.groupBy("eterm", "id").agg(F.sum("tf").alias("tf"))
+    per = src.join(emap, "term").groupBy("eterm", "id").agg(F.sum("tf").alias("tf"))
     dl = per.groupBy("id").agg(F.sum("tf").alias("dl"))
     return per.join(dl, "id").select(F.lit(field).alias("field"), F.col("eterm").alias("term"), "id",
                                      F.col("tf").cast("long"), F.col("dl").cast("long"))
-
-
-def english_tokens(c: Column) -> Column:  # pragma: no cover - kept for API symmetry
-    raise NotImplementedError("english analysis runs on the vocabulary: use english_postings")

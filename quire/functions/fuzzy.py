@@ -158,16 +158,16 @@ def fuzzy_candidates(qterms: DataFrame, vocab: DataFrame, variants: DataFrame |
     return checked.where(F.col("distance") <= F.col("k")).select("qterm", "term", "distance")
 
 
-def fuzzy_expansions(qterms: DataFrame, term_stats: DataFrame, max_expansions: int = 50,
+def fuzzy_expansions(qterms: DataFrame, term_stats: DataFrame, max_expansions: int | None = None,
                      variants: DataFrame | None = None) -> DataFrame:
-    """(field, qterm, term, distance): per field, the vocabulary terms of that
-    field within AUTO edits, ranked by (distance, term); the first
-    ``max_expansions`` are kept — the expansion rule of the pinned fuzzy
-    semantics (the search backend's default), not a cost cap.
+    """(field, qterm, term, distance): per field, every vocabulary term of
+    that field within AUTO edits; with ``max_expansions`` only the first ones
+    by (distance, term).
     """
     vocab = term_stats.select("term").distinct()
     pairs = fuzzy_candidates(qterms, vocab, variants)
-    per_field = pairs.join(term_stats.select("field", "term"), "term")
+    per_field = pairs.join(term_stats.select("field", "term"), "term").select("field", "qterm", "term", "distance")
+    if max_expansions is None:
+        return per_field
     w = Window.partitionBy("field", "qterm").orderBy("distance", "term")
-    return per_field.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_expansions).select(
-        "field", "qterm", "term", "distance")
+    return per_field.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_expansions).drop("_r")

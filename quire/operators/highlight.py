@@ -18,6 +18,7 @@ from quire.functions._ship import ship_by_value
 from quire.functions.text import TOKEN_PATTERN
 from quire.operators import search as S
 from quire.operators.index import TextIndex
+from quire.session import cut_lineage
 
 ship_by_value(__name__)
 
@@ -62,10 +63,13 @@ def _frag_batch(size: int, n: int):
 def highlight(page: DataFrame, papers: DataFrame, requests: DataFrame, index: TextIndex, spec: S.TextQuery,
               fields: dict[str, tuple[int, int]] = HIGHLIGHT_FIELDS) -> DataFrame:
     """page(query_id, id, rank) -> (query_id, id, rank, field, fragments)."""
-    std_spec = S.TextQuery({f: 1.0 for f in fields}, fuzzy=spec.fuzzy, max_expansions=spec.max_expansions)
-    qt = S.query_terms(requests.join(page.select("query_id").distinct(), "query_id", "left_semi"))
-    exp = S.expansions(qt, index, std_spec)
-    terms = qt.join(exp, "qterm").groupBy("query_id", "field").agg(F.collect_set("term").alias("terms"))
+    exp = S.expansions(requests.join(page.select("query_id").distinct(), "query_id", "left_semi"), index, spec)
+    exp = cut_lineage(exp.select("query_id", "field", "term"), "highlight_terms")
+    words = exp.where(F.col("field").isin(list(fields)))
+    for name in [f for f in spec.fields if f.endswith(".english")]:  # its stems mark the words that have them
+        stems = exp.where(F.col("field") == name).select("query_id", F.lit(name.removesuffix(".english")).alias("field"), F.col("term").alias("eterm"))
+        words = words.unionByName(stems.join(index.english, "eterm").select("query_id", "field", "term"))
+    terms = words.groupBy("query_id", "field").agg(F.collect_set("term").alias("terms"))
     rows = page.select("query_id", "id", "rank").join(papers.select("id", *fields), "id")
     outs = []
     for f, (size, n) in fields.items():

@@ -7,7 +7,8 @@
 ``field_stats(field, n_docs, avgdl)`` corpus statistics per field
 
 Statistics are global per field, so scores do not depend on partitioning.
-Build once, store bucketed by term, reuse for every batch of requests.
+A stored index keeps its postings in folders by a hash of (field, term),
+sorted inside, so a batch of requests reads only the folders of its terms.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class TextIndex:
     field_stats: DataFrame
     stored: bool = False                 # tables live in the shared folder
     variants: DataFrame | None = None    # fuzzy index: deletion variants of the vocabulary
+    english: DataFrame | None = None     # (term, eterm) of the field with an English form
 
 
 def fuzzy_variants(index: TextIndex) -> DataFrame:
@@ -81,32 +83,46 @@ def build_index(papers: DataFrame, fields=TEXT_FIELDS, extra: dict[str, Column]
     return TextIndex(postings, build_term_stats(postings), build_field_stats(long))
 
 
-def write_index(index: TextIndex, path: str, buckets: int = 64) -> None:
-    """Persist the postings clustered by term hash (files per bucket stay
-    small and a term lookup touches one bucket)."""
-    (index.postings.repartition(buckets, "field", "term").sortWithinPartitions("field", "term", "id")
-     .write.mode("overwrite").parquet(f"{path}/postings"))
-    index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    index.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
+#: Folders of a stored index. Terms of a folder are further split over files.
+INDEX_BUCKETS = 64
 
 
-def read_index(spark, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_stats"),
-                     spark.read.parquet(f"{path}/field_stats"))
+def posting_bucket(buckets: int = INDEX_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int")
+
+
+def write_index(index: TextIndex, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """Postings clustered by (field, term); a hot term's rows go to several files."""
+    spread = F.pmod(F.xxhash64("id"), F.lit(4))
+    (index.postings.withColumn("bucket", posting_bucket(buckets)).repartition("bucket", spread)
+     .sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    spark = index.postings.sparkSession
+    # document frequencies from what was written; the field statistics need no postings
+    build_term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    index.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
+    if index.english is not None:
+        index.english.write.mode("overwrite").parquet(f"{path}/english")
 
 
-def stats_from_postings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """term_stats and field_stats recomputed from (stored) postings alone."""
-    per_doc = postings.groupBy("field", "id").agg(F.first("dl").alias("dl"))
-    field_stats = per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return build_term_stats(postings), field_stats
+def read_index(spark, path: str, english: bool = False) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_stats"),
+                     spark.read.parquet(f"{path}/field_stats"), stored=True,
+                     english=spark.read.parquet(f"{path}/english") if english else None)
 
 
 def materialize_index(index: TextIndex, name: str = "index") -> TextIndex:
-    """Write the postings once (shared checkpoint folder), then derive and
-    write the two statistics tables from the stored postings."""
-    from quire.session import cut_lineage
-    postings = cut_lineage(index.postings, f"{name}_postings")
-    term_stats, field_stats = stats_from_postings(postings)
-    return TextIndex(postings, cut_lineage(term_stats, f"{name}_term_stats"),
-                     cut_lineage(field_stats, f"{name}_field_stats"), stored=True)
+    """The index, stored below the shared checkpoint folder."""
+    from quire.session import shared_path
+    spark = index.postings.sparkSession
+    path = shared_path(spark, "stages", name)
+    write_index(index, path)
+    return read_index(spark, path, index.english is not None)
+
+
+def postings_of(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """Postings that may hold the (field, term) rows: of a stored index only
+    the folders of these terms (at most INDEX_BUCKETS numbers are collected)."""
+    if "bucket" not in index.postings.columns:
+        return index.postings
+    touched = [r[0] for r in terms.select(posting_bucket()).distinct().collect()]
+    return index.postings.where(F.col("bucket").isin(touched)).drop("bucket")

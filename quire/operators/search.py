@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.fuzzy import fuzzy_expansions
 from quire.functions.text import tokens
-from quire.operators.index import TextIndex, fuzzy_variants
-from quire.session import MAX_BROADCAST_ROWS, checked_broadcast, cut_lineage
+from quire.operators.index import TextIndex, fuzzy_variants, postings_of
+from quire.operators.requests import MAX_WINDOW
+from quire.session import checked_broadcast, cut_lineage
 
 # BM25 parameters.
 K1 = 1.2
@@ -51,31 +52,39 @@ class TextQuery:
     keyword_fields: dict[str, float] = field(default_factory=dict)
     fuzzy: bool = True
     min_should_match: float | None = None
-    max_expansions: int = 50
+    max_expansions: int | None = None
 
 
 def query_terms(requests: DataFrame) -> DataFrame:
-    """(query_id, qterm) distinct analysed terms, and nq per request."""
+    """(query_id, nq, qterm): distinct analysed terms, and how many a request has."""
     toks = requests.select("query_id", F.array_distinct(tokens("query")).alias("qts"))
     return toks.select("query_id", F.size("qts").alias("nq"), F.explode("qts").alias("qterm"))
 
 
-def expansions(qterms: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
-    """(field, qterm, term, weight) for the analysed fields of the request.
+def english_query_terms(qterms: DataFrame) -> DataFrame:
+    """The same for English sub-fields: stop words dropped, distinct stems."""
+    from quire.functions.english import english_map
+    forms = english_map(qterms.select(F.col("qterm").alias("term"))).select(F.col("term").alias("qterm"), "eterm")
+    stems = qterms.select("query_id", "qterm").join(forms, "qterm").select("query_id", F.col("eterm").alias("qterm")).distinct()
+    counts = stems.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("nq"))
+    return stems.join(counts, "query_id").select("query_id", "nq", "qterm")
 
-    English sub-fields (``*.english``) see the query term's English form
-    (stop words dropped, stemmed) and expand it against their own vocabulary.
-    """
+
+def expansions(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
+    """(query_id, nq, field, qterm, term, weight): every field sees the query
+    in its own analysis and expands it against its own vocabulary."""
     std = [f for f in spec.fields if not f.endswith(".english")]
     eng = [f for f in spec.fields if f.endswith(".english")]
-    out = _expand(qterms, index, spec, std) if std else None
+    if eng and index.english is None:
+        raise ValueError(f"the index has no English sub-field, but {eng} are asked for")
+    qt = query_terms(requests)
+    parts = [(qt, std)] if std else []
     if eng:
-        from quire.functions.english import english_map
-        qmap = english_map(qterms.select(F.col("qterm").alias("term"))).select(F.col("term").alias("orig"), "eterm")
-        e = _expand(qmap.select(F.col("eterm").alias("qterm")).distinct(), index, spec, eng)
-        e = e.join(qmap.withColumnRenamed("eterm", "qterm"), "qterm").select(
-            "field", F.col("orig").alias("qterm"), "term", "weight")
-        out = e if out is None else out.unionByName(e)
+        parts.append((english_query_terms(qt), eng))
+    out = None
+    for terms, fields in parts:
+        found = terms.join(_expand(terms, index, spec, fields), "qterm").select("query_id", "nq", "field", "qterm", "term", "weight")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -97,10 +106,8 @@ def _boosts(spec: TextQuery) -> Column:
 
 def score_requests(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
     """(query_id, id, score) for every document matching at least one field."""
-    qt = query_terms(requests)
-    exp = expansions(qt, index, spec)
     # requests x their term expansions, with the statistics each one needs
-    qexp = qt.join(exp, "qterm").select("query_id", "nq", "field", "qterm", "term", "weight")
+    qexp = expansions(requests, index, spec)
     if spec.keyword_fields:
         kw = requests.select("query_id", F.col("query").alias("qterm")).where(F.col("qterm").isNotNull())
         kw = kw.select("query_id", F.lit(1).alias("nq"), F.explode(F.array(*[F.lit(f) for f in spec.keyword_fields])).alias("field"),
@@ -114,7 +121,7 @@ def score_requests(requests: DataFrame, index: TextIndex, spec: TextQuery) -> Da
     qexp = checked_broadcast(qexp)
     # One shuffle on (query_id, id): the three aggregations below group by
     # supersets of it and then run in the same stage without re-shuffling.
-    hits = index.postings.join(qexp, ["field", "term"]).repartition("query_id", "id")
+    hits = postings_of(index, qexp).join(qexp, ["field", "term"]).repartition("query_id", "id")
     tfn = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     s = F.col("weight") * F.col("idf") * tfn
     per_term = hits.groupBy("query_id", "field", "qterm", "id").agg(
@@ -154,7 +161,10 @@ def page_window(df: DataFrame, order: list[Column], max_window: int) -> DataFram
 def max_window(requests: DataFrame) -> int:
     """Largest from+size among the requests: one scalar from the small request table."""
     row = requests.agg(F.max(F.col("from") + F.col("size")).alias("m")).first()
-    return int(row["m"] or 0) or 1
+    window = int(row["m"] or 0) or 1
+    if window > MAX_WINDOW:
+        raise ValueError(f"from + size is {window}; at most {MAX_WINDOW} is allowed")
+    return window
 
 
 def sort_columns(sort: Column, mapping: dict[str, str], score_first: bool, default: str | None) -> list[Column]:
@@ -177,6 +187,37 @@ REQUEST_FILTERS = [("journal", "string"), ("from_date", "date"), ("to_date", "da
                    ("author", "string"), ("has_abstract", "boolean"), ("sort", "string")]
 
 
+def with_filters(requests: DataFrame) -> DataFrame:
+    for c, t in REQUEST_FILTERS:
+        if c not in requests.columns:
+            requests = requests.withColumn(c, F.lit(None).cast(t))
+    return requests
+
+
+def matches(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery, scored: DataFrame | None = None) -> DataFrame:
+    """Every document that a request scores and its filters let pass, with the
+    sort columns; written once, for totals and ranking read it both."""
+    requests = with_filters(requests)
+    if scored is None:
+        scored = score_requests(requests.select("query_id", "query"), index, spec)
+    r = checked_broadcast(requests.select("query_id", "from", "size", *[F.col(c).alias(f"r_{c}") for c, _ in REQUEST_FILTERS]))
+    p = papers.select("id", *SORT_KEYS, "journal", "topics", "authors", "hasAbstract")
+    joined = scored.join(p, "id").join(r, "query_id").where(request_filter()).select(
+        "query_id", "id", "score", "from", "size", "r_sort", *SORT_KEYS)
+    return cut_lineage(joined, "search_matches")
+
+
+def totals(requests: DataFrame, matched: DataFrame) -> DataFrame:
+    """(query_id, total_hits) of every request, those without a hit too."""
+    counts = matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
+    return requests.select("query_id").join(counts, "query_id", "left").fillna(0, ["total_hits"])
+
+
+def search_totals(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery | None = None) -> DataFrame:
+    """Exact number of hits per request, whatever page it asks for."""
+    return totals(requests, matches(papers, index, requests, spec or DEFAULT_SPEC))
+
+
 def search(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery | None = None,
            sorts: dict[str, str] = SEARCH_SORTS, default_sort: str | None = None, score_first: bool = False,
            with_total: bool = True, scored: DataFrame | None = None) -> DataFrame:
@@ -185,24 +226,15 @@ def search(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQ
     ``requests`` columns: query_id, query, from, size and optional sort and
     filter columns journal, from_date, to_date, topics, author, has_abstract.
     Filters run after scoring (they never change the statistics) and
-    before ranking; the exact total is counted before the page cut.
+    before ranking; the exact total is counted before the page cut. A request
+    whose from + size passes MAX_WINDOW is refused.
     """
-    spec = spec or TextQuery(SEARCH_FIELDS, SEARCH_KEYWORD_FIELDS, fuzzy=True)
-    for c, t in REQUEST_FILTERS:
-        if c not in requests.columns:
-            requests = requests.withColumn(c, F.lit(None).cast(t))
-    if scored is None:
-        scored = score_requests(requests.select("query_id", "query"), index, spec)
-    r = checked_broadcast(requests.select("query_id", "from", "size", *[F.col(c).alias(f"r_{c}") for c, _ in REQUEST_FILTERS]))
-    keys = ["publicationHotScore", "pageRank", "publishedAt", "citationsCount", "voteScore"]
-    p = papers.select("id", *keys, "journal", "topics", "authors", "hasAbstract")
-    joined = scored.join(p, "id").join(r, "query_id").where(request_filter()).select(
-        "query_id", "id", "score", "from", "size", "r_sort", *keys)
-    # the filtered matches feed both the exact totals and the ranking:
-    # written once instead of scoring twice
-    joined = cut_lineage(joined, "search_matches")
+    joined = matches(papers, index, requests, spec or DEFAULT_SPEC, scored)
     if with_total:
-        totals = joined.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
-        joined = joined.join(totals, "query_id")
+        joined = joined.join(totals(requests, joined), "query_id")
     order = sort_columns(F.lower(F.col("r_sort")), sorts, score_first, default_sort)
     return page_window(joined, order, max_window(requests))
+
+
+SORT_KEYS = ["publicationHotScore", "pageRank", "publishedAt", "citationsCount", "voteScore"]
+DEFAULT_SPEC = TextQuery(SEARCH_FIELDS, SEARCH_KEYWORD_FIELDS, fuzzy=True)

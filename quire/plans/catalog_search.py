@@ -8,43 +8,38 @@ from pyspark.sql import functions as F
 from quire.functions.fuzzy import fuzzy_candidates
 from quire.functions.text import tokens
 from quire.operators import search as S
-from quire.operators.index import TextIndex, build_index, field_tokens, materialize_index
+from quire.operators.index import TEXT_FIELDS, TextIndex, build_index, materialize_index
 from quire.session import cut_lineage
 from quire.plans.catalog import query
-from quire.plans.common import papers, text_queries
+from quire.plans.common import papers, snapshot_key, text_queries
 
 
 _INDEXES: dict[tuple, TextIndex] = {}
 
+ENGLISH_FIELD = "contextualContent.english"
 
-def paper_index(p: DataFrame, english: bool = False, materialize: bool = True):
-    """Index of the papers table. A search job reads it several times (term
-    statistics, postings), so it is written once to the shared checkpoint
-    folder; within a session the index of the same published snapshot is
-    built once and reused, as a stored index would be."""
-    key = (tuple(sorted(p.inputFiles())), english) if materialize else None
-    if key is not None and key in _INDEXES:
-        return _INDEXES[key]
-    extra = {"authors": F.transform(F.col("authors"), lambda a: a["name"])}
-    idx = build_index(p, extra=extra)
-    if english:
-        idx = with_english(idx)
-    if materialize:
-        idx = materialize_index(idx)
-        _INDEXES[key] = idx
-    return idx
+
+def paper_index(p: DataFrame) -> TextIndex:
+    """Index of the papers table with the English sub-field. A search job
+    reads it several times (term statistics, postings), so it is stored below
+    the shared checkpoint folder; within a session the index of the same
+    published snapshot is built once and reused, as a stored index would be."""
+    key = snapshot_key(p)
+    if key not in _INDEXES:
+        extra = {"authors": F.transform(F.col("authors"), lambda a: a["name"])}
+        _INDEXES[key] = materialize_index(with_english(build_index(p, extra=extra)))
+    return _INDEXES[key]
 
 
 def with_english(idx: TextIndex) -> TextIndex:
     """Adds the contextualContent.english sub-field, derived from the postings."""
-    from quire.functions.english import english_postings
-    from quire.operators.index import build_term_stats
-    eng = english_postings(idx.postings)
-    postings = idx.postings.unionByName(eng)
-    per_doc = eng.select("id", "dl").distinct()
-    fstat = per_doc.agg(F.lit("contextualContent.english").alias("field"), F.count(F.lit(1)).alias("n_docs"),
-                        F.avg("dl").alias("avgdl"))
-    return TextIndex(postings, build_term_stats(postings), idx.field_stats.unionByName(fstat))
+    from quire.functions.english import english_map, english_postings
+    postings = cut_lineage(idx.postings, "standard_postings")
+    emap = cut_lineage(english_map(postings.where(F.col("field") == "contextualContent").select("term")), "english_terms")
+    eng = cut_lineage(english_postings(postings, emap), "english_postings")
+    fstat = eng.agg(F.lit(ENGLISH_FIELD).alias("field"), F.count_distinct("id").alias("n_docs"),
+                    (F.sum("tf") / F.count_distinct("id")).alias("avgdl"))
+    return TextIndex(postings.unionByName(eng), idx.term_stats, idx.field_stats.unionByName(fstat), english=emap)
 
 
 def search_requests(spark, sf, variant: str = "plain") -> DataFrame:
@@ -92,13 +87,13 @@ def tokenize(spark, sf):
 @query
 def build_postings(spark, sf):
     idx = paper_index(papers(spark, sf))
-    return idx.postings.select("field", "term", "id", F.col("tf").cast("long"), F.col("dl").cast("long"))
+    return idx.postings.where(F.col("field") != ENGLISH_FIELD).select("field", "term", "id", F.col("tf").cast("long"), F.col("dl").cast("long"))
 
 
 @query
 def term_stats(spark, sf):
     idx = paper_index(papers(spark, sf))
-    return idx.term_stats.select("field", "term", F.col("df").cast("long"))
+    return idx.term_stats.where(F.col("field") != ENGLISH_FIELD).select("field", "term", F.col("df").cast("long"))
 
 
 @query
@@ -110,8 +105,9 @@ def bm25(spark, sf):
 
 @query
 def fuzzy_terms(spark, sf):
-    p = papers(spark, sf)
-    vocab = field_tokens(p, ("title", "abstract")).select(F.explode("tokens").alias("term")).distinct()
+    """Vocabulary terms of any analysed field within the AUTO edits of a query term."""
+    idx = paper_index(papers(spark, sf))
+    vocab = idx.term_stats.where(F.col("field").isin(list(TEXT_FIELDS))).select("term").distinct()
     qt = S.query_terms(text_queries(spark, sf)).select("qterm")
     return fuzzy_candidates(qt, vocab).select("qterm", "term", F.col("distance").cast("long"))
 
@@ -138,17 +134,17 @@ def search_sorted(spark, sf):
 
 @query
 def total_hits(spark, sf):
-    return _search(spark, sf, "filtered").select("query_id", F.col("total_hits").cast("long")).distinct()
+    """Exact totals of all requests, those without hits too."""
+    p = papers(spark, sf)
+    return S.search_totals(p, paper_index(p), search_requests(spark, sf, "filtered")).select("query_id", F.col("total_hits").cast("long"))
 
 
-CONTEXTUAL_NO_ENGLISH = {k: v for k, v in S.CONTEXTUAL_FIELDS.items() if k != "contextualContent.english"}
+CONTEXTUAL_SPEC = S.TextQuery(S.CONTEXTUAL_FIELDS, fuzzy=True, min_should_match=0.75)
 
 
-def contextual(spark, sf, variant, english=False):
+def contextual(spark, sf, variant):
     p = papers(spark, sf)
-    fields = S.CONTEXTUAL_FIELDS if english else CONTEXTUAL_NO_ENGLISH
-    spec = S.TextQuery(fields, fuzzy=True, min_should_match=0.75)
-    return S.search(p, paper_index(p, english), search_requests(spark, sf, variant), spec,
+    return S.search(p, paper_index(p), search_requests(spark, sf, variant), CONTEXTUAL_SPEC,
                     sorts=S.CONTEXTUAL_SORTS, default_sort=None)
 
 
@@ -165,24 +161,22 @@ def contextual_sorted(spark, sf):
 @query
 def analyze_english(spark, sf):
     """English form of every contextualContent term (vocabulary-level stemming)."""
-    from quire.functions.english import english_map
-    idx = paper_index(papers(spark, sf), materialize=False)
-    vocab = idx.term_stats.where(F.col("field") == "contextualContent").select("term")
-    return english_map(vocab).select("term", "eterm")
+    return paper_index(papers(spark, sf)).english.select("term", "eterm")
 
 
 @query
 def search_contextual_english(spark, sf):
-    """Contextual search with the English sub-field leg (rows-only check)."""
-    return _hits(contextual(spark, sf, "contextual", english=True))
+    """Scores of the English sub-field alone."""
+    p = papers(spark, sf)
+    spec = S.TextQuery({ENGLISH_FIELD: 2.0}, fuzzy=True, min_should_match=0.75)
+    return S.score_requests(text_queries(spark, sf), paper_index(p), spec)
 
 
 def _both_ranks(spark, sf, variant):
     p = papers(spark, sf)
     idx = paper_index(p)
     req = search_requests(spark, sf, variant)
-    spec = S.TextQuery(CONTEXTUAL_NO_ENGLISH, fuzzy=True, min_should_match=0.75)
-    a = S.search(p, idx, req, spec, sorts=S.CONTEXTUAL_SORTS).select(
+    a = S.search(p, idx, req, CONTEXTUAL_SPEC, sorts=S.CONTEXTUAL_SORTS).select(
         "query_id", "id", F.col("rank").cast("long").alias("contextual_rank"))
     b = S.search(p, idx, req).select("query_id", "id", F.col("rank").cast("long").alias("search_rank"))
     return a.join(b, ["query_id", "id"], "full")
@@ -215,8 +209,7 @@ def highlight(spark, sf):
     p = papers(spark, sf)
     idx = paper_index(p)
     req = search_requests(spark, sf, "contextual")
-    spec = S.TextQuery(CONTEXTUAL_NO_ENGLISH, fuzzy=True, min_should_match=0.75)
-    page = S.search(p, idx, req, spec, sorts=S.CONTEXTUAL_SORTS)
-    out = hl(page.select("query_id", "id", "rank"), p, req, idx, spec)
+    page = S.search(p, idx, req, CONTEXTUAL_SPEC, sorts=S.CONTEXTUAL_SORTS)
+    out = hl(page.select("query_id", "id", "rank"), p, req, idx, CONTEXTUAL_SPEC)
     return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "field",
                       F.array_join("fragments", " ... ").alias("fragments"))

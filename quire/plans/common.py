@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import tokens
 from quire.operators.mapping import map_joined, join_sources, map_papers
 from quire.sources.fixtures import flat_sources, read_table, sources, vectors_source
 
@@ -22,7 +21,12 @@ def papers_and_rejects(spark: SparkSession, sf_dir: str, with_vectors: bool = Tr
 _PUBLISHED: dict[tuple, str] = {}
 
 
-def papers(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
+def snapshot_key(p: DataFrame) -> tuple:
+    """Names the published snapshot that ``papers`` returned."""
+    return p._snapshot_key
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published ``papers`` snapshot of a source folder (with vectors).
 
     Like the sync job would, it is built once per session from the driver
@@ -31,19 +35,22 @@ def papers(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataF
     re-running the ingest. Plans that do not touch ``embeddingVector`` never
     read it (column pruning).
     """
-    with_vectors = True
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), with_vectors)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     path = _PUBLISHED.get(key)
+    found = None
     if path is not None:
         try:
-            return spark.read.parquet(path)
+            found = spark.read.parquet(path)
         except Exception:  # snapshot folder cleaned up: rebuild
             _PUBLISHED.pop(key, None)
-    from quire.session import shared_path
-    path = shared_path(spark, "published", "papers")
-    papers_and_rejects(spark, sf_dir, with_vectors)[0].write.mode("overwrite").parquet(path)
-    _PUBLISHED[key] = path
-    return spark.read.parquet(path)
+    if found is None:
+        from quire.session import shared_path
+        path = shared_path(spark, "published", "papers")
+        papers_and_rejects(spark, sf_dir)[0].write.mode("overwrite").parquet(path)
+        _PUBLISHED[key] = path
+        found = spark.read.parquet(path)
+    found._snapshot_key = (*key, path)
+    return found
 
 
 def mapped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +74,6 @@ def flat_paper(df: DataFrame, *extra) -> DataFrame:
         "hasAbstract", *extra)
 
 
-def text_queries(spark: SparkSession, sf_dir: str, n_tokens: int = 4) -> DataFrame:
-    """One text request per benchmark item: its first ``n_tokens`` tokens."""
-    b = read_table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"),
-                    F.array_join(F.slice(tokens("text"), 1, n_tokens), " ").alias("query"))
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text request per benchmark item: its whole text."""
+    return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

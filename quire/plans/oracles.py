@@ -126,8 +126,8 @@ SELECT {sel} FROM (
 WHERE rank > {frm} AND rank <= {frm + size}""")
 
 
-def text_queries_sql(n: int = 4) -> str:
-    return f"SELECT item_id AS query_id, array_to_string(list_slice({tokens_sql('text')}, 1, {n}), ' ') AS query FROM benchmark"
+def text_queries_sql() -> str:
+    return "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.plans.oracles import MAPPED, ORACLES
-from quire.plans.oracles_search import SEARCH_SORTS, ranking_sql, requests_sql, scored_ctes
+from quire.plans.oracles_search import CONTEXTUAL, CONTEXTUAL_SORTS, SEARCH_SORTS, ranking_sql, requests_sql, scored_ctes
 
 DV = """dv AS (SELECT p.id, CAST(e.embedding AS DOUBLE[]) AS vec FROM papers p JOIN embeddings e ON e.vec_id = p.doc_id
        WHERE len(e.embedding) = 64 AND list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > 0)"""
@@ -15,11 +15,13 @@ def score(a: str, b: str) -> str:
 
 ORACLES["knn_exact"] = f"""WITH {MAPPED},
 {DV},
-qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id < 5),
+qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE len(embedding) = 64),
 s AS (SELECT q.query_id, d.id, {score('q.vec', 'd.vec')} AS score FROM qv q CROSS JOIN dv d)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
 
+ORACLES["knn_ivf"] = ORACLES["knn_exact"]
+
 ORACLES["related_docs"] = f"""WITH {MAPPED},
 {DV},
 s AS (SELECT q.id AS query_id, d.id, {score('q.vec', 'd.vec')} AS score FROM dv q JOIN dv d ON q.id <> d.id)
@@ -41,3 +43,15 @@ comb AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.i
                 round(coalesce(v.vscore, 0e0) + coalesce(t.score, 0e0), 6) AS score
          FROM vk v FULL OUTER JOIN scored t ON v.query_id = t.query_id AND v.id = t.id),
 {ranking_sql("comb", SEARCH_SORTS, "latest", True)}"""
+
+
+# every fourth request has no usable vector and takes the contextual search
+_FALLBACK_REQUESTS = requests_sql("vector").replace("CAST(e.embedding AS DOUBLE[]) AS vec",
+                                                    "CASE WHEN q.query_id % 4 <> 0 THEN CAST(e.embedding AS DOUBLE[]) END AS vec")
+_HYBRID_PART = ORACLES["search_hybrid"].replace(requests_sql("vector"), f"SELECT * FROM ({_FALLBACK_REQUESTS}) WHERE vec IS NOT NULL")
+_CONTEXT_PART = f"""WITH {MAPPED},
+r AS (SELECT * REPLACE (NULL::BOOLEAN AS r_has_abstract) FROM ({_FALLBACK_REQUESTS}) WHERE vec IS NULL),
+{scored_ctes(CONTEXTUAL, {}, True, 0.75)},
+{ranking_sql("scored", CONTEXTUAL_SORTS, None)}"""
+ORACLES["semantic_with_fallback"] = f"""SELECT *, 'semantic' AS search_type FROM ({_HYBRID_PART})
+UNION ALL SELECT *, 'contextual' FROM ({_CONTEXT_PART})"""

@@ -25,9 +25,9 @@ SELECT doc_id,
   CASE WHEN doc_id % 83 = 9 THEN 13 WHEN doc_id % 5 = 0 THEN NULL ELSE 1 + doc_id % 12 END AS pub_month,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1 + doc_id % 28 END AS pub_day,
   CASE WHEN doc_id % 43 = 4 THEN NULL
-       ELSE concat('<jats:title>', substr(text, 1, 60), ' &amp; r&lt;d&gt;</jats:title>') END AS title_raw,
+       ELSE concat('<jats:title>', split_part(split_part(text, chr(10), 1), '. ', 1), ' &amp; r&lt;d&gt;</jats:title>') END AS title_raw,
   CASE WHEN doc_id % 11 = 4 OR doc_id % 43 = 4 AND doc_id % 2 = 0 THEN ''
-       ELSE concat('<jats:p>Abstract ', substr(text, 1, 600), '</jats:p>') END AS abstract_raw,
+       ELSE concat('<jats:p>Abstract ', text, '</jats:p>') END AS abstract_raw,
   CASE WHEN doc_id % 17 = 2 THEN NULL ELSE concat('Journal of ', source) END AS journal_raw,
   concat('Publisher ', lang) AS publisher_raw,
   concat('Given', cast(doc_id % 50 AS string)) AS given_1, concat('Family', cast(doc_id % 20 AS string)) AS family_1,
