@@ -23,9 +23,9 @@ from quire.functions._ship import ship_by_value
 
 ship_by_value(__name__)
 
-# Per-call limits of the embedding step.
-MAX_TEXT_CHARS = 32_000
+# Texts of one call, and the length that a model of the remote kind takes.
 CHUNK_SIZE = 20
+MODEL_CHARS = 32_000
 
 _TOKEN = re.compile(r"[^\W]+(?:['’.][^\W]+)*", re.UNICODE)
 
@@ -48,52 +48,68 @@ class HashingEmbedder:
         return out
 
 
-def _embed_batches(embedder: Callable, dim: int, text_col: str, key_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            vecs = np.zeros((len(texts), dim), dtype=np.float32)
-            status = np.array(["ok"] * len(texts), dtype=object)
-            todo = [i for i, t in enumerate(texts) if t.strip()]
-            for i in range(len(texts)):
-                if not texts[i].strip():
-                    status[i] = "blank"
-            for s in range(0, len(todo), CHUNK_SIZE):
-                idx = todo[s:s + CHUNK_SIZE]
-                try:
-                    got = np.asarray(embedder([texts[j][:MAX_TEXT_CHARS] for j in idx]), dtype=np.float32)
-                    if got.shape != (len(idx), dim):
-                        raise ValueError(f"embedder returned {got.shape}")
-                    vecs[idx] = got
-                except Exception:
-                    status[idx] = "chunk_failed"  # zero vectors for this chunk only
-            yield pd.DataFrame({key_col: pdf[key_col].to_numpy(), "embedding": list(vecs), "embed_status": status})
-    return run
-
+class PiecewiseEmbedder:
+    """For models that take ``max_chars`` at most: a longer text is embedded
+    in pieces and gets the mean of their vectors, of length 1."""
 
-def embed_column(df: DataFrame, text_col: str, key_col: str = "id", dim: int = 768,
-                 embedder: Callable | None = None) -> DataFrame:
-    """(key, embedding array<float>, embed_status) for every row of ``df``."""
-    embedder = embedder or HashingEmbedder(dim)
-    schema = T.StructType([T.StructField(key_col, df.schema[key_col].dataType),
-                           T.StructField("embedding", T.ArrayType(T.FloatType())),
-                           T.StructField("embed_status", T.StringType())])
-    return df.select(key_col, text_col).mapInPandas(_embed_batches(embedder, dim, text_col, key_col), schema)
+    def __init__(self, inner: Callable, max_chars: int = MODEL_CHARS):
+        self.inner, self.max_chars = inner, max_chars
 
-
-def null_vectors(df: DataFrame, key_col: str = "id") -> DataFrame:
-    """Embedding disabled or failed as a whole: null vectors, the sync goes on."""
-    return df.select(key_col, F.lit(None).cast("array<float>").alias("embedding"),
-                     F.lit("disabled").alias("embed_status"))
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        pieces = [[t[a:a + self.max_chars] for a in range(0, max(1, len(t)), self.max_chars)] for t in texts]
+        vectors = np.asarray(self.inner([p for ps in pieces for p in ps]), dtype=np.float32)
+        ends = np.cumsum([len(ps) for ps in pieces])
+        out = np.stack([part.mean(axis=0) if len(part) > 1 else part[0] for part in np.split(vectors, ends[:-1])])
+        for i, ps in enumerate(pieces):
+            if len(ps) > 1 and (n := np.linalg.norm(out[i])) > 0:
+                out[i] /= n
+        return out
 
 
-class FailingEveryNthChunk:
-    """Test double: raises for chunks whose first text hashes into the failing class."""
+class RefusingEmbedder:
+    """A model that refuses a call with a text above ``max_chars``."""
 
-    def __init__(self, inner: Callable, n: int = 3):
-        self.inner, self.n = inner, n
+    def __init__(self, inner: Callable, max_chars: int = MODEL_CHARS):
+        self.inner, self.max_chars = inner, max_chars
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if zlib.crc32(texts[0].encode("utf-8")) % self.n == 0:
-            raise RuntimeError("embedding service unavailable")
+        if max(map(len, texts)) > self.max_chars:
+            raise ValueError(f"a text is longer than {self.max_chars} characters")
         return self.inner(texts)
+
+
+def _embed_texts(embedder: Callable, dim: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            texts = series.fillna("").astype(str).tolist()
+            vectors = np.zeros((len(texts), dim), dtype=np.float32)
+            status = np.array(["ok" if t.strip() else "blank" for t in texts], dtype=object)
+            todo = np.flatnonzero(status == "ok")
+            for at in range(0, len(todo), CHUNK_SIZE):
+                rows = todo[at:at + CHUNK_SIZE]
+                try:
+                    got = np.asarray(embedder([texts[i] for i in rows]), dtype=np.float32)
+                    if got.shape != (len(rows), dim):
+                        raise ValueError(f"embedder returned {got.shape}")
+                    vectors[rows] = got
+                except Exception:
+                    status[rows] = "chunk_failed"  # zero vectors for this chunk only
+            yield pd.DataFrame({"vector": list(vectors), "status": status})
+    return run
+
+
+def embed_column(df: DataFrame, text_col: str, dim: int = 768, embedder: Callable | None = None, *,
+                 column: str = "embedding", status: str = "embed_status") -> DataFrame:
+    """``df`` with the vector (array<float>) and status of every row's whole
+    text. The embedder takes texts of any length (see PiecewiseEmbedder)."""
+    schema = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType())])
+    udf = F.pandas_udf(_typed(_embed_texts(embedder or HashingEmbedder(dim), dim)), schema)
+    out = df.withColumn("_embedded", udf(F.col(text_col)))
+    return out.withColumn(column, F.col("_embedded.vector")).withColumn(status, F.col("_embedded.status")).drop("_embedded")
+
+
+def _typed(run):
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+    embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return embed

@@ -73,11 +73,13 @@ def decode_entities(c: Column | str) -> Column:
 
     def piece(p: Column, i: Column) -> Column:
         name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        dec = F.regexp_extract(p, r"^#([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
+        dec = F.regexp_extract(p, r"^#([0-9]+);", 1)
+        hx = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]+);", 1)
         named = F.try_element_at(emap, name)
-        dec_cp = F.when(dec != "", dec.cast("long"))
-        hex_cp = F.when(hx != "", F.conv(hx, 16, 10).cast("long"))
+        # leading zeros mean nothing; what is longer without them is no code point
+        short_dec, short_hex = F.regexp_replace(dec, "^0+", ""), F.regexp_replace(hx, "^0+", "")
+        dec_cp = F.when((dec != "") & (F.length(short_dec) <= 7), F.concat(F.lit("0"), short_dec).cast("long"))
+        hex_cp = F.when((hx != "") & (F.length(short_hex) <= 6), F.conv(F.concat(F.lit("0"), short_hex), 16, 10).cast("long"))
         cp = F.coalesce(dec_cp, hex_cp)
         cp_ok = cp.isNotNull() & (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
         cp_len = F.when(dec != "", F.length(dec) + 2).otherwise(F.length(hx) + 3)

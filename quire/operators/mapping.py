@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import WS_CLASS, clean_text, first_or_empty, is_blank, not_blank, sanitize_double
+from quire.operators.table import newest_per_key
 from quire.schema import PAPER_COLUMNS, papers_schema
 
 # Reject reasons, in the order they are tested.
@@ -73,8 +74,11 @@ def join_sources(stats: DataFrame, crossref: DataFrame) -> DataFrame:
     """stats LEFT JOIN crossref on _id. Unmatched rows are kept for the reject table.
 
     Sort-merge at scale (both sides keyed by _id); AQE may switch to a
-    broadcast at run time when one side turns out small.
+    broadcast at run time when one side turns out small. Repeated crossref
+    ids multiply no rows: of several the last by hash counts, or the caller
+    picks by a column of its own with ``newest_per_key`` before.
     """
+    crossref = newest_per_key(crossref, ["_id"])
     cr = crossref.select(F.col("_id"), F.col("publishedAt").alias("_pub"), F.col("raw_data").alias("_raw"),
                          F.lit(True).alias("_has_crossref"))
     return stats.join(cr, "_id", "left")

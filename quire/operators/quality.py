@@ -9,17 +9,18 @@ from quire.sources.scan import arithmetic_hash
 
 # Protected name prefixes (compared case-insensitively).
 PROTECTED_PREFIXES = (".opensearch", ".security", ".kibana", ".opendistro")
-DUPLICATE_BUCKET_LIMIT = 1000
 
 
-def duplicate_ids(df: DataFrame, key: str = "id", min_count: int = 2, limit: int = DUPLICATE_BUCKET_LIMIT) -> DataFrame:
-    """Keys present at least ``min_count`` times, most frequent first (top ``limit``).
+def duplicate_ids(df: DataFrame, key: str = "id", min_count: int = 2, limit: int | None = None) -> DataFrame:
+    """Keys present at least ``min_count`` times; with ``limit`` the most
+    frequent ones only (a top-k report).
 
     Partial aggregation per partition before the shuffle, so a hot key costs
     one row per partition, not one per copy.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("doc_count"), F.count(F.col(key)).alias("value_count"))
-    return counts.where(F.col("doc_count") >= min_count).orderBy(F.col("doc_count").desc(), F.col(key)).limit(limit)
+    found = counts.where(F.col("doc_count") >= min_count)
+    return found if limit is None else found.orderBy(F.col("doc_count").desc(), F.col(key)).limit(limit)
 
 
 def total_count(df: DataFrame) -> DataFrame:
@@ -27,26 +28,29 @@ def total_count(df: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """One row per column: rows, nulls, distinct values (approx by default).
+    """One row per column: type, rows, nulls, distinct values and bytes of its
+    values as text. Arrays and structs are profiled through their JSON text.
 
-    Arrays/structs are profiled through their JSON text. One aggregation
-    pass over the table, then an unpivot of the single result row.
+    Approximate distinct counts (the default) take one pass; exact ones take
+    an aggregation per column, each reading its column only, rather than one
+    that multiplies every row by the number of columns.
     """
-    cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for c in cols:
-        dt = df.schema[c].dataType.simpleString()
-        v = F.col(f"`{c}`")
-        if dt.startswith(("array", "struct", "map")):
-            v = F.to_json(v)
-        aggs.append(F.sum(F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0)).alias(f"n__{c}"))
-        aggs.append((F.countDistinct(v) if exact else F.approx_count_distinct(v)).alias(f"d__{c}"))
-    one = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `n__{c}`, `d__{c}`" for c in cols)
-    return one.selectExpr(f"stack({len(cols)}, {stack}) as (column_name, null_count, distinct_count)",
-                          "__rows as row_count").select(
-        "column_name", F.col("row_count").cast("long"), F.col("null_count").cast("long"),
-        F.col("distinct_count").cast("long"))
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType.typeName()
+        return F.to_json(f"`{c}`") if kind in ("array", "struct", "map") else F.col(f"`{c}`").cast("string")
+
+    def facts(c: str, distinct: Column) -> Column:
+        return F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
+                        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(f"`{c}`").isNull()).alias("null_count"),
+                        distinct.alias("distinct_count"), F.coalesce(F.sum(F.octet_length(text(c))), F.lit(0)).alias("text_bytes"))
+
+    if exact:
+        out = None
+        for c in df.columns:
+            one = df.select(f"`{c}`").agg(facts(c, F.count_distinct(text(c))).alias("f")).select("f.*")
+            out = one if out is None else out.unionByName(one)
+        return out
+    return df.agg(F.array(*[facts(c, F.approx_count_distinct(text(c))) for c in df.columns]).alias("fs")).select(F.inline("fs"))
 
 
 def bucket_of(key: Column, buckets: int, portable_key: bool = False) -> Column:
@@ -107,3 +111,8 @@ def is_protected(name: Column) -> Column:
     for p in PROTECTED_PREFIXES:
         cond = cond | low.startswith(p)
     return cond
+
+
+def is_protected_name(name: str) -> bool:
+    """``is_protected`` for one name."""
+    return name.lower().startswith(PROTECTED_PREFIXES)

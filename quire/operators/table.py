@@ -1,194 +1,182 @@
-"""Versioned ``papers`` table on plain Parquet with keyed upserts.
+"""Keyed upserts into a ``papers`` table on plain Parquet.
 
 Layout under ``base``:
-  data/v=<version>/bucket=<b>/part-*.parquet   rows of bucket b written in that version
-  _commits/<version>.json                      manifest {bucket: version holding it,
-                                               "batch_id": last applied batch}
-
-An upsert rewrites only the hash buckets its batch touches (old rows of those
-buckets minus the batch keys, plus the batch), so its cost follows the batch,
-not the table. Publishing a version is the creation of its manifest file:
-readers always resolve the newest manifest and see either the old or the new
-version, never a half-written one. A batch id at or below the last committed
-one is a replay and changes nothing.
+  _schema/               an empty file set with the declared schema
+  data/batch=<name>/     the rows of one batch, each with the batch's ``_seq``
+  rejects/batch=<name>/  what the batch turned away
+  log/                   one row per applied batch, written last
+
+A batch is appended, so its cost follows the batch; the newest row of a key
+wins when the table is read. ``compact`` folds all batches into one. A batch
+counts once its row is in the log: folders without one are never read and are
+overwritten when the batch is tried again. The log knows batches by (stream,
+batch id), so a replayed batch changes nothing, whatever else was applied
+since, and two streams never stand in each other's way. One writer per table.
 """
 
 from __future__ import annotations
 
-import json
-import time
+import datetime as dt
+import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
-DEFAULT_BUCKETS = 64
-# Protected prefixes for drop (compared case-insensitively).
-PROTECTED_PREFIXES = (".opensearch", ".security", ".kibana", ".opendistro")
+from quire.operators.quality import is_protected_name
+from quire.session import delete_path
 
+LOG_DDL = ("stream string, batch_id long, batch string, seq long, kind string, last_id string, retrieved long, indexed long, "
+           "created long, updated long, rejected long, started_at timestamp, ended_at timestamp, map_s double, write_s double")
+#: Batches after which an upsert folds the table, to bound what a read merges.
+COMPACT_AFTER = 32
 
-def bucket_col(key: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
+def now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
-class _FS:
-    """Minimal Hadoop FileSystem access (works for any cluster file system)."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        jvm = spark.sparkContext._jvm
-        self._jvm = jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self._Path(path).getFileSystem(conf)
-
-    def exists(self, p: str) -> bool:
-        return self.fs.exists(self._Path(p))
-
-    def list_names(self, p: str) -> list[str]:
-        if not self.exists(p):
-            return []
-        return [s.getPath().getName() for s in self.fs.listStatus(self._Path(p))]
-
-    def write_new(self, p: str, text: str) -> None:
-        out = self.fs.create(self._Path(p), False)  # fails if it already exists
-        out.write(bytearray(text.encode("utf-8")))
-        out.close()
-
-    def read(self, p: str) -> str:
-        stream = self.fs.open(self._Path(p))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def delete(self, p: str) -> bool:
-        return self.fs.delete(self._Path(p), True)
+def newest_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last by ``order``; without an order (and among
+    ties) the one with the largest hash, the same in every run. Partial
+    maxima are taken before the shuffle, so a hot key costs a row per task."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rank = F.struct(*[F.col(f"`{c}`") for c in order or []], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_h"))
+    return df.groupBy(*keys).agg(F.max_by(whole, rank).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 @dataclass
 class UpsertResult:
-    version: int
+    seq: int
     applied: bool
-    accounting: DataFrame | None
+    created: int
+    updated: int
 
 
 class PapersTable:
-    def __init__(self, spark: SparkSession, base: str, key: str = "id", buckets: int = DEFAULT_BUCKETS):
-        self.spark, self.base, self.key, self.buckets = spark, base.rstrip("/"), key, buckets
-        self.fs = _FS(spark, self.base)
-        self._schema = None
+    def __init__(self, spark: SparkSession, base: str, key: str = "id", compact_after: int = COMPACT_AFTER):
+        self.spark, self.base, self.key, self.compact_after = spark, base.rstrip("/"), key, compact_after
+        self._schema: T.StructType | None = None
 
-    def schema(self):
+    # --------------------------------------------------------------- state
+    def exists(self) -> bool:
+        try:
+            self.schema()
+        except AnalysisException:
+            return False
+        return True
+
+    def create_if_absent(self, schema: T.StructType) -> None:
+        """An empty table with the declared schema."""
+        if not self.exists():
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.base}/_schema")
+            self._schema = schema
+
+    def schema(self) -> T.StructType:
         if self._schema is None:
             self._schema = self.spark.read.parquet(f"{self.base}/_schema").schema
         return self._schema
 
-    # ------------------------------------------------------------ manifests
-    def _commits(self) -> list[int]:
-        return sorted(int(n.split(".")[0]) for n in self.fs.list_names(f"{self.base}/_commits") if n.endswith(".json"))
-
-    def manifest(self, version: int | None = None) -> dict:
-        versions = self._commits()
-        if not versions:
-            return {"version": 0, "buckets": {}, "batch_id": None}
-        v = versions[-1] if version is None else version
-        return json.loads(self.fs.read(f"{self.base}/_commits/{v:020d}.json"))
-
-    def exists(self) -> bool:
-        return bool(self._commits())
-
-    def create_if_absent(self, schema) -> None:
-        """Version 0: an empty table with the declared schema."""
-        if self.exists():
-            return
-        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.base}/_schema")
-        self._schema = schema
-        self.fs.write_new(f"{self.base}/_commits/{0:020d}.json",
-                          json.dumps({"version": 0, "buckets": {}, "batch_id": None, "committed_at": time.time()}))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        m = self.manifest(version)
-        paths = [f"{self.base}/data/v={v}/bucket={b}" for b, v in sorted(m["buckets"].items(), key=lambda x: int(x[0]))]
-        schema = self.schema()
-        if not paths:
+    def log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LOG_DDL).parquet(f"{self.base}/log")
+        except AnalysisException:  # nothing applied yet
+            return self.spark.createDataFrame([], LOG_DDL)
+
+    def _live(self) -> list[tuple[str, int]]:
+        """(batch, seq) from the newest compaction on: at most compact_after + 1."""
+        log = self.log()
+        base = log.where("kind = 'base'").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        return [(r["batch"], r["seq"]) for r in log.where(F.col("seq") >= base).select("batch", "seq").collect()]
+
+    def applied(self, stream: str, batch_id: int | None) -> bool:
+        return batch_id is not None and bool(
+            self.log().where((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).limit(1).count())
+
+    def _rows(self, live: list[tuple[str, int]]) -> DataFrame:
+        schema = T.StructType([*self.schema().fields, T.StructField("_seq", T.LongType())])
+        if not live:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*[f"{self.base}/data/batch={b}" for b, _ in live])
+
+    def read(self) -> DataFrame:
+        live = self._live()
+        rows = self._rows(live)
+        return (rows if len(live) < 2 else newest_per_key(rows, [self.key], ["_seq"])).drop("_seq")
 
     # -------------------------------------------------------------- upsert
-    def upsert(self, batch: DataFrame, batch_id: int | None = None, order_col: str | None = None) -> UpsertResult:
-        """Whole-document replace keyed by ``key``; insert when new."""
-        m = self.manifest()
-        last = m.get("batch_id")
-        if batch_id is not None and last is not None and batch_id <= last:
-            return UpsertResult(m["version"], False, None)  # replay: already committed
-        if order_col:  # several versions of a key in one batch: the last one wins
-            w = Window.partitionBy(self.key).orderBy(F.col(order_col).desc())
-            batch = batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", order_col)
-        else:
-            batch = batch.dropDuplicates([self.key])
-        schema = self.schema()
-        batch = batch.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
-        staged = batch.withColumn("bucket", bucket_col(self.key, self.buckets))
-        if not m["buckets"]:
-            return self._first_load(staged, m, batch_id)
-        path = f"{self.base}/_staging/{int(time.time() * 1e6)}"
-        staged.write.mode("overwrite").parquet(path)  # the batch is read twice below
-        staged = self.spark.read.parquet(path)
-        touched = [r["bucket"] for r in staged.select("bucket").distinct().collect()]  # <= number of buckets
-        old_paths = [f"{self.base}/data/v={m['buckets'][str(b)]}/bucket={b}" for b in touched if str(b) in m["buckets"]]
-        keys = staged.select(self.key, F.lit(True).alias("_new"))
-        if old_paths:
-            old = self.spark.read.schema(schema).parquet(*old_paths).withColumn("bucket", bucket_col(self.key, self.buckets))
-            old_keys = old.select(self.key)
-            kept = old.join(keys, self.key, "left_anti")
-            accounting = staged.select(self.key).join(old_keys.withColumn("_old", F.lit(True)), self.key, "left")
-        else:
-            kept = None
-            accounting = staged.select(self.key).withColumn("_old", F.lit(None).cast("boolean"))
-        merged = staged if kept is None else kept.unionByName(staged)
-        version = m["version"] + 1
-        # one task (one file) per bucket: ids hash uniformly, so buckets are even
-        (merged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{self.base}/data/v={version}"))
-        tallies = accounting.select(F.when(F.col("_old"), F.lit("updated")).otherwise(F.lit("created")).alias("result")) \
-            .groupBy("result").agg(F.count(F.lit(1)).alias("n"))
-        tallies = self.spark.createDataFrame(tallies.collect(), "result string, n long")  # at most two rows
-        buckets = dict(m["buckets"])
-        for b in touched:
-            buckets[str(b)] = version
-        self.fs.write_new(f"{self.base}/_commits/{version:020d}.json", json.dumps(
-            {"version": version, "buckets": buckets, "batch_id": batch_id, "committed_at": time.time()}))
-        self.fs.delete(path)
-        return UpsertResult(version, True, tallies)
-
-    def _first_load(self, staged: DataFrame, m: dict, batch_id: int | None) -> UpsertResult:
-        """Empty table: every row is a create; write the buckets directly and
-        read the touched bucket list back from the written folders."""
-        version = m["version"] + 1
-        out = f"{self.base}/data/v={version}"
-        staged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
-        touched = [int(n.split("=", 1)[1]) for n in self.fs.list_names(out) if n.startswith("bucket=")]
-        created = self.spark.read.parquet(out).count() if touched else 0
-        tallies = self.spark.createDataFrame([("created", created)], "result string, n long")
-        self.fs.write_new(f"{self.base}/_commits/{version:020d}.json", json.dumps(
-            {"version": version, "buckets": {str(b): version for b in touched}, "batch_id": batch_id,
-             "committed_at": time.time()}))
-        return UpsertResult(version, True, tallies)
+    def upsert(self, batch: DataFrame, batch_id: int | None = None, order: list[str] | None = None, *, stream: str = "default",
+               rejects: DataFrame | None = None, facts: dict | None = None) -> UpsertResult:
+        """Whole-document replace keyed by ``key``; insert when new.
+
+        Of several rows of a key the last by ``order`` wins. A vector column
+        whose schema metadata names a dimension takes vectors of that
+        dimension only: others become null. ``facts`` are further log columns.
+        """
+        if self.applied(stream, batch_id):
+            return UpsertResult(0, False, 0, 0)
+        started = now()
+        live = self._live()
+        seq = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+        name = re.sub(r"\W", "_", stream) + (f"-{batch_id:012d}" if batch_id is not None else f"-x{uuid.uuid4().hex}")
+        rows = newest_per_key(batch, [self.key], order) if order else newest_per_key(batch, [self.key])
+        rows = rows.select(*[self._checked(f).alias(f.name) for f in self.schema().fields], F.lit(seq).alias("_seq"))
+        path = f"{self.base}/data/batch={name}"
+        rows.write.mode("overwrite").parquet(path)
+        if rejects is not None:
+            rejects.write.mode("overwrite").parquet(f"{self.base}/rejects/batch={name}")
+        own = self.spark.read.parquet(path).select(self.key)
+        total = own.count()
+        updated = own.join(self._rows(live).select(self.key), self.key, "left_semi").count() if live else 0
+        row = {"stream": stream, "batch_id": batch_id, "batch": name, "seq": seq, "kind": "batch", "created": total - updated,
+               "updated": updated, "started_at": started, "ended_at": now(), **(facts or {})}
+        row["write_s"] = (row["ended_at"] - started).total_seconds()
+        self._append(row)
+        if len(live) + 1 > self.compact_after:
+            self.compact()
+        return UpsertResult(seq, True, total - updated, updated)
+
+    def _checked(self, field: T.StructField):
+        value = F.col(field.name).cast(field.dataType)
+        dim = (field.metadata or {}).get("dim")
+        return value if dim is None else F.when(F.size(value) == dim, value)
+
+    def _append(self, row: dict) -> None:
+        schema = self.spark.createDataFrame([], LOG_DDL).schema
+        self.spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema).coalesce(1).write.mode("append").parquet(f"{self.base}/log")
+
+    def compact(self) -> None:
+        """Folds all batches into one folder. Folders of before the last
+        compaction but one are deleted: a reader may still be on the others."""
+        live = self._live()
+        if len(live) < 2:
+            return
+        bases = [r["seq"] for r in self.log().where("kind = 'base'").select("seq").orderBy(F.col("seq").desc()).limit(1).collect()]
+        old = self.log().where(F.col("seq") < (bases[0] if bases else 0)).select("batch").collect()
+        seq = max(s for _, s in live) + 1
+        name = f"base-{seq:012d}"
+        self.read().withColumn("_seq", F.lit(seq)).write.mode("overwrite").parquet(f"{self.base}/data/batch={name}")
+        self._append({"stream": "", "batch": name, "seq": seq, "kind": "base", "started_at": now(), "ended_at": now()})
+        for r in old:
+            delete_path(self.spark, f"{self.base}/data/batch={r['batch']}")
+
+    def rejects(self) -> DataFrame:
+        """Reject rows of the applied batches with their batch."""
+        try:
+            found = self.spark.read.option("basePath", f"{self.base}/rejects").parquet(f"{self.base}/rejects")
+        except AnalysisException:
+            return self.spark.createDataFrame([], "id string, reason string, batch string")
+        return found.join(self.log().select("batch"), "batch", "left_semi")
 
     def drop(self) -> bool:
         return drop_table(self.spark, self.base)
 
 
-def is_protected_name(name: str) -> bool:
-    low = name.lower()
-    return any(low.startswith(p) for p in PROTECTED_PREFIXES)
-
-
 def drop_table(spark: SparkSession, path: str, name: str | None = None) -> bool:
     """Drop by name; protected names are refused; a missing table is a soft result (False)."""
     if name is not None and is_protected_name(name):
         raise PermissionError(f"refusing to drop protected table {name!r}")
-    fs = _FS(spark, path)
-    if not fs.exists(path):
-        return False
-    return fs.delete(path)
+    return delete_path(spark, path)

@@ -317,9 +317,7 @@ def duplicate_ids(spark, sf):
 
 @query
 def table_profile(spark, sf):
-    p = papers(spark, sf).select("id", "doi", "title", "journal", "publisher", "publishedAt",
-                                 "publicationHotScore", "pageRank", "citationsCount", "hasAbstract")
-    return quality.table_profile(p, exact=True)
+    return quality.table_profile(papers(spark, sf), exact=True).select("column_name", "row_count", "null_count", "distinct_count")
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.fuzzy import fuzzy_candidates
 from quire.functions.text import tokens
 from quire.operators import search as S
-from quire.operators.index import TEXT_FIELDS, TextIndex, build_index, materialize_index
+from quire.operators.index import TEXT_FIELDS, TextIndex, build_index, build_term_stats, materialize_index
 from quire.session import cut_lineage
 from quire.plans.catalog import query
 from quire.plans.common import papers, snapshot_key, text_queries
@@ -39,7 +39,7 @@ def with_english(idx: TextIndex) -> TextIndex:
     eng = cut_lineage(english_postings(postings, emap), "english_postings")
     fstat = eng.agg(F.lit(ENGLISH_FIELD).alias("field"), F.count_distinct("id").alias("n_docs"),
                     (F.sum("tf") / F.count_distinct("id")).alias("avgdl"))
-    return TextIndex(postings.unionByName(eng), idx.term_stats, idx.field_stats.unionByName(fstat), english=emap)
+    return TextIndex(postings.unionByName(eng), build_term_stats(postings).unionByName(build_term_stats(eng)), idx.field_stats.unionByName(fstat), english=emap)
 
 
 def search_requests(spark, sf, variant: str = "plain") -> DataFrame:

@@ -6,16 +6,15 @@ directory, so runs never see each other's state.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.embed import HashingEmbedder
 from quire.operators.table import PapersTable
 from quire.plans.catalog import query
-from quire.plans.common import TEST_DIM
+from quire.plans.common import TEST_DIM, flat_paper
 from quire.session import shared_path
-from quire.sources.fixtures import flat_sources, read_table, sources, vectors_source
+from quire.sources.fixtures import crossref_source, flat_sources, read_table, sources, stats_source, vectors_source
 from quire.streaming import sync as SY
 
 
@@ -31,20 +30,30 @@ def batch_b(flat: DataFrame) -> DataFrame:
     return flat.where(F.col("doc_id") % 4 >= 2).withColumn("citations_raw", F.col("citations_raw") + 1)
 
 
+def arrival(flat: DataFrame, k: int) -> DataFrame:
+    """Arrivals 0-3: the source rows split by doc_id % 4; arrival 4: batch B."""
+    return batch_b(flat) if k == 4 else flat.where(F.col("doc_id") % 4 == k)
+
+
+def sync_flat(spark, flat: DataFrame, table: PapersTable, batch_id: int | None, dim: int = TEST_DIM, **options) -> dict:
+    return SY.sync(spark, stats_source(flat), crossref_source(flat), table, batch_id, dim, **options)
+
+
 def _content(t: PapersTable) -> DataFrame:
-    return t.read().select("id", F.col("citationsCount").cast("long").alias("citationsCount"))
+    """Whole documents, texts by their digest."""
+    return flat_paper(t.read(), F.sha2("contextualContent", 256).alias("content"))
 
 
 def _table(spark, name: str) -> PapersTable:
-    return PapersTable(spark, shared_path(spark, "tables", name), buckets=16)
+    return PapersTable(spark, shared_path(spark, "tables", name))
 
 
 @query
 def upsert_apply(spark, sf):
     flat = _flat(spark, sf)
     t = _table(spark, "upsert_apply")
-    SY.sync_flat(spark, batch_a(flat), t, 1, TEST_DIM)
-    SY.sync_flat(spark, batch_b(flat), t, 2, TEST_DIM)
+    sync_flat(spark, batch_a(flat), t, 1)
+    sync_flat(spark, batch_b(flat), t, 2)
     return _content(t)
 
 
@@ -52,8 +61,8 @@ def upsert_apply(spark, sf):
 def upsert_accounting(spark, sf):
     flat = _flat(spark, sf)
     t = _table(spark, "upsert_accounting")
-    a = SY.sync_flat(spark, batch_a(flat), t, 1, TEST_DIM)
-    b = SY.sync_flat(spark, batch_b(flat), t, 2, TEST_DIM)
+    a = sync_flat(spark, batch_a(flat), t, 1)
+    b = sync_flat(spark, batch_b(flat), t, 2)
     rows = [(name, res, m[res]) for name, m in (("A", a), ("B", b)) for res in ("created", "updated", "rejected")]
     return spark.createDataFrame(rows, "batch string, result string, n long")
 
@@ -62,80 +71,85 @@ def upsert_accounting(spark, sf):
 def upsert_idempotent(spark, sf):
     flat = _flat(spark, sf)
     t = _table(spark, "upsert_idempotent")
-    SY.sync_flat(spark, batch_a(flat), t, 1, TEST_DIM)
-    SY.sync_flat(spark, batch_b(flat), t, 2, TEST_DIM)
-    replay = SY.sync_flat(spark, batch_b(flat), t, 2, TEST_DIM)   # same batch id: a no-op
-    assert not replay["applied"]
-    SY.sync_flat(spark, batch_b(flat), t, 3, TEST_DIM)            # same rows again: all updates, same content
+    sync_flat(spark, batch_a(flat), t, 1)
+    sync_flat(spark, batch_b(flat), t, 2)
+    sync_flat(spark, batch_b(flat), t, None)                  # no batch id: all updates, same content
+    assert not sync_flat(spark, batch_a(flat), t, 1)["applied"]  # replays, late and in any order: no-ops
+    assert not sync_flat(spark, batch_b(flat), t, 2)["applied"]
+    t.compact()
     return _content(t)
 
 
+def _synced(t: PapersTable) -> DataFrame:
+    return t.read().select("id", "title", "journal", F.col("publishedAt").cast("string").alias("published_at"),
+                           F.col("citationsCount").cast("long").alias("citationsCount"), "hasAbstract",
+                           F.col("embeddingVector").isNotNull().alias("has_vector"))
+
+
 @query
 def sync_full(spark, sf):
     stats, cr = sources(spark, sf)
     t = _table(spark, "sync_full")
     SY.sync(spark, stats, cr, t, batch_id=1, dim=TEST_DIM, vectors=vectors_source(spark, sf))
-    p = t.read()
-    return p.select("id", "title", "journal", F.col("publishedAt").cast("string").alias("published_at"),
-                    F.col("citationsCount").cast("long").alias("citationsCount"), "hasAbstract",
-                    F.col("embeddingVector").isNotNull().alias("has_vector"))
+    return _synced(t)
 
 
-def _write_arrivals(spark, sf, folder: str, which: range) -> None:
-    """Arrivals 0-3: the source rows split by doc_id % 4; arrival 4: batch B."""
-    flat = _flat(spark, sf)
-    for k in which:
-        part = batch_b(flat) if k == 4 else flat.where(F.col("doc_id") % 4 == k)
-        part.withColumn("seq", F.lit(k)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/a{k}")
-        time.sleep(0.05)  # arrival order = file modification order
+@query
+def sync_embedded(spark, sf):
+    """The sync with its embedding step: every accepted document gets a vector."""
+    stats, cr = sources(spark, sf)
+    t = _table(spark, "sync_embedded")
+    SY.sync(spark, stats, cr, t, batch_id=1, dim=TEST_DIM, embedder=HashingEmbedder(TEST_DIM))
+    return _synced(t)
+
+
+def _arrive(spark, sf, base: str, k: int) -> None:
+    flat = arrival(_flat(spark, sf), k)
+    crossref_source(flat).withColumn("arrived", F.lit(k)).write.mode("append").parquet(f"{base}/crossref")
+    stats_source(flat).write.mode("append").parquet(f"{base}/stats")
 
 
-def _stream_schema(spark, sf):
-    return _flat(spark, sf).withColumn("seq", F.lit(0)).schema
+def _run_stream(spark, base: str, t: PapersTable, stream: str = "default", checkpoint: str = "checkpoint") -> None:
+    SY.start_stream_sync(spark, f"{base}/stats", f"{base}/crossref", t, f"{base}/{checkpoint}", TEST_DIM, stream=stream,
+                         arrival="arrived").awaitTermination()
 
 
-def _run_stream(spark, sf, folder, t, ckpt):
-    q = SY.start_stream_sync(spark, f"{folder}/*", _stream_schema(spark, sf), t, ckpt, TEST_DIM, max_files_per_trigger=1)
-    q.awaitTermination()
-    return q
+def _streamed(spark, sf, name: str) -> PapersTable:
+    """Five arrivals, each taken up by a run of the stream."""
+    base = shared_path(spark, "streams", name)
+    t = PapersTable(spark, f"{base}/table")
+    for k in range(5):
+        _arrive(spark, sf, base, k)
+        _run_stream(spark, base, t)
+    return t
 
 
 @query
 def stream_sync(spark, sf):
-    base = shared_path(spark, "streams", "stream_sync")
-    t = PapersTable(spark, f"{base}/table", buckets=16)
-    _write_arrivals(spark, sf, f"{base}/in", range(5))
-    _run_stream(spark, sf, f"{base}/in", t, f"{base}/checkpoint")
-    return _content(t)
+    return _content(_streamed(spark, sf, "stream_sync"))
 
 
 @query
 def stream_resume(spark, sf):
     base = shared_path(spark, "streams", "stream_resume")
-    t = PapersTable(spark, f"{base}/table", buckets=16)
-    _write_arrivals(spark, sf, f"{base}/in", range(2))
-    _run_stream(spark, sf, f"{base}/in", t, f"{base}/checkpoint")       # first run: two arrivals
-    _write_arrivals(spark, sf, f"{base}/in", range(2, 5))
-    _run_stream(spark, sf, f"{base}/in", t, f"{base}/checkpoint")       # restart: only the new files
-    _run_stream(spark, sf, f"{base}/in", t, f"{base}/checkpoint")       # nothing new: no batch
+    t = PapersTable(spark, f"{base}/table")
+    for k in (0, 1):
+        _arrive(spark, sf, base, k)
+    _run_stream(spark, base, t)             # first run: two arrivals
+    for k in (2, 3):
+        _arrive(spark, sf, base, k)
+    _run_stream(spark, base, t)             # restart: only the new files
+    _arrive(spark, sf, base, 4)
+    _run_stream(spark, base, t)
+    _run_stream(spark, base, t)             # nothing new: no batch
     return _content(t)
 
 
-def _streamed_table(spark, sf, name):
-    base = shared_path(spark, "streams", name)
-    t = PapersTable(spark, f"{base}/table", buckets=16)
-    _write_arrivals(spark, sf, f"{base}/in", range(5))
-    _run_stream(spark, sf, f"{base}/in", t, f"{base}/checkpoint")
-    return t
-
-
 @query
 def sync_status(spark, sf):
-    t = _streamed_table(spark, sf, "sync_status")
-    return SY.sync_status(spark, t)
+    return SY.sync_status(_streamed(spark, sf, "sync_status")).drop("map_s", "write_s")
 
 
 @query
 def recent_errors(spark, sf):
-    t = _streamed_table(spark, sf, "recent_errors")
-    return SY.recent_errors(spark, t).select("batch_id", "message")
+    return SY.recent_errors(_streamed(spark, sf, "recent_errors"))

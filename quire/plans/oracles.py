@@ -251,16 +251,21 @@ ORACLES["total_count"] = with_papers("SELECT CAST(count(*) AS BIGINT) AS total F
 ORACLES["duplicate_ids"] = f"""WITH {MAPPED},
 u AS (SELECT id FROM src WHERE doc_id % 4 < 3 UNION ALL SELECT id FROM src WHERE doc_id % 4 >= 2)
 SELECT id, CAST(count(*) AS BIGINT) AS doc_count, CAST(count(id) AS BIGINT) AS value_count
-FROM u GROUP BY id HAVING count(*) >= 2 ORDER BY doc_count DESC, id LIMIT 1000"""
+FROM u GROUP BY id HAVING count(*) >= 2"""
 
 
 def _profile_sql() -> str:
-    cols = ["id", "doi", "title", "journal", "publisher", "publishedAt", "publicationHotScore", "pageRank",
-            "citationsCount", "hasAbstract"]
+    topic = [f"CASE WHEN n_topics > {i} THEN concat_ws('|', tname{i}, trel{i}, ttop{i}, thot{i}, thot6m{i}) END" for i in range(3)]
+    cols = {c: c for c in (
+        "id", "doi", "title", "abstract", "openSummary", "journal", "publisher", "publicationHotScore", "publicationHotScore6m",
+        "pageRank", "citationsCount", "voteScore", "hasAbstract", "hasOpenSummary", "publishedAt", "contextualContent")}
+    cols |= {"oipubId": "'0'", "authors": "concat(author_names, '/', author_sequences)", "publicationDateParts": "date_parts",
+             "topics": f"concat_ws('/', n_topics, {', '.join(topic)})", "embeddingVector": "CAST(embedding AS VARCHAR)"}
     parts = [f"SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS row_count, "
-             f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count, "
-             f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count FROM papers" for c in cols]
-    return with_papers("\nUNION ALL\n".join(parts))
+             f"CAST(count(*) FILTER (WHERE {x} IS NULL) AS BIGINT) AS null_count, "
+             f"CAST(count(DISTINCT {x}) AS BIGINT) AS distinct_count FROM pe" for c, x in cols.items()]
+    return with_papers(", pe AS (SELECT p.*, e.embedding FROM papers p LEFT JOIN embeddings e ON e.vec_id = p.doc_id AND len(e.embedding) = 64)\n"
+                       + "\nUNION ALL\n".join(parts)).replace("\n, pe AS", ", pe AS", 1)
 
 
 ORACLES["table_profile"] = _profile_sql()

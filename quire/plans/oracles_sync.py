@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.plans.oracles import MAPPED, ORACLES
+from quire.plans.oracles import FLAT, MAPPED, ORACLES
 
+_FLAT_B = FLAT.replace("CAST(citationsCount AS BIGINT) AS citationsCount",
+                       "CAST(CASE WHEN doc_id % 4 >= 2 THEN citationsCount + 1 ELSE citationsCount END AS BIGINT) AS citationsCount")
 CONTENT = f"""WITH {MAPPED}
-SELECT id, CAST(CASE WHEN doc_id % 4 >= 2 THEN citationsCount + 1 ELSE citationsCount END AS BIGINT) AS citationsCount
-FROM papers"""
+SELECT {_FLAT_B}, sha256(contextualContent) AS content FROM papers"""
 
 for _name in ("upsert_apply", "upsert_idempotent", "stream_sync", "stream_resume"):
     ORACLES[_name] = CONTENT
@@ -19,8 +20,23 @@ UNION ALL SELECT 'B', 'created', CAST(count(*) AS BIGINT) FROM papers WHERE doc_
 UNION ALL SELECT 'B', 'updated', CAST(count(*) AS BIGINT) FROM papers WHERE doc_id % 4 = 2
 UNION ALL SELECT 'B', 'rejected', CAST(count(*) AS BIGINT) FROM m WHERE doc_id % 4 >= 2 AND reason IS NOT NULL"""
 
-ORACLES["sync_full"] = f"""WITH {MAPPED}
-SELECT p.id, p.title, p.journal, CAST(p.publishedAt AS VARCHAR) AS published_at,
-  CAST(p.citationsCount AS BIGINT) AS citationsCount, p.hasAbstract,
-  EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = p.doc_id AND len(e.embedding) = 64) AS has_vector
+_SYNCED = """SELECT p.id, p.title, p.journal, CAST(p.publishedAt AS VARCHAR) AS published_at,
+  CAST(p.citationsCount AS BIGINT) AS citationsCount, p.hasAbstract, {vector} AS has_vector
 FROM papers p"""
+ORACLES["sync_full"] = f"WITH {MAPPED}\n" + _SYNCED.format(
+    vector="EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = p.doc_id AND len(e.embedding) = 64)")
+ORACLES["sync_embedded"] = f"WITH {MAPPED}\n" + _SYNCED.format(vector="TRUE")
+
+# arrivals 0 to 3 by doc_id % 4, arrival 4 again those with doc_id % 4 >= 2
+_ARRIVED = "arrived AS (SELECT doc_id % 4 AS batch_id, * FROM m UNION ALL SELECT 4, * FROM m WHERE doc_id % 4 >= 2)"
+ORACLES["sync_status"] = f"""WITH {MAPPED},
+{_ARRIVED}
+SELECT CAST(5 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS total_retrieved,
+  CAST(count(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS total_indexed,
+  CAST(count(*) FILTER (WHERE reason IS NULL AND batch_id < 4) AS BIGINT) AS total_created,
+  CAST(count(*) FILTER (WHERE reason IS NULL AND batch_id = 4) AS BIGINT) AS total_updated,
+  CAST(count(*) FILTER (WHERE reason IS NOT NULL) AS BIGINT) AS total_rejected, max(id) AS last_id FROM arrived"""
+ORACLES["recent_errors"] = f"""WITH {MAPPED},
+{_ARRIVED}
+SELECT CAST(batch_id AS BIGINT) AS batch_id, 'rejected ' || id || ': ' || reason AS message
+FROM arrived WHERE reason IS NOT NULL ORDER BY batch_id DESC, message LIMIT 50"""

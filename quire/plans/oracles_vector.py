@@ -55,3 +55,8 @@ r AS (SELECT * REPLACE (NULL::BOOLEAN AS r_has_abstract) FROM ({_FALLBACK_REQUES
 {ranking_sql("scored", CONTEXTUAL_SORTS, None)}"""
 ORACLES["semantic_with_fallback"] = f"""SELECT *, 'semantic' AS search_type FROM ({_HYBRID_PART})
 UNION ALL SELECT *, 'contextual' FROM ({_CONTEXT_PART})"""
+
+ORACLES["embed_docs"] = f"""WITH {MAPPED}
+SELECT id, CAST(64 AS BIGINT) AS dim, CASE WHEN trim(contextualContent) = '' THEN 'blank' ELSE 'ok' END AS embed_status FROM papers"""
+ORACLES["embed_queries"] = """SELECT item_id AS query_id, CAST(64 AS BIGINT) AS dim,
+  CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank' ELSE 'ok' END AS embed_status FROM benchmark"""

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on. Dates are compared as calendar values, so the
 # session time zone is pinned to UTC; ANSI mode stays on (Spark 4 default) and
@@ -61,13 +62,16 @@ def apply_session_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) do we pick a
-    scratch folder of our own.
+    The cluster names it. Only a local session, where it may be unset, gets a
+    scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         d = tempfile.mkdtemp(prefix="quire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -91,13 +95,22 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-MAX_BROADCAST_ROWS = 2_000_000
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder in whatever store it is; False if there was none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    return bool(store.exists(at) and store.delete(at, True))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, name: str = "broadcast_side"):
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, name: str = "broadcast_side"):
     """Materialise a request-derived table once (shared folder) and mark it
-    for broadcast only when its measured row count is within the bound;
-    otherwise the join stays a shuffle join (AQE splits skewed partitions)."""
-    from pyspark.sql import functions as F
+    for broadcast only when its rows, measured as text, are within the bound;
+    otherwise the join stays a shuffle join (AQE splits skewed partitions).
+    The rows are the same either way."""
     frozen = cut_lineage(df, name)
-    return F.broadcast(frozen) if frozen.count() <= max_rows else frozen
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in frozen.columns])))
+    return F.broadcast(frozen) if (frozen.agg(F.sum(size)).first()[0] or 0) <= max_bytes else frozen

@@ -1,112 +1,130 @@
 """Sync jobs: sources -> papers table, as one batch job or as a stream.
 
 Batch: the whole source is one distributed job (no cursor loop).
-Stream: a file source of source rows drives ``foreachBatch``; each
-micro-batch is a keyed upsert tagged with its epoch id, and the checkpoint
-is committed after the upsert, so a replayed epoch is recognised by the
-table and changes nothing (at-least-once delivery, exactly-once effect).
-Per-batch metrics and reject rows are appended to small Parquet tables
-next to the target.
+Stream: a file source of score rows drives ``foreachBatch``; each micro-batch
+looks its rows up in the whole bibliographic collection, as it is then, and is
+one keyed upsert under its epoch id; a replayed epoch changes nothing. Score
+rows without a bibliographic row wait and are tried again with later batches.
+Metrics are columns of the table's log, rejects are written with the batch.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from quire.functions.embed import embed_column
-from quire.operators.mapping import attach_vectors, join_sources, map_joined, to_papers
-from quire.operators.table import PapersTable
-from quire.schema import papers_schema
+from quire.operators.mapping import NO_CROSSREF, attach_vectors, join_sources, map_joined, to_papers
+from quire.operators.table import PapersTable, newest_per_key, now
+from quire.schema import CROSSREF_SCHEMA, STATS_SCHEMA, papers_schema
 from quire.session import cut_lineage
-from quire.sources.fixtures import crossref_source, stats_source
 
-MAX_RECENT_ERRORS = 50
-
-
-def _now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+#: Fixed value: how many errors the report shows by default.
+RECENT_ERRORS = 50
 
 
 def sync(spark: SparkSession, stats: DataFrame, crossref: DataFrame, table: PapersTable, batch_id: int | None = None,
-         dim: int = 768, vectors: DataFrame | None = None, embedder: Callable | None = None) -> dict:
+         dim: int = 768, vectors: DataFrame | None = None, embedder: Callable | None = None, stream: str = "default") -> dict:
     """Map, embed and upsert one batch of source rows; returns its metrics."""
-    started = _now()
     table.create_if_absent(papers_schema(dim))
+    if table.applied(stream, batch_id):
+        return {"batch_id": batch_id, "applied": False, "retrieved": 0, "indexed": 0, "created": 0, "updated": 0, "rejected": 0}
+    started = now()
     mapped = cut_lineage(map_joined(join_sources(stats, crossref)), "sync_mapped")
     accepted = mapped.where(F.col("_reason").isNull()).drop("_reason")
     if vectors is not None:
-        with_vec = attach_vectors(accepted, vectors, dim)
+        accepted = attach_vectors(accepted, vectors, dim)
     elif embedder is not None:
-        emb = embed_column(accepted, "contextualContent", "id", dim, embedder)
-        with_vec = accepted.join(emb.select("id", F.col("embedding").alias("embeddingVector")), "id", "left")
+        accepted = embed_column(accepted, "contextualContent", dim, embedder, column="embeddingVector")
     else:
-        with_vec = attach_vectors(accepted, None)
-    res = table.upsert(to_papers(with_vec, dim), batch_id)
-    counts = mapped.agg(F.count(F.lit(1)).alias("retrieved"),
-                        F.sum(F.when(F.col("_reason").isNull(), 1).otherwise(0)).alias("indexed"),
+        accepted = attach_vectors(accepted, None)
+    rejects = mapped.where(F.col("_reason").isNotNull()).select("id", F.col("_reason").alias("reason"))
+    counts = mapped.agg(F.count(F.lit(1)).alias("retrieved"), F.count_if(F.col("_reason").isNull()).alias("indexed"),
                         F.max("id").alias("last_id")).first()
-    tallies = {r["result"]: r["n"] for r in res.accounting.collect()} if res.accounting is not None else {}
-    metrics = {
-        "batch_id": batch_id, "version": res.version, "applied": res.applied,
-        "last_id": counts["last_id"], "retrieved": int(counts["retrieved"] or 0),
-        "indexed": int(counts["indexed"] or 0) if res.applied else 0,
-        "created": int(tallies.get("created", 0)), "updated": int(tallies.get("updated", 0)),
-        "rejected": int(counts["retrieved"] or 0) - int(counts["indexed"] or 0),
-        "started_at": started, "ended_at": _now(),
-    }
-    spark.createDataFrame([metrics], METRICS_DDL).write.mode("append").parquet(f"{table.base}/_sync_metrics")
-    if res.applied:
-        errors = mapped.where(F.col("_reason").isNotNull()).select(
-            F.lit(metrics["ended_at"]).alias("at"), F.lit(batch_id).cast("long").alias("batch_id"),
-            F.concat(F.lit("rejected "), F.col("id"), F.lit(": "), F.col("_reason")).alias("message"))
-        errors.write.mode("append").parquet(f"{table.base}/_sync_errors")
-    return metrics
-
-
-METRICS_DDL = ("batch_id long, version long, applied boolean, last_id string, retrieved long, indexed long, "
-               "created long, updated long, rejected long, started_at timestamp, ended_at timestamp")
-
-
-def sync_flat(spark: SparkSession, flat: DataFrame, table: PapersTable, batch_id: int | None, dim: int = 768,
-              vectors: DataFrame | None = None) -> dict:
-    """Sync from flat source rows; within a batch the latest arrival of a key wins."""
-    if "seq" in flat.columns:
-        w = Window.partitionBy("id").orderBy(F.col("seq").desc())
-        flat = flat.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return sync(spark, stats_source(flat), crossref_source(flat), table, batch_id, dim, vectors)
-
-
-def sync_status(spark: SparkSession, table: PapersTable) -> DataFrame:
-    """Totals over all recorded batches."""
-    m = spark.read.parquet(f"{table.base}/_sync_metrics")
-    return m.agg(F.count(F.lit(1)).alias("batches"), F.sum(F.col("applied").cast("int")).alias("applied_batches"),
-                 F.sum("retrieved").alias("total_retrieved"), F.sum("indexed").alias("total_indexed"),
-                 F.sum("created").alias("total_created"), F.sum("updated").alias("total_updated"),
-                 F.sum("rejected").alias("total_rejected"), F.max("last_id").alias("last_id"),
-                 F.max("version").alias("version"))
-
-
-def recent_errors(spark: SparkSession, table: PapersTable, n: int = MAX_RECENT_ERRORS) -> DataFrame:
-    """Newest ``n`` errors by time (a top-k report)."""
-    e = spark.read.parquet(f"{table.base}/_sync_errors")
-    return e.orderBy(F.col("at").desc(), F.col("message")).limit(n)
-
-
-def start_stream_sync(spark: SparkSession, source_dir: str, source_schema, table: PapersTable, checkpoint: str,
-                      dim: int = 768, max_files_per_trigger: int = 1, available_now: bool = True,
-                      processing_time: str | None = None, vectors: DataFrame | None = None) -> StreamingQuery:
-    """Incremental sync over a directory of source files (Structured Streaming)."""
-    stream = (spark.readStream.schema(source_schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
-
-    def each(batch: DataFrame, epoch_id: int) -> None:
-        sync_flat(batch.sparkSession, batch, table, epoch_id, dim, vectors)
-
-    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 second")
-    return w.start()
+    facts = {"retrieved": counts["retrieved"], "indexed": counts["indexed"], "rejected": counts["retrieved"] - counts["indexed"],
+             "last_id": counts["last_id"], "started_at": started, "map_s": (now() - started).total_seconds()}
+    res = table.upsert(to_papers(accepted, dim), batch_id, stream=stream, rejects=rejects, facts=facts)
+    return {"batch_id": batch_id, "applied": res.applied, "created": res.created, "updated": res.updated, **facts}
+
+
+def sync_status(table: PapersTable) -> DataFrame:
+    """Totals over all applied batches, and the seconds of their stages."""
+    m = table.log().where("kind = 'batch'")
+    return m.agg(F.count(F.lit(1)).alias("batches"), F.sum("retrieved").alias("total_retrieved"),
+                 F.sum("indexed").alias("total_indexed"), F.sum("created").alias("total_created"),
+                 F.sum("updated").alias("total_updated"), F.sum("rejected").alias("total_rejected"),
+                 F.max("last_id").alias("last_id"), F.sum("map_s").alias("map_s"), F.sum("write_s").alias("write_s"))
+
+
+def recent_errors(table: PapersTable, n: int = RECENT_ERRORS) -> DataFrame:
+    """Newest ``n`` rejects by batch, then message (a top-k report)."""
+    batches = table.log().select("batch", "batch_id", "seq")
+    message = F.concat(F.lit("rejected "), F.col("id"), F.lit(": "), F.col("reason"))
+    e = table.rejects().join(batches, "batch").select("batch_id", "seq", message.alias("message"))
+    return e.orderBy(F.col("seq").desc(), "message").limit(n).select("batch_id", "message")
+
+
+def _waiting(spark: SparkSession, table: PapersTable, stream: str) -> DataFrame:
+    """Score rows left without a bibliographic row by the stream's last batch."""
+    last = (table.log().where((F.col("stream") == stream) & (F.col("kind") == "batch"))
+            .orderBy(F.col("seq").desc()).select("batch_id").limit(1).collect())
+    if not last:
+        return spark.createDataFrame([], STATS_SCHEMA)
+    try:
+        return spark.read.schema(STATS_SCHEMA).parquet(f"{table.base}/waiting/{stream}/epoch={last[0][0]}")
+    except AnalysisException:
+        return spark.createDataFrame([], STATS_SCHEMA)
+
+
+def sync_epoch(spark: SparkSession, stats: DataFrame, crossref: DataFrame, table: PapersTable, epoch: int, dim: int = 768,
+               vectors: DataFrame | None = None, embedder: Callable | None = None, stream: str = "default",
+               arrival: str | None = None) -> dict:
+    """One micro-batch: its score rows and those waiting, each id once (the
+    new row before the waiting one), against the bibliographic rows of these
+    ids (of several the last by ``arrival``)."""
+    table.create_if_absent(papers_schema(dim))
+    if table.applied(stream, epoch):
+        return {"batch_id": epoch, "applied": False}
+    cols = [f.name for f in STATS_SCHEMA.fields]
+    fresh = stats.select(*cols).withColumn("_new", F.lit(1))
+    rows = fresh.unionByName(_waiting(spark, table, stream).select(*cols).withColumn("_new", F.lit(0)))
+    rows = cut_lineage(newest_per_key(rows, ["_id"], ["_new"]), "sync_epoch")
+    known = crossref.join(rows.select("_id"), "_id", "left_semi")
+    known = cut_lineage(newest_per_key(known, ["_id"], [arrival] if arrival else None), "sync_crossref")
+    # written before the batch is logged, in a folder of its epoch: a retry writes it again
+    rows.join(known.select("_id"), "_id", "left_anti").select(*cols).write.mode("overwrite").parquet(
+        f"{table.base}/waiting/{stream}/epoch={epoch}")
+    # a waiting row that waits on is no new reject
+    due = rows.where("_new = 1").unionByName(rows.where("_new = 0").join(known.select("_id"), "_id", "left_semi"))
+    return sync(spark, due.select(*cols), known.select([f.name for f in CROSSREF_SCHEMA.fields]), table, epoch, dim, vectors, embedder, stream)
+
+
+def start_stream_sync(spark: SparkSession, stats_dir: str, crossref_dir: str, table: PapersTable, checkpoint: str, dim: int = 768,
+                      *, stream: str = "default", arrival: str | None = None, max_files_per_trigger: int | None = None,
+                      processing_time: str | None = None, vectors: DataFrame | None = None,
+                      embedder: Callable | None = None) -> StreamingQuery:
+    """Incremental sync: files of score rows are the stream, the folder of
+    bibliographic rows (with an ``arrival`` column, if named) is read anew by
+    every batch. Without ``processing_time`` the query ends when all files are
+    done. ``query.stop()`` stops it, ``query.status`` says whether it runs."""
+    source = spark.readStream.schema(STATS_SCHEMA)
+    if max_files_per_trigger:
+        source = source.option("maxFilesPerTrigger", max_files_per_trigger)
+    known = T.StructType([*CROSSREF_SCHEMA.fields, *([T.StructField(arrival, T.IntegerType())] if arrival else [])])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        own = batch.sparkSession
+        crossref = own.read.schema(known).parquet(crossref_dir)
+        sync_epoch(own, batch, crossref, table, epoch, dim, vectors, embedder, stream, arrival)
+
+    writer = source.parquet(stats_dir).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+__all__ = ["NO_CROSSREF", "recent_errors", "start_stream_sync", "sync", "sync_epoch", "sync_status"]

@@ -1,13 +1,23 @@
-"""Properties: idempotent upserts, plan shapes, streaming restart."""
+"""Properties: replays, streams, late rows, plan shapes, ties, caps that are none."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from quire.operators.table import PapersTable
+from quire.functions._ship import ship_by_value
+from quire.functions.embed import HashingEmbedder, PiecewiseEmbedder, embed_column
+from quire.operators import search as S
+from quire.operators import vector as V
+from quire.operators.mapping import join_sources
+from quire.operators.quality import duplicate_ids
+from quire.operators.table import PapersTable, newest_per_key
 from quire.plans.catalog import registry
-from quire.plans.catalog_sync import batch_a, batch_b
+from quire.plans.catalog_search import CONTEXTUAL_SPEC, paper_index, search_requests
+from quire.plans.catalog_sync import _arrive, _run_stream, batch_a, batch_b, sync_flat
+from quire.plans.common import papers
 from quire.session import shared_path
-from quire.sources.fixtures import flat_sources, read_table
+from quire.sources.fixtures import crossref_source, flat_sources, read_table, stats_source
 from quire.streaming import sync as SY
 
 
@@ -15,20 +25,113 @@ def _content(t):
     return sorted((r.id, r.citationsCount) for r in t.read().select("id", "citationsCount").collect())
 
 
-def test_upsert_replay_is_noop_and_batch_split_invariant(spark):
-    flat = flat_sources(spark, read_table(spark, SF001, "documents"))
-    t1 = PapersTable(spark, shared_path(spark, "t", "one"), buckets=4)
-    SY.sync_flat(spark, batch_a(flat), t1, 1, 64)
-    SY.sync_flat(spark, batch_b(flat), t1, 2, 64)
-    before = _content(t1)
-    m = SY.sync_flat(spark, batch_b(flat), t1, 2, 64)
-    assert not m["applied"] and _content(t1) == before
-    # same final rows applied as four batches
-    t4 = PapersTable(spark, shared_path(spark, "t", "four"), buckets=4)
+def _table(spark, name, **options):
+    return PapersTable(spark, shared_path(spark, "t", name), **options)
+
+
+@pytest.fixture(scope="module")
+def flat(spark):
+    return flat_sources(spark, read_table(spark, SF001, "documents"))
+
+
+def test_replays_change_nothing_whatever_came_since(spark, flat):
+    t = _table(spark, "one")
+    sync_flat(spark, batch_a(flat), t, 1)
+    sync_flat(spark, batch_b(flat), t, 2)
+    before = _content(t)
+    sync_flat(spark, batch_b(flat), t, None)  # a batch without an id resets nothing
+    for part, k in ((batch_b(flat), 2), (batch_a(flat), 1)):
+        assert not sync_flat(spark, part, t, k)["applied"]
+    assert _content(t) == before
+    status = SY.sync_status(t).first()
+    assert status["batches"] == 3  # replays are counted nowhere
+
+
+def test_batch_split_does_not_matter_and_compaction_keeps_all(spark, flat):
+    one, many = _table(spark, "whole"), _table(spark, "many", compact_after=2)
+    sync_flat(spark, batch_a(flat), one, 1)
+    sync_flat(spark, batch_b(flat), one, 2)
     for k in range(4):
-        SY.sync_flat(spark, batch_a(flat).where(F.col("doc_id") % 4 == k), t4, k + 1, 64)
-    SY.sync_flat(spark, batch_b(flat), t4, 10, 64)
-    assert _content(t4) == before
+        sync_flat(spark, batch_a(flat).where(F.col("doc_id") % 4 == k), many, k + 1)
+    sync_flat(spark, batch_b(flat), many, 10)
+    assert _content(many) == _content(one)
+    assert len(many._live()) <= 3
+
+
+def test_second_stream_is_not_taken_for_a_replay(spark, flat):
+    t = _table(spark, "streams")
+    sync_flat(spark, flat.where("doc_id < 20"), t, 0, stream="first")
+    sync_flat(spark, flat.where("doc_id between 20 and 39"), t, 1, stream="first")
+    m = sync_flat(spark, flat.where("doc_id >= 40"), t, 0, stream="second")
+    assert m["applied"] and m["created"] > 0
+    assert max(i for i, _ in _content(t)) > "p00000040"
+
+
+def test_batch_without_its_log_row_is_not_read_and_can_be_retried(spark, flat):
+    t = _table(spark, "crash")
+    sync_flat(spark, flat.where("doc_id < 20"), t, 0)
+    before = _content(t)
+    real, t._append = t._append, lambda row: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        sync_flat(spark, flat.where("doc_id >= 20"), t, 1)
+    t._append = real
+    assert _content(t) == before and t.rejects().where("batch like '%000001'").count() == 0
+    assert sync_flat(spark, flat.where("doc_id >= 20"), t, 1)["applied"]
+    assert len(_content(t)) > len(before)
+
+
+def test_wrong_size_vectors_are_not_stored(spark):
+    from quire.schema import papers_schema
+    t = _table(spark, "dims")
+    t.create_if_absent(papers_schema(3))
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [1.0])], "id string, embeddingVector array<float>")
+    for f in papers_schema(3).fields:
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    t.upsert(rows, 1)
+    assert {r["id"]: r["embeddingVector"] for r in t.read().collect()} == {"a": [1.0, 2.0, 3.0], "b": None}
+    assert t.drop() and not t.drop()
+
+
+def test_last_row_of_a_key_wins_and_duplicates_multiply_nothing(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "k string, n int, v string")
+    assert sorted(map(tuple, newest_per_key(df, ["k"], ["n"]).collect())) == [("a", 3, "z"), ("b", 1, None)]
+    flat = flat_sources(spark, read_table(spark, SF001, "documents"))
+    cr = crossref_source(flat)
+    joined = join_sources(stats_source(flat), cr.unionByName(cr))
+    assert joined.count() == flat.count()
+
+
+def test_stream_restart_takes_no_batch_twice_and_late_rows_are_found(spark, flat):
+    base = shared_path(spark, "streams", "late")
+    t = PapersTable(spark, f"{base}/table")
+    stats_source(flat).write.parquet(f"{base}/stats")
+    early = crossref_source(flat).withColumn("arrived", F.lit(0)).where(F.substring("_id", -1, 1) != "3")
+    early.write.parquet(f"{base}/crossref")
+    _run_stream(spark, base, t)
+    first = t.log().count()
+    _run_stream(spark, base, t)
+    assert t.log().count() == first == 1
+    have = t.read().count()
+    crossref_source(flat).withColumn("arrived", F.lit(1)).where(F.substring("_id", -1, 1) == "3").write.mode("append").parquet(f"{base}/crossref")
+    stats_source(flat).limit(1).write.mode("append").parquet(f"{base}/stats")  # the next batch of any kind tries them again
+    _run_stream(spark, base, t)
+    whole = _table(spark, "late_whole")
+    sync_flat(spark, flat, whole, 1)
+    assert t.read().count() > have and _content(t) == _content(whole)
+
+
+def test_two_arrivals_in_one_run_equal_two_runs(spark):
+    contents = []
+    for name, runs in (("together", [(0, 1)]), ("apart", [(0,), (1,)])):
+        base = shared_path(spark, "streams", name)
+        t = PapersTable(spark, f"{base}/table")
+        for arrivals in runs:
+            for k in arrivals:
+                _arrive(spark, SF001, base, k)
+            _run_stream(spark, base, t)
+        contents.append(_content(t))
+    assert contents[0] == contents[1]
 
 
 def _plan(df):
@@ -45,18 +148,107 @@ def test_search_has_no_row_at_a_time_python(spark):
     assert "BatchEvalPython" not in plan
 
 
-def test_stream_restart_reprocesses_nothing(spark):
-    out = registry()["stream_resume"](spark, SF001)
-    assert out.count() > 0
-
-
-def test_ivf_probing_every_cell_equals_exact(spark):
-    from quire.operators import vector as V
-    emb = read_table(spark, SF001, "embeddings").select(F.col("vec_id").cast("string").alias("id"),
-                                                        F.col("embedding").alias("vec"))
-    qs = emb.limit(3).select(F.col("id").alias("query_id"), "vec")
-    model = V.ivf_train(emb, 64, n_cells=4)
-    approx = V.ivf_search(emb, qs, 5, 64, nprobe=4, model=model)
-    exact = V.knn_exact(emb, qs, 5, 64)
-    rec = [r.recall for r in V.recall_at_k(approx, exact).collect()]
-    assert rec and all(x == 1.0 for x in rec)
+def test_search_reads_only_the_folders_of_its_terms(spark):
+    from quire.operators.index import postings_of
+    idx = paper_index(papers(spark, SF001))
+    some = idx.term_stats.where("field = 'title'").select("field", "term").orderBy("term").limit(2)
+    pruned = postings_of(idx, some)
+    assert "PartitionFilters: [isnotnull(bucket" in _plan(pruned) or "PartitionFilters: [bucket" in _plan(pruned)
+    hits = lambda df: sorted(map(str, df.join(some, ["field", "term"], "left_semi").select("field", "term", "id", "tf").collect()))
+    assert hits(pruned) == hits(idx.postings) and hits(pruned)
+
+
+def test_totals_have_a_row_for_requests_without_hits(spark):
+    p = papers(spark, SF001)
+    req = spark.createDataFrame([(1, "zzzzqqqq", 0, 5), (2, "the", 4000, 5)], "query_id long, query string, from int, size int")
+    found = {r["query_id"]: r["total_hits"] for r in S.search_totals(p, paper_index(p), req).collect()}
+    assert found[1] == 0 and found[2] > 0
+    with pytest.raises(ValueError):
+        S.search(p, paper_index(p), req.withColumn("from", F.lit(60_000)))
+
+
+def test_author_filter_of_a_request(spark):
+    p = papers(spark, SF001)
+    req = search_requests(spark, SF001).withColumn("author", F.lit("Given8 Family8"))
+    with_author = {r["id"] for r in p.where(F.exists("authors", lambda a: a["name"] == "Given8 Family8")).collect()}
+    found = {r["id"] for r in S.search(p, paper_index(p), req).collect()}
+    assert found and found <= with_author
+
+
+def test_english_leg_counts_its_own_terms(spark):
+    rows = [("a", "the histories of wars"), ("b", "history of the war"), ("c", "peace")]
+    from quire.operators.index import build_index
+    from quire.plans.catalog_search import with_english
+    df = spark.createDataFrame([(i, t, t, "", t, "") for i, t in rows], "id string, title string, abstract string, openSummary string, "
+                               "contextualContent string, journal string")
+    req = spark.createDataFrame([(1, "the histories and the war")], "query_id long, query string")
+    spec = S.TextQuery({"contextualContent.english": 2.0}, fuzzy=False, min_should_match=0.75)
+    assert {r["id"] for r in S.score_requests(req, with_english(build_index(df)), spec).collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        S.score_requests(req, build_index(df), CONTEXTUAL_SPEC)
+
+
+def test_knn_cuts_ties_by_id_however_rows_are_dealt(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i:04d}", [1.0, 2.0]) for i in range(500)] + [("x", [0.0, 0.0]), ("y", None)], "id string, vec array<double>")
+    qs = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(3)], "query_id long, vec array<double>")
+    want = [(k, f"d{i:04d}") for k in range(3) for i in range(5)]
+    for doc_block, query_block, parts in ((16384, 2048, 1), (64, 2, 8)):
+        monkeypatch.setattr(V, "DOC_BLOCK", doc_block)
+        monkeypatch.setattr(V, "QUERY_BLOCK", query_block)
+        got = V.knn_exact(docs.repartition(parts), qs, 5, 2).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["id"]) for r in got] == want
+
+
+def test_stored_cells_equal_exact_when_all_are_probed_and_recall_is_high(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((20, 16))
+    vectors = centres[rng.integers(0, 20, 2000)] + .3 * rng.standard_normal((2000, 16))
+    docs = spark.createDataFrame([(f"d{i:05d}", v.tolist()) for i, v in enumerate(vectors)], "id string, vec array<double>")
+    qs = docs.where("id < 'd00060'").select(F.col("id").alias("query_id"), "vec")
+    index = V.ivf_build(docs, 16, shared_path(spark, "t", "ivf"), n_cells=20)
+    exact = V.knn_exact(docs, qs, 10, 16)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "rank").collect()))
+    assert rows(V.ivf_search(index, qs, 10, nprobe=20)) == rows(exact)
+    recall = [r["recall"] for r in V.recall_at_k(V.ivf_search(index, qs, 10, nprobe=3), exact).collect()]
+    assert sum(recall) / len(recall) >= .9
+    assert "PartitionFilters" in _plan(index.cells(spark).where("cell = 1"))
+
+
+def test_no_limit_on_duplicates_unless_asked_for(spark):
+    df = spark.range(1500).unionByName(spark.range(1500)).toDF("id")
+    assert duplicate_ids(df).count() == 1500
+    assert duplicate_ids(df, limit=10).count() == 10
+
+
+ship_by_value(__name__)  # workers can't import tests
+
+
+class FailsOn:
+    """Raises for calls that hold a certain text."""
+
+    def __init__(self, text):
+        self.text, self.inner = text, HashingEmbedder(8)
+
+    def __call__(self, texts):
+        if self.text in texts:
+            raise RuntimeError("embedding service unavailable")
+        return self.inner(texts)
+
+
+def test_failing_chunk_gives_zero_vectors_and_the_rest_goes_on(spark):
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(100)] + [(100, " ")], "id long, text string").coalesce(1)
+    rows = embed_column(df, "text", 8, FailsOn("text number 5")).collect()
+    status = [r["embed_status"] for r in rows]
+    assert status.count("chunk_failed") == 20 and status.count("blank") == 1 and status.count("ok") == 80
+    assert all((not any(r["embedding"])) == (r["embed_status"] != "ok") for r in rows)
+
+
+def test_long_texts_are_embedded_in_pieces():
+    seen = []
+
+    def inner(texts):
+        seen.extend(texts)
+        return HashingEmbedder(8)(texts)
+    out = PiecewiseEmbedder(inner, 10)(["a b c d e f g h i j k", "short", ""])
+    assert max(map(len, seen)) <= 10 and "".join(seen) == "a b c d e f g h i j kshort"
+    assert out.shape == (3, 8) and abs(np.linalg.norm(out[0]) - 1) < 1e-6
