@@ -279,15 +279,16 @@ def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id stays (then the smallest text hash; of equal rows one). All
     columns are kept as they are."""
     found = simhash_near_duplicates(df, id_col, text_col, words_per_shingle=words_per_shingle, max_bits=max_bits)
-    row = F.struct(F.coalesce(F.col("id").isNull(), F.lit(True)).alias("no_id"), F.col("id"), F.col("text_hash"))
-    # the component itself is named by its smallest id, or by fingerprint where all its ids are null
-    kept = (found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-            .agg(F.min(row).alias("row")).select(F.col("row.id").alias("__kept_id"), F.col("row.text_hash").alias("__kept_hash")).distinct())
+    # keys without nulls: the join and the removal of repeated rows then share one shuffle of the texts
+    key = [F.col("id").isNull().alias("no_id"), F.coalesce(F.col("id"), F.lit(0).cast(found.schema["id"].dataType)).alias("some_id"), F.col("text_hash")]
+    names = ["no_id", "some_id", "text_hash"]
+    # a component is named by its smallest id, or by fingerprint where all its ids are null
+    name = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = found.groupBy("component_id", name.alias("fp")).agg(F.min(F.struct(*key)).alias("row")).select("row.*").distinct()
     boxed = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # so no name can clash
-    marked = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), boxed.alias("row"))
-    own = marked.join(kept, marked["id"].eqNullSafe(kept["__kept_id"]) & (marked["text_hash"] == kept["__kept_hash"]), "left_semi")
-    return own.dropDuplicates(["id", "text_hash"]).select(*[F.col("row")[c].alias(c) for c in df.columns])
-
+    marked = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), boxed.alias("row")).select(*key, "row")
+    own = marked.join(kept, names, "left_semi").dropDuplicates(names)
+    return own.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 ship_by_value(__name__)
