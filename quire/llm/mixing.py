@@ -72,12 +72,13 @@ def mix_plan(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_times: i
     ranged = slim.repartitionByRange(shuffle_partitions(spark), "source", "__mix_key", "__mix_id").withColumn("part", F.spark_partition_id())
     ranged = cut_lineage(ranged, "mix_ranges")
     sums = ranged.groupBy("part", "source").agg(F.sum("__mix_size").alias("words"))
-    sums = cut_lineage(sums, "mix_sums")
+    # a row per range and source, later a row per source: one file each
+    sums = cut_lineage(sums.coalesce(1), "mix_sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_times)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn(
         "rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    targets = cut_lineage(targets, "mix_targets")
+    targets = cut_lineage(targets.coalesce(1), "mix_targets")
 
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
@@ -92,7 +93,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_times: i
     cuts = peers.groupBy("source").agg(F.min(F.struct("row", "upto", "peers", "rest")).alias("at"))
     missing = F.col("at.rest") - (F.col("at.upto") - F.col("at.peers") * F.col("at.row.size"))
     cuts = cuts.select("source", F.col("at.row").alias("cut"), F.floor(missing / F.col("at.peers")).cast("long").alias("cut_words"))
-    return cut_lineage(null_safe_join(targets, cuts, ["source"], "left"), "mix_plan")
+    return cut_lineage(null_safe_join(targets, cuts, ["source"], "left").coalesce(1), "mix_plan")
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
