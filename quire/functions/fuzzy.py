@@ -26,22 +26,6 @@ def auto_edits(length: Column) -> Column:
     return F.when(length <= 2, F.lit(0)).when(length <= 5, F.lit(1)).otherwise(F.lit(2))
 
 
-def _delete_one(s: Column) -> Column:
-    n = F.length(s)
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, n))))
-
-
-def deletion_variants(term: Column, depth: Column | int) -> Column:
-    """All distinct strings obtained by deleting 0..depth characters (depth <= 2)."""
-    d = F.lit(depth) if isinstance(depth, int) else depth
-    one = _delete_one(term)
-    two = F.flatten(F.transform(one, _delete_one))
-    v0 = F.array(term)
-    return F.array_distinct(
-        F.when(d <= 0, v0).when(d == 1, F.concat(v0, one)).otherwise(F.concat(v0, one, two)))
-
-
 def damerau_levenshtein(a: str, b: str, limit: int | None = None) -> int:
     """Unrestricted Damerau-Levenshtein distance (Lowrance-Wagner).
 

@@ -71,11 +71,6 @@ def data_distribution(df: DataFrame, buckets: int = 16, key: Column | None = Non
         F.round(F.col("_mx") / F.col("_avg"), 6).alias("skew"))
 
 
-def files_distribution(df: DataFrame) -> DataFrame:
-    """Rows per input file (the physical layout of a stored table)."""
-    return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 def author_profiles(papers: DataFrame) -> DataFrame:
     a = papers.select("id", "citationsCount", "publishedAt", F.explode("authors").alias("a"))
     return a.groupBy(F.col("a.name").alias("author"), F.col("a.ORCID").alias("orcid")).agg(

@@ -56,22 +56,24 @@ class TextQuery:
 
 
 def query_terms(requests: DataFrame) -> DataFrame:
-    """(query_id, nq, qterm): distinct analysed terms, and how many a request has."""
+    """(query_id, nq, q, qterm): distinct analysed terms, numbered, and how
+    many a request has."""
     toks = requests.select("query_id", F.array_distinct(tokens("query")).alias("qts"))
-    return toks.select("query_id", F.size("qts").alias("nq"), F.explode("qts").alias("qterm"))
+    return toks.select("query_id", F.size("qts").alias("nq"), F.posexplode("qts").alias("q", "qterm"))
 
 
 def english_query_terms(qterms: DataFrame) -> DataFrame:
-    """The same for English sub-fields: stop words dropped, distinct stems."""
+    """The same for English sub-fields: stop words dropped, distinct stems
+    under the number of their first term."""
     from quire.functions.english import english_map
     forms = english_map(qterms.select(F.col("qterm").alias("term"))).select(F.col("term").alias("qterm"), "eterm")
-    stems = qterms.select("query_id", "qterm").join(forms, "qterm").select("query_id", F.col("eterm").alias("qterm")).distinct()
+    stems = qterms.join(forms, "qterm").groupBy("query_id", F.col("eterm").alias("qterm")).agg(F.min("q").alias("q"))
     counts = stems.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("nq"))
-    return stems.join(counts, "query_id").select("query_id", "nq", "qterm")
+    return stems.join(counts, "query_id").select("query_id", "nq", "q", "qterm")
 
 
 def expansions(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
-    """(query_id, nq, field, qterm, term, weight): every field sees the query
+    """(query_id, nq, q, field, term, weight): every field sees the query
     in its own analysis and expands it against its own vocabulary."""
     std = [f for f in spec.fields if not f.endswith(".english")]
     eng = [f for f in spec.fields if f.endswith(".english")]
@@ -83,7 +85,7 @@ def expansions(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFr
         parts.append((english_query_terms(qt), eng))
     out = None
     for terms, fields in parts:
-        found = terms.join(_expand(terms, index, spec, fields), "qterm").select("query_id", "nq", "field", "qterm", "term", "weight")
+        found = terms.join(_expand(terms, index, spec, fields), "qterm").select("query_id", "nq", "q", "field", "term", "weight")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -99,40 +101,41 @@ def _expand(qterms: DataFrame, index: TextIndex, spec: TextQuery, fields: list[s
         "field", "qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight"))
 
 
-def _boosts(spec: TextQuery) -> Column:
-    m = {**spec.fields, **spec.keyword_fields}
-    return F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(float(v)))])
-
-
 def score_requests(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
-    """(query_id, id, score) for every document matching at least one field."""
+    """(query_id, id, score) for every document matching at least one field.
+
+    What moves per match is (query, document, slot, score): a slot is one
+    number for field, query term and its request's number of terms.
+    """
+    boosts = {**spec.fields, **spec.keyword_fields}
+    code = {f: i for i, f in enumerate(boosts)}
     # requests x their term expansions, with the statistics each one needs
     qexp = expansions(requests, index, spec)
     if spec.keyword_fields:
-        kw = requests.select("query_id", F.col("query").alias("qterm")).where(F.col("qterm").isNotNull())
-        kw = kw.select("query_id", F.lit(1).alias("nq"), F.explode(F.array(*[F.lit(f) for f in spec.keyword_fields])).alias("field"),
-                       "qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight"))
+        kw = requests.select("query_id", F.col("query").alias("term")).where(F.col("term").isNotNull())
+        kw = kw.select("query_id", F.lit(1).alias("nq"), F.lit(0).alias("q"),
+                       F.explode(F.array(*[F.lit(f) for f in spec.keyword_fields])).alias("field"), "term", F.lit(1.0).alias("weight"))
         qexp = qexp.unionByName(kw)
+    field_code = F.element_at(F.create_map(*[F.lit(x) for kv in code.items() for x in kv]), F.col("field")).cast("long")
+    slot = (F.shiftleft(field_code, 56).bitwiseOR(F.shiftleft(F.col("q").cast("long"), 28)).bitwiseOR(F.col("nq").cast("long")))
     qexp = (qexp.join(index.term_stats, ["field", "term"])
             .join(F.broadcast(index.field_stats), "field")
             .withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-            .withColumn("boost", F.element_at(_boosts(spec), F.col("field")))
-            .select("query_id", "nq", "field", "qterm", "term", "weight", "idf", "avgdl", "boost"))
+            .select("query_id", "field", "term", slot.alias("slot"), (F.col("weight") * F.col("idf")).alias("w"), "avgdl"))
     qexp = checked_broadcast(qexp)
-    # One shuffle on (query_id, id): the three aggregations below group by
-    # supersets of it and then run in the same stage without re-shuffling.
-    hits = postings_of(index, qexp).join(qexp, ["field", "term"]).repartition("query_id", "id")
     tfn = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    s = F.col("weight") * F.col("idf") * tfn
-    per_term = hits.groupBy("query_id", "field", "qterm", "id").agg(
-        F.max(s).alias("ts"), F.first("boost").alias("boost"), F.first("nq").alias("nq"))
-    per_field = per_term.groupBy("query_id", "field", "id").agg(
-        (F.sum("ts") * F.first("boost")).alias("fs"), F.count(F.lit(1)).alias("matched"), F.first("nq").alias("nq"))
+    # One shuffle on (query_id, id): the aggregations below group by
+    # supersets of it and then run in the same stage without re-shuffling.
+    hits = postings_of(index, qexp).join(qexp, ["field", "term"]).select("query_id", "id", "slot", (F.col("w") * tfn).alias("s"))
+    per_term = hits.repartition("query_id", "id").groupBy("query_id", "id", "slot").agg(F.max("s").alias("ts"))
+    field = F.shiftright("slot", 56).cast("int")
+    per_field = per_term.groupBy("query_id", "id", field.alias("field")).agg(
+        F.sum("ts").alias("fs"), F.count(F.lit(1)).alias("matched"), F.max(F.col("slot").bitwiseAND(F.lit((1 << 28) - 1))).alias("nq"))
     if spec.min_should_match is not None:
         need = F.greatest(F.lit(1), F.floor(F.lit(spec.min_should_match) * F.col("nq")))
-        is_kw = F.col("field").isin(list(spec.keyword_fields)) if spec.keyword_fields else F.lit(False)
-        per_field = per_field.where(is_kw | (F.col("matched") >= need))
-    return per_field.groupBy("query_id", "id").agg(F.round(F.max("fs"), 6).alias("score"))
+        per_field = per_field.where(F.col("field").isin([code[f] for f in spec.keyword_fields]) | (F.col("matched") >= need))
+    boost = F.element_at(F.array(*[F.lit(float(b)) for b in boosts.values()]), F.col("field") + 1)
+    return per_field.groupBy("query_id", "id").agg(F.round(F.max(F.col("fs") * boost), 6).alias("score"))
 
 
 def request_filter() -> Column:
@@ -218,6 +221,13 @@ def search_totals(papers: DataFrame, index: TextIndex, requests: DataFrame, spec
     return totals(requests, matches(papers, index, requests, spec or DEFAULT_SPEC))
 
 
+def echo(requests: DataFrame, matched: DataFrame, as_of: str) -> DataFrame:
+    """What a response says beside its hits: the request's parameters, its
+    exact total and the date it holds for."""
+    r = with_filters(requests).select("query_id", "query", "from", "size", *[c for c, _ in REQUEST_FILTERS])
+    return r.join(totals(requests, matched), "query_id").withColumn("as_of", F.lit(as_of).cast("date"))
+
+
 def search(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery | None = None,
            sorts: dict[str, str] = SEARCH_SORTS, default_sort: str | None = None, score_first: bool = False,
            with_total: bool = True, scored: DataFrame | None = None) -> DataFrame:

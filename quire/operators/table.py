@@ -86,15 +86,20 @@ class PapersTable:
         except AnalysisException:  # nothing applied yet
             return self.spark.createDataFrame([], LOG_DDL)
 
-    def _live(self) -> list[tuple[str, int]]:
-        """(batch, seq) from the newest compaction on: at most compact_after + 1."""
-        log = self.log()
-        base = log.where("kind = 'base'").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        return [(r["batch"], r["seq"]) for r in log.where(F.col("seq") >= base).select("batch", "seq").collect()]
+    def _state(self, stream: str = "", batch_id: int | None = None) -> tuple[int, int, bool]:
+        """(last seq, seq of the last compaction, whether the batch is applied)."""
+        own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id) if batch_id is not None else F.lit(False)
+        zero = F.lit(0).cast("long")
+        return tuple(self.log().agg(F.coalesce(F.max("seq"), zero), F.coalesce(F.max(F.when(F.col("kind") == "base", F.col("seq"))), zero),
+                                    F.coalesce(F.bool_or(own), F.lit(False))).first())
+
+    def _live(self, since: int | None = None) -> list[tuple[str, int]]:
+        """(batch, seq) from the last compaction on: at most compact_after + 1."""
+        since = self._state()[1] if since is None else since
+        return [(r["batch"], r["seq"]) for r in self.log().where(F.col("seq") >= since).select("batch", "seq").collect()]
 
     def applied(self, stream: str, batch_id: int | None) -> bool:
-        return batch_id is not None and bool(
-            self.log().where((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).limit(1).count())
+        return batch_id is not None and self._state(stream, batch_id)[2]
 
     def _rows(self, live: list[tuple[str, int]]) -> DataFrame:
         schema = T.StructType([*self.schema().fields, T.StructField("_seq", T.LongType())])
@@ -116,11 +121,11 @@ class PapersTable:
         whose schema metadata names a dimension takes vectors of that
         dimension only: others become null. ``facts`` are further log columns.
         """
-        if self.applied(stream, batch_id):
-            return UpsertResult(0, False, 0, 0)
         started = now()
-        live = self._live()
-        seq = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+        last, base, applied = self._state(stream, batch_id)
+        if applied:
+            return UpsertResult(0, False, 0, 0)
+        live, seq = self._live(base), last + 1
         name = re.sub(r"\W", "_", stream) + (f"-{batch_id:012d}" if batch_id is not None else f"-x{uuid.uuid4().hex}")
         rows = newest_per_key(batch, [self.key], order) if order else newest_per_key(batch, [self.key])
         rows = rows.select(*[self._checked(f).alias(f.name) for f in self.schema().fields], F.lit(seq).alias("_seq"))
@@ -129,8 +134,11 @@ class PapersTable:
         if rejects is not None:
             rejects.write.mode("overwrite").parquet(f"{self.base}/rejects/batch={name}")
         own = self.spark.read.parquet(path).select(self.key)
-        total = own.count()
-        updated = own.join(self._rows(live).select(self.key), self.key, "left_semi").count() if live else 0
+        if live:
+            old = self._rows(live).select(self.key).distinct().withColumn("_old", F.lit(1))
+            total, updated = own.join(old, self.key, "left").agg(F.count(F.lit(1)), F.count("_old")).first()
+        else:
+            total, updated = own.count(), 0
         row = {"stream": stream, "batch_id": batch_id, "batch": name, "seq": seq, "kind": "batch", "created": total - updated,
                "updated": updated, "started_at": started, "ended_at": now(), **(facts or {})}
         row["write_s"] = (row["ended_at"] - started).total_seconds()
@@ -154,8 +162,7 @@ class PapersTable:
         live = self._live()
         if len(live) < 2:
             return
-        bases = [r["seq"] for r in self.log().where("kind = 'base'").select("seq").orderBy(F.col("seq").desc()).limit(1).collect()]
-        old = self.log().where(F.col("seq") < (bases[0] if bases else 0)).select("batch").collect()
+        old = self.log().where(F.col("seq") < self._state()[1]).select("batch").collect()  # most are gone already
         seq = max(s for _, s in live) + 1
         name = f"base-{seq:012d}"
         self.read().withColumn("_seq", F.lit(seq)).write.mode("overwrite").parquet(f"{self.base}/data/batch={name}")

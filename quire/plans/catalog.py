@@ -16,11 +16,13 @@ from quire.functions.text import clean_text, decode_entities, sanitize_double
 from quire.operators import filters as flt
 from quire.operators import listing, quality
 from quire.operators.mapping import NO_TITLE_OR_ABSTRACT
-from quire.operators.requests import normalize_requests, split_topics
-from quire.plans.common import AS_OF, flat_paper, mapped_all, names_of, papers, papers_and_rejects, text_queries
+from quire.operators.requests import norm_sync_size, normalize_requests, split_topics
+from quire.operators.vector import valid_vector
+from quire.plans.common import AS_OF, TEST_DIM, flat_paper, mapped_all, names_of, papers, papers_and_rejects, text_queries
 from quire.schema import CROSSREF_SCHEMA
-from quire.sources.fixtures import flat_sources, read_table, sources
-from quire.sources.scan import keyset_page, point_lookup, read_json_payload, sample_n
+from quire.session import shared_path
+from quire.sources.fixtures import crossref_source, flat_sources, read_table, sources
+from quire.sources.scan import keyset_page, point_lookup, read_json_payload, read_source_files, sample_n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,21 +61,22 @@ def point_lookup_q(spark, sf):
 
 @query
 def read_sources_q(spark, sf):
-    """Crossref records exported as JSON text, read back with the declared schema."""
-    _, cr = sources(spark, sf)
-    payload = cr.select(F.col("_id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in cr.columns])).alias("json"))
-    parsed = read_json_payload(payload, "json", CROSSREF_SCHEMA).select("_parsed.*", "parse_error")
-    raw = F.col("raw_data")
+    """Crossref records exported as files of JSON lines, a few of them cut
+    short on the way, read with the declared schema."""
+    flat = flat_sources(spark, read_table(spark, sf, "documents"))
+    cr = crossref_source(flat)
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cr.columns]))
+    cut = F.substring("_id", 2, 8).cast("int") % 59 == 11
+    path = shared_path(spark, "stages", "export")
+    cr.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value")).write.text(path)
+    lines = read_source_files(spark, path, T.StructType([T.StructField("value", T.StringType())]), "text")
+    parsed = read_json_payload(lines, "value", CROSSREF_SCHEMA)
+    raw, pub = F.col("_parsed.raw_data"), F.col("_parsed.publishedAt")
     return parsed.select(
-        F.col("_id").alias("id"),
-        F.col("publishedAt.year").cast("long").alias("year"),
-        F.col("publishedAt.month").cast("long").alias("month"),
-        F.col("publishedAt.day").cast("long").alias("day"),
-        F.get(raw["title"], 0).alias("title_raw"),
-        raw["DOI"].alias("doi"),
-        F.size(raw["author"]).cast("long").alias("n_authors"),
-        raw["is-referenced-by-count"].cast("long").alias("citations"),
-        "parse_error")
+        F.regexp_extract("value", '"_id":"([^"]*)"', 1).alias("id"),
+        pub["year"].cast("long").alias("year"), pub["month"].cast("long").alias("month"), pub["day"].cast("long").alias("day"),
+        F.get(raw["title"], 0).alias("title_raw"), raw["DOI"].alias("doi"), F.size(raw["author"]).cast("long").alias("n_authors"),
+        raw["is-referenced-by-count"].cast("long").alias("citations"), "parse_error")
 
 
 @query
@@ -184,7 +187,8 @@ def request_table(spark, sf):
 def normalize_requests_q(spark, sf):
     out = normalize_requests(request_table(spark, sf), "semantic")
     return out.select("query_id", F.col("page").cast("long"), F.col("per_page").cast("long"), "sort",
-                      F.col("from").cast("long"), F.col("size").cast("long"), "rejected_reason")
+                      F.col("from").cast("long"), F.col("size").cast("long"), "rejected_reason",
+                      norm_sync_size(F.col("query_id") * 331 - 20).cast("long").alias("sync_size"))
 
 
 # ---------------------------------------------------------------- listings
@@ -346,9 +350,10 @@ def topic_trends(spark, sf):
 
 @query
 def parse_payload(spark, sf):
-    ev = read_table(spark, sf, "events")
-    schema = T.StructType([T.StructField("k", T.LongType())])
-    out = read_json_payload(ev, "props", schema)
+    """Event payloads; those of some events arrive without their last brace."""
+    props = F.when(F.col("event_id") % 97 == 3, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    ev = read_table(spark, sf, "events").withColumn("props", props)
+    out = read_json_payload(ev, "props", T.StructType([T.StructField("k", T.LongType())]))
     return out.select("event_id", F.col("_parsed.k").alias("k"), "parse_error")
 
 
@@ -363,9 +368,11 @@ def protected_names(spark, sf):
 
 @query
 def vector_dim_check(spark, sf):
-    emb = read_table(spark, sf, "embeddings")
-    return emb.select("vec_id", F.size("embedding").cast("long").alias("dim"),
-                      (F.size("embedding") == 64).alias("valid"))
+    """Vectors that may be searched; some arrive cut short or all zero."""
+    v = (F.when(F.col("vec_id") % 10 == 3, F.slice("embedding", 1, TEST_DIM - 1))
+         .when(F.col("vec_id") % 10 == 7, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")))
+    emb = read_table(spark, sf, "embeddings").select("vec_id", v.alias("v"))
+    return emb.select("vec_id", F.size("v").cast("long").alias("dim"), valid_vector(F.col("v"), TEST_DIM).alias("valid"))
 
 
 EXTENSIONS = ("quire.plans.catalog_search", "quire.plans.catalog_vector", "quire.plans.catalog_sync")

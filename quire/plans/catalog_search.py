@@ -11,7 +11,7 @@ from quire.operators import search as S
 from quire.operators.index import TEXT_FIELDS, TextIndex, build_index, build_term_stats, materialize_index
 from quire.session import cut_lineage
 from quire.plans.catalog import query
-from quire.plans.common import papers, snapshot_key, text_queries
+from quire.plans.common import AS_OF, papers, snapshot_key, text_queries
 
 
 _INDEXES: dict[tuple, TextIndex] = {}
@@ -139,6 +139,15 @@ def total_hits(spark, sf):
     return S.search_totals(p, paper_index(p), search_requests(spark, sf, "filtered")).select("query_id", F.col("total_hits").cast("long"))
 
 
+@query
+def search_echo(spark, sf):
+    p, req = papers(spark, sf), search_requests(spark, sf, "filtered")
+    out = S.echo(req, S.matches(p, paper_index(p), req, S.DEFAULT_SPEC), AS_OF)
+    return out.select("query_id", "query", F.col("from").cast("long"), F.col("size").cast("long"), "journal",
+                      F.col("from_date").cast("string").alias("from_date"), F.col("to_date").cast("string").alias("to_date"), "topics",
+                      "has_abstract", F.col("total_hits").cast("long"), F.col("as_of").cast("string").alias("as_of"))
+
+
 CONTEXTUAL_SPEC = S.TextQuery(S.CONTEXTUAL_FIELDS, fuzzy=True, min_should_match=0.75)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.mapping import map_joined, join_sources, map_papers
-from quire.sources.fixtures import flat_sources, read_table, sources, vectors_source
+from quire.sources.fixtures import read_table, sources, vectors_source
 
 AS_OF = "2024-12-31"
 TEST_DIM = 64

@@ -144,10 +144,11 @@ ORACLES["point_lookup"] = f"""WITH {MAPPED}
 SELECT id, has_crossref AS found, CASE WHEN has_crossref THEN doi_raw END AS doi FROM src"""
 
 ORACLES["read_sources"] = f"""WITH {MAPPED}
-SELECT id, CAST(pub_year AS BIGINT) AS year, CAST(pub_month AS BIGINT) AS month, CAST(pub_day AS BIGINT) AS day,
-  title_raw, doi_raw AS doi, CAST(2 AS BIGINT) AS n_authors, CAST(citations_raw AS BIGINT) AS citations,
-  false AS parse_error
-FROM src WHERE has_crossref"""
+SELECT id, CASE WHEN ok THEN CAST(pub_year AS BIGINT) END AS year, CASE WHEN ok THEN CAST(pub_month AS BIGINT) END AS month,
+  CASE WHEN ok THEN CAST(pub_day AS BIGINT) END AS day, CASE WHEN ok THEN title_raw END AS title_raw,
+  CASE WHEN ok THEN doi_raw END AS doi, CASE WHEN ok THEN CAST(2 AS BIGINT) END AS n_authors,
+  CASE WHEN ok THEN CAST(citations_raw AS BIGINT) END AS citations, NOT ok AS parse_error
+FROM (SELECT *, doc_id % 59 <> 11 AS ok FROM src WHERE has_crossref)"""
 
 ORACLES["join_sources"] = f"""WITH {MAPPED}
 SELECT id, has_crossref AS matched FROM src"""
@@ -212,6 +213,7 @@ n AS (
   FROM r)
 SELECT query_id, CAST(page AS BIGINT) AS page, CAST(per_page AS BIGINT) AS per_page, sort,
   CAST((page - 1) * per_page AS BIGINT) AS "from", CAST(per_page AS BIGINT) AS size,
+  CAST(CASE WHEN query_id * 331 - 20 < 1 THEN 1000 WHEN query_id * 331 - 20 > 10000 THEN 10000 ELSE query_id * 331 - 20 END AS BIGINT) AS sync_size,
   CASE WHEN query IS NULL OR regexp_full_match(query, '{WS}*') THEN 'blank_query'
        WHEN (page - 1) * per_page + per_page > 50000 THEN 'result_window_too_large' END AS rejected_reason
 FROM n"""
@@ -302,8 +304,8 @@ SELECT topic, CAST(count(*) AS BIGINT) AS n_papers, round(avg(hot), 6) AS avg_to
 FROM t GROUP BY topic""".replace("\n, t AS", ", t AS", 1))
 
 ORACLES["parse_payload"] = """
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$') IS NULL AND props IS NOT NULL AS parse_error
-FROM events"""
+SELECT event_id, CASE WHEN json_valid(p) THEN CAST(json_extract(p, '$.k') AS BIGINT) END AS k, p IS NOT NULL AND NOT json_valid(p) AS parse_error
+FROM (SELECT event_id, CASE WHEN event_id % 97 = 3 THEN substr(props, 1, length(props) - 1) ELSE props END AS p FROM events)"""
 
 ORACLES["protected_names"] = """
 WITH d AS (SELECT DISTINCT source, lang FROM documents),
@@ -312,7 +314,9 @@ SELECT name, (lower(name) LIKE '.opensearch%' OR lower(name) LIKE '.security%' O
               OR lower(name) LIKE '.opendistro%') AS protected FROM n"""
 
 ORACLES["vector_dim_check"] = """
-SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, len(embedding) = 64 AS valid FROM embeddings"""
+SELECT vec_id, CAST(len(v) AS BIGINT) AS dim, len(v) = 64 AND list_dot_product(v, v) > 0 AS valid FROM (
+  SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_slice(embedding, 1, 63)::DOUBLE[]
+    WHEN vec_id % 10 = 7 THEN list_transform(embedding, lambda x: 0::DOUBLE) ELSE embedding::DOUBLE[] END AS v FROM embeddings)"""
 
 
 ORACLE_EXTENSIONS = ("quire.plans.oracles_search", "quire.plans.oracles_vector", "quire.plans.oracles_sync")

@@ -303,6 +303,11 @@ ORACLES["search_sorted"] = search_sql("sorted", SEARCH_FIELDS, KW, True, None, S
 ORACLES["total_hits"] = search_sql(
     "filtered", SEARCH_FIELDS, KW, True, None, SEARCH_SORTS, None,
     select="r.query_id, coalesce(tot.total_hits, 0) AS total_hits FROM r LEFT JOIN tot ON tot.query_id = r.query_id")
+ORACLES["search_echo"] = search_sql(
+    "filtered", SEARCH_FIELDS, KW, True, None, SEARCH_SORTS, None,
+    select='r.query_id, r.query, CAST(r."from" AS BIGINT) AS "from", CAST(r.size AS BIGINT) AS size, r_journal AS journal, '
+           "CAST(r_from_date AS VARCHAR) AS from_date, CAST(r_to_date AS VARCHAR) AS to_date, r_topics AS topics, r_has_abstract AS has_abstract, "
+           "coalesce(tot.total_hits, 0) AS total_hits, '2024-12-31' AS as_of FROM r LEFT JOIN tot ON tot.query_id = r.query_id")
 ORACLES["search_contextual_english"] = f"""WITH {MAPPED},
 r AS ({text_queries_sql()}),
 {scored_ctes({ENGLISH: 2.0}, {}, True, 0.75)}

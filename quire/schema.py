@@ -96,8 +96,3 @@ PAPER_COLUMNS = [f.name for f in papers_schema().fields]
 
 # Heavy columns never returned by search/list (F1).
 EXCLUDED_FROM_RESULTS = ("embeddingVector", "contextualContent")
-
-REJECT_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("reason", T.StringType(), False),
-])

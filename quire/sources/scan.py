@@ -46,11 +46,16 @@ def point_lookup(source: DataFrame, keys: DataFrame, key: str = "_id") -> DataFr
 
 
 def read_json_payload(df: DataFrame, payload_col: str, schema: T.StructType) -> DataFrame:
-    """Typed parse of string payloads; a row that fails keeps its raw text and
-    an error flag instead of failing the job."""
-    parsed = F.from_json(F.col(payload_col), schema, {"mode": "PERMISSIVE"})
-    return df.withColumn("_parsed", parsed).withColumn(
-        "parse_error", F.col("_parsed").isNull() & F.col(payload_col).isNotNull())
+    """Typed parse of string payloads: ``_parsed``, and ``parse_error`` for
+    payloads that are not JSON of that shape (their ``_parsed`` is null, their
+    raw text stays); such a row never fails the job."""
+    wide = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(F.col(payload_col), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    out = df.withColumn("_parsed", parsed)
+    wrong = F.col(payload_col).isNotNull() & (F.col("_parsed").isNull() | F.col("_parsed._broken").isNotNull())
+    out = out.withColumn("parse_error", wrong)
+    whole = F.struct(*[F.col("_parsed")[f.name].alias(f.name) for f in schema.fields])
+    return out.withColumn("_parsed", F.when(~F.col("parse_error") & F.col("_parsed").isNotNull(), whole))
 
 
 def read_source_files(spark, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:

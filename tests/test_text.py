@@ -38,3 +38,9 @@ def test_sanitize_double(spark):
 def test_tokens(spark):
     got = _one(spark, tokens(F.col("s")), "Hello World, it's U.S.A. x_y 3.14")
     assert got == ["hello", "world", "it's", "u.s.a", "x_y", "3.14"]
+
+
+def test_zero_padded_and_overlong_references(spark):
+    rows = spark.createDataFrame([("&#00000065;&#x000000041;",), ("&#99999999;",), ("&#x00110000;",), ("&#0;",)], "t string")
+    out = [r[0] for r in rows.select(decode_entities(F.col("t"))).collect()]
+    assert out == ["AA", "&#99999999;", "&#x00110000;", "&#0;"]
