@@ -11,10 +11,12 @@ estimate.
 
 Which pairs are looked at: every vector goes to its ``probes`` nearest cells
 around centres drawn from the vectors; a pair is decided in the first cell the
-two share. Equal vectors count as one with a multiplicity. A cell above
-``TILE`` rows is cut into segments, and every pair of segments is a piece of
-work of its own. Cells emit counts of links per vector and a spanning forest,
-never their pairs.
+two share. Centres are drawn by density, so those that one vector could link to
+are thinned to one: a large group of near copies is one crowded cell, not
+hundreds between which its pairs get lost. Equal vectors count as one with a
+multiplicity. A cell above ``TILE`` rows is cut into segments, and every pair of
+segments is a piece of work of its own. Cells emit counts of links per vector
+and a spanning forest, never their pairs.
 """
 
 from __future__ import annotations
@@ -73,6 +75,23 @@ def upper_bounds(codes: np.ndarray, factors: np.ndarray, rotated: np.ndarray, co
     return estimate + (error + 1e-5).astype(np.float32)[:, None]
 
 
+def spread_out(centres: np.ndarray, most: float) -> np.ndarray:
+    """Positions of the centres that stay, in order: each whose cosine to all
+    that stay before it is below ``most``."""
+    kept = np.empty(0, np.int64)
+    for at in range(0, len(centres), TILE):
+        block = centres[at:at + TILE]
+        free = np.ones(len(block), bool)
+        for k in range(0, len(kept), TILE):
+            free &= ~(block @ centres[kept[k:k + TILE]].T >= most).any(axis=1)
+        close = block @ block.T >= most
+        for i in range(len(block)):
+            if free[i]:
+                free[i + 1:] &= ~close[i, i + 1:]
+        kept = np.r_[kept, at + np.flatnonzero(free)]
+    return kept
+
+
 class Cell:
     """Rows of one tile of a cell."""
 
@@ -93,16 +112,25 @@ class Cell:
         bound = np.minimum(upper_bounds(self.code[low], self.factor[low], rotated[high], confidence),
                            upper_bounds(self.code[high], self.factor[high], rotated[low], confidence).T)
         a, b = np.nonzero(bound >= threshold)
+        crowded = len(a) * 16 > bound.size  # then one product of matrices costs less than pair by pair
+        if crowded:
+            a, b = np.nonzero((bound >= threshold) & (self.unit[low] @ self.unit[high].T >= threshold))
         a, b = low[a], high[b]
         if inside:
             a, b = a[a < b], b[a < b]
+        earlier = np.where(self.cells < self.number, np.uint64(1) << (self.cells % 64).astype(np.uint64), np.uint64(0))
+        earlier = np.bitwise_or.reduce(earlier, axis=1)  # no common bit: no common cell before this one
         found_a, found_b = [], []
         for at in range(0, len(a), PAIRS):
             i, j = a[at:at + PAIRS], b[at:at + PAIRS]
-            near = (np.einsum("ij,ij->i", self.unit[i], self.unit[j]) >= threshold) & (self.length[i] == self.length[j])
+            near = self.length[i] == self.length[j]
+            if not crowded:
+                near &= np.einsum("ij,ij->i", self.unit[i], self.unit[j]) >= threshold
             i, j = i[near], j[near]
-            shared = (self.cells[i][:, :, None] == self.cells[j][:, None, :]).any(axis=2)
-            first = np.where(shared, self.cells[i], np.iinfo(np.int32).max).min(axis=1) == self.number
+            first = (earlier[i] & earlier[j]) == 0
+            rest = np.flatnonzero(~first)
+            ci, cj = self.cells[i[rest]], self.cells[j[rest]]
+            first[rest] = ~((ci[:, :, None] == cj[:, None, :]).any(axis=2) & (ci < self.number)).any(axis=1)
             found_a.append(i[first])
             found_b.append(j[first])
         return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (a[:0], b[:0])
@@ -115,7 +143,8 @@ def embedding_links(vectors: DataFrame, dim: int, *, threshold: float = 0.9, pro
     are a spanning forest of the links.
 
     Centres are at most ``max_cells`` vectors, those with the smallest hashes:
-    one for about PER_CELL vectors. Every vector is put into cells.
+    one for about PER_CELL vectors, but no two so close that one vector could
+    link to both. Every vector is put into cells.
     """
     spark = vectors.sparkSession
     wanted = int(min(max_cells, max(1, vectors.count() // PER_CELL)))
@@ -123,8 +152,10 @@ def embedding_links(vectors: DataFrame, dim: int, *, threshold: float = 0.9, pro
     drawn = centres.select("embedding").toArrow()["embedding"].combine_chunks()
     if not len(drawn):
         return spark.createDataFrame([], "node long, other long, links long")
-    shared = spark.sparkContext.broadcast((unit_rows(drawn, dim)[0].astype(np.float32), rotation(dim, seed)))
-    probes = min(probes, len(drawn))
+    centres = unit_rows(drawn, dim)[0].astype(np.float32)
+    centres = centres[spread_out(centres, max(2 * threshold ** 2 - 1, 0.0))]  # the cosine of twice the angle
+    shared = spark.sparkContext.broadcast((centres, rotation(dim, seed)))
+    probes = min(probes, len(centres))
 
     @F.arrow_udf("struct<code:binary,factor:float,cells:array<int>>")
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,34 @@ def test_recall_close_to_the_threshold_and_hot_cells(spark, monkeypatch):
     assert found[alone].sum() / true[alone].sum() > .97
 
 
+def test_recall_in_a_group_of_near_copies_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    n, of = 60_000, 20_000
+    vectors = rng.standard_normal((n, 64)).astype(np.float32)
+    base = rng.standard_normal(64)
+    base /= np.linalg.norm(base)
+    vectors[:of] = base + .034 * rng.standard_normal((of, 64))  # cosine of about 0.93 to each other
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64, dtype=np.int32)), pa.array(vectors.ravel()))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": lists})).repartition(8)
+    got = np.zeros(n, np.int64)
+    for r in embeddings.embedding_near_duplicates(df).collect():
+        got[r["id"]] = r["n_links"]
+    unit = vectors[:of].astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = np.concatenate([(unit[k:k + 1000] @ unit.T >= .9).sum(1) - 1 for k in range(0, of, 1000)])
+    assert true.mean() > of / 2
+    assert (got[:of] <= true).all() and got[:of].sum() / true.sum() > .999
+
+
+def test_centres_that_stay_are_apart_and_cover_the_others():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((1500, 16)), rng.standard_normal(16) + .1 * rng.standard_normal((1500, 16))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(3000)].astype(np.float32)
+    kept = embeddings.spread_out(x, .62)
+    cosines = x @ x[kept].T
+    assert (cosines[kept] >= .62).sum() == len(kept) and (cosines >= .62).any(axis=1).all()
+
+
 def test_code_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     v = rng.standard_normal((400, 64))
