@@ -6,6 +6,8 @@ the k-mer alone, so equal passages have equal anchors wherever they stand. A
 fingerprint is the sequence of a text's anchors, each a 24-bit hash of the
 k-mer and its distance from the anchor before; it is compared by position:
 anchors match if their hashes do and another match stands on the same diagonal.
+Short texts are read at a smaller scale; a pair of a short and a longer text is
+compared by anchors of both at that scale.
 """
 
 from __future__ import annotations
@@ -71,15 +73,16 @@ def closed_syncmers(points: np.ndarray, s: int, w: int) -> tuple[np.ndarray, np.
 
 class Anchors:
     """Anchors of several texts: their text's number, position and 32-bit hash,
-    ordered by text and position. Texts below SHORT code points are read at the
-    short scale. A text too short to hold an anchor has a single one for all of
-    it; an empty text has none."""
+    ordered by text and position. Texts below SHORT code points (or all, if
+    ``short``) are read at the short scale. A text too short to hold an anchor
+    has a single one for all of it; an empty text has none."""
 
-    def __init__(self, texts: list[str]):
-        self.texts = len(texts)
+    def __init__(self, texts: list[str], short: bool = False):
+        self.texts, self.source = len(texts), texts
         lengths = np.array([len(t) for t in texts], np.int64)
+        self.short = (lengths < SHORT) | short
         parts = []
-        for (s, w), members in ((LONG_SCALE, np.flatnonzero(lengths >= SHORT)), (SHORT_SCALE, np.flatnonzero(lengths < SHORT))):
+        for (s, w), members in ((LONG_SCALE, np.flatnonzero(~self.short)), (SHORT_SCALE, np.flatnonzero(self.short))):
             points = np.frombuffer("".join([texts[i] for i in members]).encode("utf-32-le", "surrogatepass"), np.uint32)
             at, value = closed_syncmers(points, s, w)
             ends = np.cumsum(lengths[members])
@@ -110,6 +113,7 @@ class Anchors:
         part = object.__new__(Anchors)
         a, b = np.searchsorted(self.text, (low, high))
         part.texts, part.counts = high - low, self.counts[low:high]
+        part.source, part.short = self.source[low:high], self.short[low:high]
         part.text, part.at, part.value = self.text[a:b] - low, self.at[a:b], self.value[a:b]
         return part
 
@@ -129,7 +133,17 @@ def _numbered(x: Anchors) -> np.ndarray:
 def likeness(a: Anchors, b: Anchors) -> np.ndarray:
     """From 0 to 1 for each pair of texts with one number: the share of their
     anchors that match by hash and stand on a diagonal with another match (if
-    either text has one anchor only, by hash). Two empty texts: 1."""
+    either text has one anchor only, by hash). If one text is read at the short
+    scale, both are. Two empty texts: 1."""
+    out = _likeness(a, b)
+    mixed = np.flatnonzero((a.short != b.short) & (a.counts > 0) & (b.counts > 0))
+    if len(mixed):
+        out[mixed] = _likeness(Anchors([a.source[i] for i in mixed], short=True), Anchors([b.source[i] for i in mixed], short=True))
+    return out
+
+
+def _likeness(a: Anchors, b: Anchors) -> np.ndarray:
+    """The same by the anchors as they are."""
     ka, kb = _numbered(a), _numbered(b)
     _, ia, ib = np.intersect1d(ka, kb, return_indices=True)
     text, diagonal = a.text[ia], a.at[ia] - b.at[ib]

@@ -178,6 +178,22 @@ def test_likeness_orders_edits():
     assert scores[0] == 1 and scores == sorted(scores, reverse=True) and scores[1] > .8 and scores[3] < .1
 
 
+def test_likeness_of_pairs_with_one_short_text():
+    rng = random.Random(3)
+    text = sentence(rng, 60)
+    pairs = [(text[:95], text[:97]), (text[:97], text[:95]), (text[:100], text[:75]), (text[:75], text), ("", text), (text[:80], sentence(rng, 60))]
+    a, b = (Anchors(list(side)) for side in zip(*pairs, strict=True))
+    got = likeness(a, b)
+    assert (got[:2] > .9).all() and got[2] > .7 and got[3] > .2 and got[4] == 0 and got[5] < .2
+    assert likeness(a.take(2, 4), b.take(2, 4)).tolist() == got[2:4].tolist()
+
+
+def test_edited_text_below_the_short_scale_is_near(spark):
+    text = sentence(random.Random(4), 60)[:100]
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    assert {r["id"]: r["near_edited"] for r in fingerprints_with_next(df).collect()}[1] > .7
+
+
 # ---- BPE ------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
