@@ -5,21 +5,23 @@ where a shape is the path with every run of digits as ``#``, and counted; the
 tree is grown over that table, level by level: a segment stays literal only if
 it has enough pages and its labelled purity differs from that of its siblings
 by a two-proportion z-test; all other segments, variable or statistically
-alike, merge into one wildcard branch. The templates at the leaves are judged
+alike, merge into one wildcard branch. It grows until no path has a segment
+left; a branch whose pages cannot differ any more gets the rest of its
+wildcards at once. The templates at the leaves are judged
 by their purity, smoothed towards their host's, which is smoothed towards that
 of all pages.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut_lineage, null_safe_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what lies deeper is one segment, ``**``.
-MAX_DEPTH = 4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,16 +48,16 @@ def matching_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
         F.collect_set(F.struct(F.length("rule").alias("length"), "rule", "path", "action")).alias("rules"))
 
 
-def template_tree(shapes: DataFrame, *, min_pages: int = 8, min_labelled: int = 8, z: float = 2.576,
-                  max_depth: int = MAX_DEPTH) -> DataFrame:
+def template_tree(shapes: DataFrame, *, min_pages: int = 8, min_labelled: int = 8, z: float = 2.576) -> DataFrame:
     """(host, shape, template) from (host, shape, pages, labelled, good)."""
     parts = F.filter(F.split("shape", "/", -1), lambda s: s != "")
     level = shapes.select("host", "shape", "pages", "labelled", "good", F.lit("").alias("template"), parts.alias("parts"))
-    level = cut_lineage(level, "url_tree")
-    for depth in range(1, max_depth + 1):
+    level = cut_lineage(level.withColumn("ended", F.size("parts") == 0), "url_tree")
+    done, depth = [level.where("ended")], 0
+    while not (level := level.where(~F.col("ended"))).isEmpty():
+        depth += 1
         here = level.withColumn("segment", F.get("parts", F.lit(depth - 1)))
-        branches = here.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
-            *[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
+        branches = here.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
         branches = cut_lineage(branches, "url_branches")
         above = branches.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
         both = branches.where((F.col("pages") >= min_pages) & (F.col("labelled") >= min_labelled) & (F.col("segment") != "#"))
@@ -67,11 +69,15 @@ def template_tree(shapes: DataFrame, *, min_pages: int = 8, min_labelled: int =
         # squares on both sides: no root, so SQL engines agree
         kept = both.where((others > 0) & (apart * apart > z * z * spread)).select("host", "template", "segment", F.lit(True).alias("literal"))
         here = null_safe_join(here, kept, ["host", "template", "segment"], "left")
-        name = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
-            F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(F.lit("*"))))
-        level = cut_lineage(here.withColumn("template", F.concat("template", name)).drop("segment", "literal"), "url_tree")
-    deeper = F.when(F.size("parts") > max_depth, F.lit("/**")).otherwise(F.lit(""))
-    return level.withColumn("template", F.concat("template", deeper)).select("host", "shape", "template", "pages", "labelled", "good")
+        # too few labels, or all alike: neither this level nor a deeper one has a literal segment
+        alike = (F.col("all_labelled") <= min_labelled) | (F.col("all_good") == 0) | (F.col("all_good") == F.col("all_labelled"))
+        here = null_safe_join(here, above.select("host", "template", alike.alias("alike")), ["host", "template"], "inner")
+        name = F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(F.lit("*")))
+        left = F.size("parts") - depth
+        here = here.withColumn("template", F.concat("template", name, F.when(F.col("alike"), F.repeat(F.lit("/*"), left)).otherwise(F.lit(""))))
+        level = cut_lineage(here.withColumn("ended", F.col("alike") | (left == 0)).drop("segment", "literal", "alike"), "url_tree")
+        done.append(level.where("ended"))
+    return reduce(DataFrame.unionByName, done).select("host", "shape", "template", "pages", "labelled", "good")
 
 
 def template_verdicts(shapes: DataFrame, *, smoothing: float = 10.0, min_purity: float = 0.5, **tree) -> DataFrame:

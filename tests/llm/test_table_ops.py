@@ -218,6 +218,19 @@ def test_poor_branches_get_a_template_and_are_rejected(spark):
     assert all(out[i]["verdict"] == ("block" if "/spam/" in url else "allow") for i, url, _ in rows)
 
 
+def test_branches_below_the_fourth_segment_get_their_own_verdict(spark):
+    rows = [(i, f"http://h.org/2024/05/07/a/{part}/b/c/d/{'xyz'[i % 3]}{i}", None if i % 4 == 0 else part == "news")
+            for i, part in enumerate(["news", "casino"] * 100)]
+    rows += [(1000 + i, f"http://h.org/2024/05/07/a/{'n/' * 30}{i}", True) for i in range(20)] + [(2000, "http://h.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    rules = spark.createDataFrame([], "rule string, action string")
+    out = {r["id"]: r for r in judge_urls(df, "page_id", "url", rules, F.col("good")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i]["verdict"] == ("block" if "casino" in url else "allow") for i, url, _ in rows if i < 2000)
+    assert out[1]["template"] == "/*/*/*/*/casino/*/*/*/*" and out[2000]["template"] == ""
+    assert all(r["template"].count("/") == sum(p != "" for p in r["path"].split("/")) for r in out.values())
+
+
 # ---- embeddings -----------------------------------------------------------------------
 
 def naive_links(vectors, threshold=0.9):
