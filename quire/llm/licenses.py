@@ -4,12 +4,17 @@ A text is brought to a canonical form: lower case, one of each pair of
 equivalent spellings, runs of anything but letters and digits as one space,
 copyright lines gone. The digest of the whole text, and that of each of its
 lines as a text of its own (notices stand on lines), is joined by hash to the
-digests of known license texts, which go through the same form. Everything is
-DataFrame functions; a text is scanned once.
+digests of known license texts, which go through the same form. A whole text
+that is none of them is looked up once more among the full texts by a looser
+form: copyright lines of any kind at its head gone, list marks (single letters,
+numbers up to two digits) gone wherever they stand. Everything is DataFrame
+functions; a text is scanned once.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +78,38 @@ def known_licenses() -> list[tuple[str, str]]:
             + NOTICES + [(name, f"SPDX-License-Identifier: {name}") for name in names])
 
 
+#: Full texts of longer licenses, a file each, named by its license.
+TEXTS = Path(__file__).with_name("license_texts")
+
+#: Usual titles of the texts in FULL_TEXTS.
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "MIT"],
+    "ISC": ["The ISC License", "The ISC License (ISC)", "ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["The BSD 2-Clause License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License",
+                     "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["The BSD 3-Clause License", "New BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License",
+                     "Modified BSD License", "BSD License", "The BSD License"],
+    "Zlib": ["The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of full texts: the short ones with and without their
+    titles, the others with and without what follows the end of their terms,
+    and each of these on one line, where no copyright line of their own goes."""
+    out = [(name, text) for name, _, text in FULL_TEXTS]
+    out += [(name, f"{t}\n{text}") for name, title, text in FULL_TEXTS for t in [title, *TITLES[name]]]
+    for path in sorted(TEXTS.glob("*.txt")):
+        text, end = path.read_text(encoding="utf-8"), "END OF TERMS AND CONDITIONS"
+        forms = [text]
+        if end in text:
+            terms = text[:text.index(end)]
+            forms += [terms, terms + end]
+        out += [(path.stem, form) for text in forms for form in (text, " ".join(text.split()))]
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical lines, without empty ones and copyright lines."""
     form = F.lower(F.coalesce(text, F.lit("")))
@@ -88,7 +125,21 @@ def digest(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " "), 256)
 
 
-def license_digests(licenses: DataFrame) -> DataFrame:
+def loose_digest(lines: Column) -> Column:
+    """Digest of the text that canonical lines make up, without copyright lines
+    of its head (lines that start as one, or are a title: up to 8 words with
+    "license", or "mit", "isc", "0bsd" alone), lines of a sign and a year or of
+    a place left for them, and without list marks."""
+    copyright_line = r"^(copyright|c [0-9]{4})"
+    title = r"^(?=.*\blicense\b)([^ ]+( |$)){1,8}$|^(mit|isc|0bsd|zero clause bsd)$"
+    body = F.array_position(F.transform(lines, lambda x: ~x.rlike(copyright_line) & ~x.rlike(title)), F.lit(True)).cast("int")
+    head = F.greatest(body - 1, F.lit(0))
+    own = F.concat(F.filter(F.slice(lines, F.lit(1), head), lambda x: ~x.rlike(copyright_line)), F.slice(lines, head + 1, F.size(lines)))
+    own = F.filter(own, lambda x: ~x.rlike(r"^(copyright ?|c )+([0-9]{4}|yyyy|year|date)( |$)"))
+    return F.sha2(F.trim(F.regexp_replace(F.array_join(own, " "), "(^| )([0-9]{1,2}|[a-z])(?= |$)", "")), 256)
+
+
+def license_digests(licenses: DataFrame, digest=digest) -> DataFrame:
     """(digest, license) from (license, text); of licenses with one canonical
     text the first by name. Texts without any letter or digit are no license."""
     lines = canonical_lines(F.col("text"))
@@ -105,13 +156,21 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows come out as often as they went in. Other columns are not read.
     """
     spark: SparkSession = df.sparkSession
-    known = license_digests(licenses if licenses is not None else spark.createDataFrame(known_licenses(), "license string, text string"))
+    def texts(rows: list[tuple[str, str]]) -> DataFrame:
+        return spark.createDataFrame(rows, "license string, text string")
+
+    full = licenses if licenses is not None else texts(full_texts())
+    known = license_digests(licenses if licenses is not None else texts(known_licenses()).union(full))
     known = cut_lineage(known, "license_digests")
+    loose = cut_lineage(license_digests(full, loose_digest), "license_digests").where(F.col("digest") != F.sha2(F.lit(""), 256))
     units = df.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
-    units = units.select("id", digest(F.col("lines")).alias("text_digest"), F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256))).alias("lines"))
+    units = units.select("id", digest(F.col("lines")).alias("text_digest"), loose_digest(F.col("lines")).alias("loose_digest"),
+                         F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256))).alias("lines"))
     units = cut_lineage(units, "license_units")
     lines = units.select("id", "text_digest", F.explode("lines").alias("digest")).join(known, "digest")
     lines = lines.groupBy("id", "text_digest").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
     whole = units.join(known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")), "text_digest", "left")
-    found = null_safe_join(whole.drop("lines"), lines, ["id", "text_digest"], "left")
+    whole = whole.join(loose.select(F.col("digest").alias("loose_digest"), F.col("license").alias("loose_license")), "loose_digest", "left")
+    whole = whole.withColumn("text_license", F.coalesce("text_license", "loose_license"))
+    found = null_safe_join(whole.drop("lines", "loose_digest", "loose_license"), lines, ["id", "text_digest"], "left")
     return found.select("id", "text_digest", "text_license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))

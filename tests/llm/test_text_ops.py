@@ -9,7 +9,7 @@ import pytest
 
 from quire.llm import bpe
 from quire.llm.common import apply_llm_conf
-from quire.llm.licenses import FULL_TEXTS, scan_licenses
+from quire.llm.licenses import FULL_TEXTS, TEXTS, full_texts, license_digests, loose_digest, scan_licenses
 from quire.llm.simhash import (forest_of_buckets, keep_one_per_component, local_roots, majority, shingle_hashes, simhash_components,
                                simhash_near_duplicates)
 from quire.llm.syncmers import Anchors, fingerprints_with_next, likeness
@@ -251,3 +251,28 @@ def test_licenses_survive_case_wrapping_spelling_and_copyright_lines(spark):
                           ("4", None, ["CC-BY-NC-4.0", "MIT"]), ("5", None, []), ("6", None, []), ("6", None, []),
                           ("None", "ISC", ["ISC"]), ("8", None, [])])
     assert scan_licenses(df.limit(0)).collect() == []
+
+
+def test_whole_texts_of_long_licenses_and_usual_forms_of_short_ones(spark):
+    apply_llm_conf(spark)
+    body = {n: t for n, _, t in FULL_TEXTS}
+    long = {p.stem: p.read_text() for p in TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(long)
+    texts = [(n, t) for n, t in long.items()] + [(n, " ".join(t.split())) for n, t in long.items()]
+    apache = long["Apache-2.0"]
+    texts += [("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Foo")),
+              ("Apache-2.0", apache[:apache.index("END OF TERMS")].rstrip())]
+    for head in ("The MIT License (MIT)\n\nCopyright (c) 2020 Foo", "Copyright Joyent, Inc. and other Node contributors.", "(c) 2020 Foo",
+                 "©2020 Foo", "Copyright <YEAR> <HOLDER>", "The MIT License\n\nCopyright Foo", "Copyright Foo\n\nMIT License"):
+        texts.append(("MIT", f"{head}\n\n{body['MIT']}"))
+    for mark in ("* ", "- ", "{}) ", "({}) ", "  • ", ""):
+        for name in ("BSD-2-Clause", "BSD-3-Clause"):
+            texts.append((name, "Copyright (c) 2011, Foo\nAll rights reserved.\n\n"
+                          + re.sub(r"(?m)^(\d)\. ", lambda m, mark=mark: mark.format("abc"[int(m[1]) - 1]), body[name])))
+    texts += [("None", "Copyright Foo\nAll rights reserved."), ("None", "MIT License"), ("None", "1. a"), ("None", "Copyright Foo\n" + body["MIT"] + " More."),
+              ("MIT", body["MIT"].replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["id"]: str(r["text_license"]) for r in scan_licenses(df).collect()}
+    assert [(i, got[i], t[:60]) for i, (n, t) in enumerate(texts) if got[i] != n] == []
+    known = license_digests(spark.createDataFrame(full_texts(), "license string, text string"), loose_digest)
+    assert {r["license"] for r in known.collect()} == {n for n, _ in full_texts()}  # no license hides another
