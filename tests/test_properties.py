@@ -199,6 +199,12 @@ def test_knn_cuts_ties_by_id_however_rows_are_dealt(spark, monkeypatch):
         assert [(r["query_id"], r["id"]) for r in got] == want
 
 
+def test_registered_recall_is_at_least_nine_tenths(spark):
+    import __spark_entry__
+    recall = [r["recall"] for r in __spark_entry__.queries()["knn_recall"](spark, "/root/testdata/sf0.01").collect()]
+    assert len(recall) == 500 and sum(recall) / len(recall) >= .9
+
+
 def test_stored_cells_equal_exact_when_all_are_probed_and_recall_is_high(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((20, 16))
