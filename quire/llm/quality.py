@@ -37,7 +37,7 @@ REMEMBERED = 300_000
 
 def word_shape(word: str) -> str:
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)

@@ -161,6 +161,10 @@ def test_ordinal_gradient_and_order():
     assert ((tails >= .5).sum(axis=1) == grade).mean() > .9
 
 
+def test_shape_of_a_word_is_that_of_all_of_it():
+    assert quality.word_shape("a" * 100 + "7" * 100 + "-Ab") == "a0-Aa"
+
+
 def test_one_grade_or_none_keeps_all(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, None), (None, "")], "doc_id long, text string")
     for labels in ([], [(1, 1, 0)], [(7, 0, 0)], [(None, 1, 0), (1, None, None)]):
