@@ -230,6 +230,18 @@ def test_bpe_equals_tiktoken_on_random_unicode(vocabulary):
         assert decoder(part) == text.encode()
 
 
+def test_both_ways_of_merging_agree_at_the_border(vocabulary, monkeypatch):
+    _, pattern, ranks, _ = vocabulary
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdeéo") for _ in range(n)) for n in (100, 2000, 2047, 2048, 2049, 2100)]
+    encoder = bpe.Encoder(ranks, bpe.mergeable_pairs(ranks), pattern)
+    ways = []
+    for longest in (0, 2048, 1 << 20):  # all by the heap, as it is, all by matrices
+        monkeypatch.setattr(bpe, "LONGEST_ROW", longest)
+        ways.append([x.tolist() for x in encoder.texts(texts)])
+    assert ways[0] == ways[1] == ways[2]
+
+
 def test_bpe_decode_refuses_unknown_ids(vocabulary):
     with pytest.raises((ValueError, IndexError)):
         bpe.Decoder(vocabulary[2])(np.array([10**6]))
