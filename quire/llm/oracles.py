@@ -41,7 +41,44 @@ def _license_lines_sql(text: str) -> str:
         lambda x: x <> '' AND NOT regexp_matches(x, '^(copyright )+((c )?[0-9]{{4}}( |$)|c )') AND x <> 'all rights reserved')"""
 
 
+#: CRC-32 (reflected polynomial 0xEDB88320) of a string of ASCII characters.
+_CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''),
+        lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda crc, e: CASE WHEN e >= 0 THEN xor(crc, e) ELSE xor(crc >> 1, 3988292384::BIGINT * (crc & 1)) END), 4294967295::BIGINT)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": r"""
+        WITH turns AS (
+            SELECT conv_id AS c, md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS item,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words, turn
+            FROM conversations WHERE conv_id IS NOT NULL),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, item) AS pos FROM turns),
+        own AS (SELECT c, max(pos) AS had, c - c % 20 AS base, """ + _CRC32_SQL.format("c::VARCHAR") + r""" % 4 AS h FROM placed GROUP BY c),
+        members AS (SELECT o.c, o.base, o.h, least(o.h, coalesce(b.had, 0)) AS k, o.had FROM own o LEFT JOIN own b ON b.c = o.base),
+        rebuilt AS (
+            SELECT m.c, m.k + p.pos - m.h AS depth, p.item, p.words FROM members m JOIN placed p ON p.c = m.c AND p.pos > m.h
+            UNION ALL SELECT m.c, p.pos, p.item, p.words FROM members m JOIN placed p ON p.c = m.base AND p.pos <= m.k),
+        paths AS (
+            SELECT c, depth, string_agg(item, ',') OVER (PARTITION BY c ORDER BY depth) AS name, words FROM rebuilt
+            UNION ALL SELECT c, 0, '', 0 FROM members),
+        ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends FROM paths),
+        nodes AS (
+            SELECT name, min(c) AS conv_id, depth, count(*) AS n_convs, max(words) AS words,
+                   coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ended
+            FROM ended GROUP BY name, depth),
+        linked AS (
+            SELECT n.*, p.name AS up, q.conv_id AS parent_conv_id
+            FROM nodes n LEFT JOIN paths p ON p.c = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes q ON q.name = p.name AND q.depth = p.depth),
+        counted AS (
+            SELECT l.*, coalesce(k.n_children, 0) AS n_children
+            FROM linked l LEFT JOIN (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL) k
+                ON k.up = l.name AND k.depth = l.depth),
+        sums AS (
+            SELECT a.name, a.depth, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.words)::BIGINT AS saved_tokens
+            FROM counted u JOIN paths a ON a.c = u.conv_id AND a.depth <= u.depth GROUP BY a.name, a.depth)
+        SELECT c.conv_id, c.depth::BIGINT AS depth, c.parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, sha256(c.ended) AS ends_sha256
+        FROM counted c JOIN sums s USING (name, depth)""",
     "op4_license_scan": f"""
         WITH known AS (
             SELECT sha256(array_to_string(lines, ' ')) AS digest, min(license) AS license

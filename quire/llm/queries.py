@@ -12,10 +12,13 @@ from quire.llm.common import apply_llm_conf, shared_path, table, word_count
 from quire.llm.embeddings import embedding_near_duplicates
 from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import mix_sources, quality_weights
+from quire.llm.prefix_trie import conversation_trie
 from quire.llm.quality import classify_quality
+from quire.llm.repair import repair_damaged
 from quire.llm.sharding import shard_by_bytes
 from quire.llm.simhash import simhash_near_duplicates
 from quire.llm.syncmers import fingerprints_with_next
+from quire.llm.trie_bpe import trie_round_trip
 from quire.llm.urls import judge_urls
 from quire.llm.warc import read_archives, write_archives
 
@@ -101,8 +104,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: every whole text by the 50k file of the tokenizers library."""
+    import public_tokenizers
+
+    found = trie_round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: the cheapest repair of every damaged conversation."""
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = [op1_closed_syncmers, op2_simhash_near_dedup, op3_byte_bpe, op4_license_scan, op5_sharding, op6_source_mixing,
-           op7_quality_classifier, op8_url_filter, op9_embedding_near_dedup, op10_warc]
+           op7_quality_classifier, op8_url_filter, op9_embedding_near_dedup, op10_warc, op11_prefix_trie, op12_trie_bpe,
+           op13_structure_repair]
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,10 +26,10 @@ def con():
     return c
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     import __spark_entry__
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in registry()}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in registry()}
     assert set(registry()) | {"pipeline"} <= names and set(oracles()) <= set(__spark_entry__.oracle_sql())
 
 
