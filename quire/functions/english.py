@@ -160,7 +160,7 @@ def english_postings(postings: DataFrame, emap: DataFrame, source_field: str = "
     through the vocabulary map (term, eterm): the stemmer never sees an
     occurrence. A hot term's rows are added up before they move."""
     src = postings.where(F.col("field") == source_field)
-    per = src.join(emap, "term").groupBy("eterm", "id").agg(F.sum("tf").alias("tf"))
-    dl = per.groupBy("id").agg(F.sum("tf").alias("dl"))
-    return per.join(dl, "id").select(F.lit(field).alias("field"), F.col("eterm").alias("term"), "id",
+    per = src.join(emap, "term").groupBy("eterm", "doc", "id").agg(F.sum("tf").alias("tf"))
+    dl = per.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    return per.join(dl, "doc").select(F.lit(field).alias("field"), F.col("eterm").alias("term"), "doc", "id",
                                      F.col("tf").cast("long"), F.col("dl").cast("long"))

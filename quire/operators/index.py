@@ -1,24 +1,32 @@
 """Inverted index tables derived from ``papers``.
 
-``postings(field, term, id, tf, dl)``  one row per (field, term, document);
+``postings(field, term, doc, id, tf, dl)``  one row per (field, term, document);
                                       ``dl`` rides along so scoring needs no
                                       join back to per-document statistics
+``docs(doc, id, ...)``                what filters and sorts read of a document
 ``term_stats(field, term, df)``       document frequency per term
 ``field_stats(field, n_docs, avgdl)`` corpus statistics per field
 
 Statistics are global per field, so scores do not depend on partitioning.
-A stored index keeps its postings in folders by a hash of (field, term),
-sorted inside, so a batch of requests reads only the folders of its terms.
+
+A stored index numbers its documents densely (``doc``) and keeps postings and
+docs in buckets by that number, sorted by (field, term) inside: everything
+that a document contributes to a request lies in one bucket, so matches are
+joined, scored, filtered and counted where they are read and only what a page
+or a total needs is shuffled. A request with few terms reads only the row
+groups that may hold them (Parquet statistics of the sorted buckets).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import tokens
+from quire.session import cut_lineage
 
 # Analysed fields of the papers table.
 TEXT_FIELDS = ("title", "abstract", "openSummary", "contextualContent", "journal")
@@ -29,6 +37,7 @@ class TextIndex:
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    docs: DataFrame | None = None        # (doc, id, columns for filters and sorts)
     stored: bool = False                 # tables live in the shared folder
     variants: DataFrame | None = None    # fuzzy index: deletion variants of the vocabulary
     english: DataFrame | None = None     # (term, eterm) of the field with an English form
@@ -41,31 +50,47 @@ def fuzzy_variants(index: TextIndex) -> DataFrame:
         from quire.functions.fuzzy import vocabulary_variants
         v = vocabulary_variants(index.term_stats.select("term"))
         if index.stored:
-            from quire.session import cut_lineage
             v = cut_lineage(v, "fuzzy_variants")
         index.variants = v
     return index.variants
 
 
+#: What filters and sorts of a request read of a document, where papers have it.
+DOC_COLUMNS = ("publicationHotScore", "pageRank", "publishedAt", "citationsCount", "voteScore", "journal", "topics", "authors", "hasAbstract")
+
+
+def number_documents(papers: DataFrame) -> DataFrame:
+    """``papers`` (read from Parquet files) with dense numbers from 0 in
+    ``doc``: the row's place in its file after all rows of the files before.
+    Nothing is shuffled but one row per file."""
+    rows = papers.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as files
+    files = files.select("__file", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    files = cut_lineage(files, "file_offsets")
+    return rows.join(F.broadcast(files), "__file").withColumn("doc", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
 def field_tokens(papers: DataFrame, fields=TEXT_FIELDS, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Long form (field, id, tokens) — one row per document and field.
+    """Long form (field, doc, id, tokens) — one row per document and field.
 
     ``extra`` maps a field name to a token-array expression (e.g. the
-    English-analysed sub-field).
+    English-analysed sub-field). Papers without ``doc`` go by their id.
     """
     entries = [F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields]
     for name, expr in (extra or {}).items():
         entries.append(F.struct(F.lit(name).alias("field"), expr.alias("tokens")))
-    long = papers.select("id", F.explode(F.array(*entries)).alias("e"))
-    return long.select(F.col("e.field").alias("field"), "id", F.col("e.tokens").alias("tokens")).where(
+    doc = F.col("doc" if "doc" in papers.columns else "id").alias("doc")
+    long = papers.select(doc, "id", F.explode(F.array(*entries)).alias("e"))
+    return long.select(F.col("e.field").alias("field"), "doc", "id", F.col("e.tokens").alias("tokens")).where(
         F.size("tokens") > 0)
 
 
 def build_postings(long_tokens: DataFrame) -> DataFrame:
-    """(field, term, id, tf, dl). The explode happens on the pruned long form;
+    """(field, term, doc, id, tf, dl). The explode happens on the pruned long form;
     the aggregation combines map-side before its shuffle."""
-    exploded = long_tokens.select("field", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    exploded = long_tokens.select("field", "doc", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return exploded.groupBy("field", "term", "doc", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def build_term_stats(postings: DataFrame) -> DataFrame:
@@ -80,23 +105,42 @@ def build_field_stats(long_tokens: DataFrame) -> DataFrame:
 def build_index(papers: DataFrame, fields=TEXT_FIELDS, extra: dict[str, Column] | None = None) -> TextIndex:
     long = field_tokens(papers, fields, extra)
     postings = build_postings(long)
-    return TextIndex(postings, build_term_stats(postings), build_field_stats(long))
+    doc = F.col("doc" if "doc" in papers.columns else "id").alias("doc")
+    docs = papers.select(doc, "id", *[c for c in DOC_COLUMNS if c in papers.columns])
+    return TextIndex(postings, build_term_stats(postings), build_field_stats(long), docs)
+
+
+#: Postings aimed at per bucket of a stored index.
+BUCKET_POSTINGS = 8_000_000
+#: Distinct terms of a batch of requests up to which they are pushed to the scan.
+PUSHED_TERMS = 1000
 
 
-#: Folders of a stored index. Terms of a folder are further split over files.
-INDEX_BUCKETS = 64
+def _bucketed(df: DataFrame, path: str, buckets: int, sort: list[str]) -> None:
+    """Parquet files of a bucketed table, one a bucket, sorted inside."""
+    name = f"quire_{uuid.uuid4().hex}"
+    (df.repartition(buckets, "doc").write.option("path", path).bucketBy(buckets, "doc").sortBy(*sort)
+     .format("parquet").mode("overwrite").saveAsTable(name))
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay: any session names them anew
 
 
-def posting_bucket(buckets: int = INDEX_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int")
+def _bucketed_table(spark, path: str, buckets: int, sort: list[str]) -> DataFrame:
+    name = f"quire_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc) SORTED BY ({', '.join(sort)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
-def write_index(index: TextIndex, path: str, buckets: int = INDEX_BUCKETS) -> None:
-    """Postings clustered by (field, term); a hot term's rows go to several files."""
-    spread = F.pmod(F.xxhash64("id"), F.lit(4))
-    (index.postings.withColumn("bucket", posting_bucket(buckets)).repartition("bucket", spread)
-     .sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+def write_index(index: TextIndex, path: str, buckets: int | None = None) -> None:
+    """Postings and docs in as many buckets as postings call for, or ``buckets``."""
     spark = index.postings.sparkSession
+    postings = index.postings
+    if buckets is None:
+        postings = cut_lineage(postings, "postings")
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings.count() // BUCKET_POSTINGS))
+    _bucketed(postings, f"{path}/postings", buckets, ["field", "term"])
+    _bucketed(index.docs, f"{path}/docs", buckets, ["doc"])
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
     # document frequencies from what was written; the field statistics need no postings
     build_term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
     index.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
@@ -105,8 +149,9 @@ def write_index(index: TextIndex, path: str, buckets: int = INDEX_BUCKETS) -> No
 
 
 def read_index(spark, path: str, english: bool = False) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_stats"),
-                     spark.read.parquet(f"{path}/field_stats"), stored=True,
+    buckets = spark.read.parquet(f"{path}/layout").first()[0]
+    return TextIndex(_bucketed_table(spark, f"{path}/postings", buckets, ["field", "term"]), spark.read.parquet(f"{path}/term_stats"),
+                     spark.read.parquet(f"{path}/field_stats"), _bucketed_table(spark, f"{path}/docs", buckets, ["doc"]), stored=True,
                      english=spark.read.parquet(f"{path}/english") if english else None)
 
 
@@ -120,9 +165,9 @@ def materialize_index(index: TextIndex, name: str = "index") -> TextIndex:
 
 
 def postings_of(index: TextIndex, terms: DataFrame) -> DataFrame:
-    """Postings that may hold the (field, term) rows: of a stored index only
-    the folders of these terms (at most INDEX_BUCKETS numbers are collected)."""
-    if "bucket" not in index.postings.columns:
+    """Postings that may hold the (field, term) rows: up to PUSHED_TERMS
+    distinct terms are a filter of the scan, which skips row groups by them."""
+    if not index.stored:
         return index.postings
-    touched = [r[0] for r in terms.select(posting_bucket()).distinct().collect()]
-    return index.postings.where(F.col("bucket").isin(touched)).drop("bucket")
+    asked = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    return index.postings.where(F.col("term").isin(asked)) if len(asked) <= PUSHED_TERMS else index.postings

@@ -4,11 +4,16 @@ Data flow (one Spark job for any number of requests):
 
   requests -> query terms -> (fuzzy) expansions per field  [small side]
            -> join postings on (field, term)               [broadcast, size checked]
+           -> with a minimum of matches: only documents that have one of the
+              rarest terms of a field (prefix filter, see scored_terms)
            -> BM25 per (request, field, term, doc)
            -> best expansion per query term, sum per field x boost,
               minimum-should-match per field, max over fields (best_fields)
            -> per-request filters, sort, page (row_number + WindowGroupLimit)
 
+A stored index is bucketed by document, so all steps up to the page cut run
+where the postings are read, without a shuffle of matches.
+
 Scoring pins: BM25 (k1=1.2, b=0.75, no (k1+1) factor), idf
 ln(1 + (N - df + 0.5) / (df + 0.5)) with per-field statistics over the whole
 table, fuzzy weight 1 - d / min(len), scores rounded to 6 decimals before
@@ -101,41 +106,90 @@ def _expand(qterms: DataFrame, index: TextIndex, spec: TextQuery, fields: list[s
         "field", "qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight"))
 
 
-def score_requests(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
-    """(query_id, id, score) for every document matching at least one field.
+def scored_terms(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
+    """(query_id, field, term, slot, w, avgdl, rare): the requests' expansions
+    with what scoring needs of them; the size of the requests, not the corpus.
 
-    What moves per match is (query, document, slot, score): a slot is one
-    number for field, query term and its request's number of terms.
+    A slot is one number for field, query term and its request's number of
+    terms. With a minimum of m of a field's n terms a document has to have one
+    of the n - m + 1 terms with the fewest postings (terms that no document
+    has are first among these): those are ``rare``. A field with fewer than m
+    terms that any document has can't match and is left out.
     """
     boosts = {**spec.fields, **spec.keyword_fields}
     code = {f: i for i, f in enumerate(boosts)}
-    # requests x their term expansions, with the statistics each one needs
     qexp = expansions(requests, index, spec)
     if spec.keyword_fields:
         kw = requests.select("query_id", F.col("query").alias("term")).where(F.col("term").isNotNull())
         kw = kw.select("query_id", F.lit(1).alias("nq"), F.lit(0).alias("q"),
                        F.explode(F.array(*[F.lit(f) for f in spec.keyword_fields])).alias("field"), "term", F.lit(1.0).alias("weight"))
         qexp = qexp.unionByName(kw)
+    qexp = qexp.join(index.term_stats, ["field", "term"])
+    if spec.min_should_match is not None:
+        sizes = qexp.groupBy("query_id", "field", "nq", "q").agg(F.sum("df").alias("moves"))
+        need = F.when(F.col("field").isin(list(spec.keyword_fields)), F.lit(1)).otherwise(least_matches(spec))
+        by_size = Window.partitionBy("query_id", "field").orderBy("moves", "q")
+        sizes = sizes.withColumn("missing", F.col("nq") - F.count(F.lit(1)).over(Window.partitionBy("query_id", "field")))
+        sizes = sizes.where(F.col("missing") <= F.col("nq") - need).withColumn(
+            "rare", F.row_number().over(by_size) + F.col("missing") <= F.col("nq") - need + 1)
+        qexp = qexp.join(sizes.select("query_id", "field", "q", "rare"), ["query_id", "field", "q"])
+    else:
+        qexp = qexp.withColumn("rare", F.lit(True))
     field_code = F.element_at(F.create_map(*[F.lit(x) for kv in code.items() for x in kv]), F.col("field")).cast("long")
     slot = (F.shiftleft(field_code, 56).bitwiseOR(F.shiftleft(F.col("q").cast("long"), 28)).bitwiseOR(F.col("nq").cast("long")))
-    qexp = (qexp.join(index.term_stats, ["field", "term"])
-            .join(F.broadcast(index.field_stats), "field")
+    qexp = (qexp.join(F.broadcast(index.field_stats), "field")
             .withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-            .select("query_id", "field", "term", slot.alias("slot"), (F.col("weight") * F.col("idf")).alias("w"), "avgdl"))
-    qexp = checked_broadcast(qexp)
-    tfn = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # One shuffle on (query_id, id): the aggregations below group by
-    # supersets of it and then run in the same stage without re-shuffling.
-    hits = postings_of(index, qexp).join(qexp, ["field", "term"]).select("query_id", "id", "slot", (F.col("w") * tfn).alias("s"))
-    per_term = hits.repartition("query_id", "id").groupBy("query_id", "id", "slot").agg(F.max("s").alias("ts"))
+            .select("query_id", "field", "term", slot.alias("slot"), (F.col("weight") * F.col("idf")).alias("w"), "avgdl", "rare"))
+    return checked_broadcast(qexp)
+
+
+def least_matches(spec: TextQuery) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(spec.min_should_match) * F.col("nq")))
+
+
+def _per_field(index: TextIndex, qexp: DataFrame, spec: TextQuery, score: Column, *extra: str) -> DataFrame:
+    """(query_id, doc, field, fs, matched, nq) of the fields that match: the
+    best expansion per query term, summed. All of it happens inside a bucket of
+    the stored index: joins and groupings are on supersets of ``doc``."""
+    boosts = {**spec.fields, **spec.keyword_fields}
+    code = {f: i for i, f in enumerate(boosts)}
     field = F.shiftright("slot", 56).cast("int")
-    per_field = per_term.groupBy("query_id", "id", field.alias("field")).agg(
+    postings = postings_of(index, qexp).select("field", "term", "doc", *extra)
+    hits = postings.join(qexp, ["field", "term"]).select("query_id", "doc", "slot", score.alias("s"))
+    if spec.min_should_match is not None:
+        few = postings.select("field", "term", "doc").join(qexp.where("rare"), ["field", "term"])
+        few = few.select("query_id", "doc", field.alias("field")).distinct().hint("shuffle_hash")
+        hits = hits.withColumn("field", field).join(few, ["query_id", "doc", "field"], "left_semi").drop("field")
+    per_term = hits.groupBy("query_id", "doc", "slot").agg(F.max("s").alias("ts"))
+    per_field = per_term.groupBy("query_id", "doc", field.alias("field")).agg(
         F.sum("ts").alias("fs"), F.count(F.lit(1)).alias("matched"), F.max(F.col("slot").bitwiseAND(F.lit((1 << 28) - 1))).alias("nq"))
     if spec.min_should_match is not None:
-        need = F.greatest(F.lit(1), F.floor(F.lit(spec.min_should_match) * F.col("nq")))
-        per_field = per_field.where(F.col("field").isin([code[f] for f in spec.keyword_fields]) | (F.col("matched") >= need))
+        per_field = per_field.where(F.col("field").isin([code[f] for f in spec.keyword_fields]) | (F.col("matched") >= least_matches(spec)))
+    return per_field
+
+
+def score_documents(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
+    """(query_id, doc, score) for every document matching at least one field."""
+    boosts = {**spec.fields, **spec.keyword_fields}
+    tfn = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    per_field = _per_field(index, scored_terms(requests, index, spec), spec, F.col("w") * tfn, "tf", "dl")
     boost = F.element_at(F.array(*[F.lit(float(b)) for b in boosts.values()]), F.col("field") + 1)
-    return per_field.groupBy("query_id", "id").agg(F.round(F.max(F.col("fs") * boost), 6).alias("score"))
+    return per_field.groupBy("query_id", "doc").agg(F.round(F.max(F.col("fs") * boost), 6).alias("score"))
+
+
+def matching_documents(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
+    """(query_id, doc) of the same documents, without reading or computing
+    what only a score needs."""
+    qexp = scored_terms(requests, index, spec)
+    if spec.min_should_match is None:
+        return postings_of(index, qexp).select("field", "term", "doc").join(qexp, ["field", "term"]).select("query_id", "doc").distinct()
+    return _per_field(index, qexp, spec, F.lit(1)).select("query_id", "doc").distinct()
+
+
+def score_requests(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFrame:
+    """(query_id, id, score) for every document matching at least one field."""
+    scored = score_documents(requests, index, spec)
+    return scored.join(index.docs.select("doc", "id"), "doc").select("query_id", "id", "score")
 
 
 def request_filter() -> Column:
@@ -197,17 +251,25 @@ def with_filters(requests: DataFrame) -> DataFrame:
     return requests
 
 
+def _filtered(found: DataFrame, papers: DataFrame, index: TextIndex, requests: DataFrame, *columns: str) -> DataFrame:
+    """Rows (query_id, doc or id, ...) that their request's filters let pass,
+    with the id and the sort columns. Rows with ``doc`` meet what the index
+    keeps of a document in the same bucket, others meet the papers by id."""
+    r = checked_broadcast(with_filters(requests).select("query_id", "from", "size", *[F.col(c).alias(f"r_{c}") for c, _ in REQUEST_FILTERS]))
+    kept = ["id", *SORT_KEYS, "journal", "topics", "authors", "hasAbstract"]
+    if "doc" in found.columns:
+        joined = found.join(index.docs.select("doc", *kept), "doc")
+    else:
+        joined = found.join(papers.select(*kept), "id")
+    return joined.join(r, "query_id").where(request_filter()).select("query_id", "id", *columns, "from", "size", "r_sort", *SORT_KEYS)
+
+
 def matches(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery, scored: DataFrame | None = None) -> DataFrame:
     """Every document that a request scores and its filters let pass, with the
     sort columns; written once, for totals and ranking read it both."""
-    requests = with_filters(requests)
     if scored is None:
-        scored = score_requests(requests.select("query_id", "query"), index, spec)
-    r = checked_broadcast(requests.select("query_id", "from", "size", *[F.col(c).alias(f"r_{c}") for c, _ in REQUEST_FILTERS]))
-    p = papers.select("id", *SORT_KEYS, "journal", "topics", "authors", "hasAbstract")
-    joined = scored.join(p, "id").join(r, "query_id").where(request_filter()).select(
-        "query_id", "id", "score", "from", "size", "r_sort", *SORT_KEYS)
-    return cut_lineage(joined, "search_matches")
+        scored = score_documents(requests.select("query_id", "query"), index, spec)
+    return cut_lineage(_filtered(scored, papers, index, requests, "score"), "search_matches")
 
 
 def totals(requests: DataFrame, matched: DataFrame) -> DataFrame:
@@ -217,15 +279,18 @@ def totals(requests: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def search_totals(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery | None = None) -> DataFrame:
-    """Exact number of hits per request, whatever page it asks for."""
-    return totals(requests, matches(papers, index, requests, spec or DEFAULT_SPEC))
+    """Exact number of hits per request, whatever page it asks for: no score is
+    computed and no match written. A document's postings lie in one bucket, so
+    its matches are told apart there and only counts per request are shuffled."""
+    found = matching_documents(requests.select("query_id", "query"), index, spec or DEFAULT_SPEC)
+    return totals(requests, _filtered(found, papers, index, requests))
 
 
-def echo(requests: DataFrame, matched: DataFrame, as_of: str) -> DataFrame:
+def echo(requests: DataFrame, total: DataFrame, as_of: str) -> DataFrame:
     """What a response says beside its hits: the request's parameters, its
-    exact total and the date it holds for."""
+    exact total (query_id, total_hits) and the date it holds for."""
     r = with_filters(requests).select("query_id", "query", "from", "size", *[c for c, _ in REQUEST_FILTERS])
-    return r.join(totals(requests, matched), "query_id").withColumn("as_of", F.lit(as_of).cast("date"))
+    return r.join(total, "query_id").withColumn("as_of", F.lit(as_of).cast("date"))
 
 
 def search(papers: DataFrame, index: TextIndex, requests: DataFrame, spec: TextQuery | None = None,

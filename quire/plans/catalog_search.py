@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.fuzzy import fuzzy_candidates
 from quire.functions.text import tokens
 from quire.operators import search as S
-from quire.operators.index import TEXT_FIELDS, TextIndex, build_index, build_term_stats, materialize_index
+from quire.operators.index import TEXT_FIELDS, TextIndex, build_index, build_term_stats, materialize_index, number_documents
 from quire.session import cut_lineage
 from quire.plans.catalog import query
 from quire.plans.common import AS_OF, papers, snapshot_key, text_queries
@@ -27,7 +27,7 @@ def paper_index(p: DataFrame) -> TextIndex:
     key = snapshot_key(p)
     if key not in _INDEXES:
         extra = {"authors": F.transform(F.col("authors"), lambda a: a["name"])}
-        _INDEXES[key] = materialize_index(with_english(build_index(p, extra=extra)))
+        _INDEXES[key] = materialize_index(with_english(build_index(number_documents(p), extra=extra)))
     return _INDEXES[key]
 
 
@@ -37,9 +37,9 @@ def with_english(idx: TextIndex) -> TextIndex:
     postings = cut_lineage(idx.postings, "standard_postings")
     emap = cut_lineage(english_map(postings.where(F.col("field") == "contextualContent").select("term")), "english_terms")
     eng = cut_lineage(english_postings(postings, emap), "english_postings")
-    fstat = eng.agg(F.lit(ENGLISH_FIELD).alias("field"), F.count_distinct("id").alias("n_docs"),
-                    (F.sum("tf") / F.count_distinct("id")).alias("avgdl"))
-    return TextIndex(postings.unionByName(eng), build_term_stats(postings).unionByName(build_term_stats(eng)), idx.field_stats.unionByName(fstat), english=emap)
+    fstat = eng.agg(F.lit(ENGLISH_FIELD).alias("field"), F.count_distinct("doc").alias("n_docs"),
+                    (F.sum("tf") / F.count_distinct("doc")).alias("avgdl"))
+    return TextIndex(postings.unionByName(eng), build_term_stats(postings).unionByName(build_term_stats(eng)), idx.field_stats.unionByName(fstat), idx.docs, english=emap)
 
 
 def search_requests(spark, sf, variant: str = "plain") -> DataFrame:
@@ -142,7 +142,7 @@ def total_hits(spark, sf):
 @query
 def search_echo(spark, sf):
     p, req = papers(spark, sf), search_requests(spark, sf, "filtered")
-    out = S.echo(req, S.matches(p, paper_index(p), req, S.DEFAULT_SPEC), AS_OF)
+    out = S.echo(req, S.search_totals(p, paper_index(p), req), AS_OF)
     return out.select("query_id", "query", F.col("from").cast("long"), F.col("size").cast("long"), "journal",
                       F.col("from_date").cast("string").alias("from_date"), F.col("to_date").cast("string").alias("to_date"), "topics",
                       "has_abstract", F.col("total_hits").cast("long"), F.col("as_of").cast("string").alias("as_of"))
