@@ -2,24 +2,26 @@
 
 The embedder is any picklable callable ``list[str] -> np.ndarray (n, dim)``.
 The default is a deterministic feature-hashing embedder (no network, no
-model files). Work is chunked inside each Arrow batch; a failing chunk
-yields zero vectors with status ``chunk_failed`` and never fails the job.
-Rows are keyed by id, so vectors can never shift to another document.
+model files). Work is chunked inside each Arrow batch; a failing chunk is halved
+until the texts that fail stand alone: those get zero vectors with status
+``failed``, the others theirs, and the job goes on. Rows are keyed by id, so vectors can never shift to another document.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions._ship import ship_by_value
+from quire.session import cut_lineage, path_exists
 
 ship_by_value(__name__)
 
@@ -66,18 +68,6 @@ class PiecewiseEmbedder:
         return out
 
 
-class RefusingEmbedder:
-    """A model that refuses a call with a text above ``max_chars``."""
-
-    def __init__(self, inner: Callable, max_chars: int = MODEL_CHARS):
-        self.inner, self.max_chars = inner, max_chars
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        if max(map(len, texts)) > self.max_chars:
-            raise ValueError(f"a text is longer than {self.max_chars} characters")
-        return self.inner(texts)
-
-
 def _embed_texts(embedder: Callable, dim: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
@@ -86,14 +76,19 @@ def _embed_texts(embedder: Callable, dim: int):
             status = np.array(["ok" if t.strip() else "blank" for t in texts], dtype=object)
             todo = np.flatnonzero(status == "ok")
             for at in range(0, len(todo), CHUNK_SIZE):
-                rows = todo[at:at + CHUNK_SIZE]
-                try:
-                    got = np.asarray(embedder([texts[i] for i in rows]), dtype=np.float32)
-                    if got.shape != (len(rows), dim):
-                        raise ValueError(f"embedder returned {got.shape}")
-                    vectors[rows] = got
-                except Exception:
-                    status[rows] = "chunk_failed"  # zero vectors for this chunk only
+                parts = [todo[at:at + CHUNK_SIZE]]
+                while parts:
+                    rows = parts.pop()
+                    try:
+                        got = np.asarray(embedder([texts[i] for i in rows]), dtype=np.float32)
+                        if got.shape != (len(rows), dim):
+                            raise ValueError(f"embedder returned {got.shape}")
+                        vectors[rows] = got
+                    except Exception:
+                        if len(rows) == 1:
+                            status[rows] = "failed"  # a zero vector for this text only
+                        else:
+                            parts += [rows[len(rows) // 2:], rows[:len(rows) // 2]]
             yield pd.DataFrame({"vector": list(vectors), "status": status})
     return run
 
@@ -108,6 +103,36 @@ def embed_column(df: DataFrame, text_col: str, dim: int = 768, embedder: Callabl
     return out.withColumn(column, F.col("_embedded.vector")).withColumn(status, F.col("_embedded.status")).drop("_embedded")
 
 
+class EmbeddingStore:
+    """Vectors by the digest of their text, in folders of one batch each; a text
+    that any earlier batch had is not embedded again."""
+
+    def __init__(self, spark: SparkSession, path: str, dim: int = 768, embedder: Callable | None = None):
+        self.spark, self.path, self.dim, self.embedder = spark, path.rstrip("/"), dim, embedder
+
+    def known(self) -> DataFrame:
+        if not path_exists(self.spark, self.path):  # nothing stored yet
+            return self.spark.createDataFrame([], "digest binary, vector array<float>, status string")
+        return self.spark.read.parquet(f"{self.path}/batch=*").select("digest", "vector", "status")
+
+    def embed(self, df: DataFrame, text_col: str, *, column: str = "embedding", status: str = "embed_status") -> tuple[DataFrame, int]:
+        """``df`` with vector and status of every row's whole text (null:
+        empty), and how many texts had to be embedded for it: distinct ones
+        that are not stored, and those that failed before."""
+        keyed = cut_lineage(df.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))), "embed_rows")
+        done = self.known().where("status <> 'failed'").select(F.col("digest").alias("_digest"))
+        new = keyed.join(done, "_digest", "left_anti").groupBy("_digest").agg(F.first(F.col(text_col)).alias("text"))
+        found = embed_column(new, "text", self.dim, self.embedder, column="vector", status="status")
+        at = f"{self.path}/batch={uuid.uuid4().hex}"
+        seen = Observation()
+        found.select(F.col("_digest").alias("digest"), "vector", "status").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+        # of a text that failed once and went well later the vector that went well
+        best = self.known().groupBy(F.col("digest").alias("_digest")).agg(
+            F.max_by(F.struct("vector", "status"), F.col("status") != "failed").alias("_best"))
+        out = keyed.join(best, "_digest", "left").withColumn(column, F.col("_best.vector")).withColumn(status, F.col("_best.status"))
+        return out.drop("_digest", "_best"), seen.get["n"]
+
+
 def _typed(run):
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from run(batches)

@@ -5,11 +5,13 @@ Layout under ``base``:
   data/batch=<name>/     the rows of one batch, each with the batch's ``_seq``
   rejects/batch=<name>/  what the batch turned away
   log/                   one row per applied batch, written last
+  published/name=<name>/ the state that a name stands for, see ``publish``
 
 A batch is appended, so its cost follows the batch; the newest row of a key
 wins when the table is read. ``compact`` folds all batches into one. A batch
 counts once its row is in the log: folders without one are never read and are
-overwritten when the batch is tried again. The log knows batches by (stream,
+overwritten when the batch is tried again. Readers see all applied batches, or
+the state that was published under a name. The log knows batches by (stream,
 batch id), so a replayed batch changes nothing, whatever else was applied
 since, and two streams never stand in each other's way. One writer per table.
 """
@@ -24,13 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from quire.operators.quality import is_protected_name
-from quire.session import delete_path
+from quire.session import delete_path, path_exists
+from quire.sources.scan import newest_per_key
 
 LOG_DDL = ("stream string, batch_id long, batch string, seq long, kind string, last_id string, retrieved long, indexed long, "
            "created long, updated long, rejected long, started_at timestamp, ended_at timestamp, map_s double, write_s double")
+PUBLISHED_DDL = "name string, seq long, base long, at timestamp"
 #: Batches after which an upsert folds the table, to bound what a read merges.
 COMPACT_AFTER = 32
 
@@ -39,15 +42,6 @@ def now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
-def newest_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """One row per key: the last by ``order``; without an order (and among
-    ties) the one with the largest hash, the same in every run. Partial
-    maxima are taken before the shuffle, so a hot key costs a row per task."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rank = F.struct(*[F.col(f"`{c}`") for c in order or []], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_h"))
-    return df.groupBy(*keys).agg(F.max_by(whole, rank).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in df.columns])
-
-
 @dataclass
 class UpsertResult:
     seq: int
@@ -63,11 +57,7 @@ class PapersTable:
 
     # --------------------------------------------------------------- state
     def exists(self) -> bool:
-        try:
-            self.schema()
-        except AnalysisException:
-            return False
-        return True
+        return self._schema is not None or path_exists(self.spark, f"{self.base}/_schema")
 
     def create_if_absent(self, schema: T.StructType) -> None:
         """An empty table with the declared schema."""
@@ -81,10 +71,9 @@ class PapersTable:
         return self._schema
 
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LOG_DDL).parquet(f"{self.base}/log")
-        except AnalysisException:  # nothing applied yet
+        if not path_exists(self.spark, f"{self.base}/log"):  # nothing applied yet
             return self.spark.createDataFrame([], LOG_DDL)
+        return self.spark.read.schema(LOG_DDL).parquet(f"{self.base}/log")
 
     def _state(self, stream: str = "", batch_id: int | None = None) -> tuple[int, int, bool]:
         """(last seq, seq of the last compaction, whether the batch is applied)."""
@@ -93,10 +82,11 @@ class PapersTable:
         return tuple(self.log().agg(F.coalesce(F.max("seq"), zero), F.coalesce(F.max(F.when(F.col("kind") == "base", F.col("seq"))), zero),
                                     F.coalesce(F.bool_or(own), F.lit(False))).first())
 
-    def _live(self, since: int | None = None) -> list[tuple[str, int]]:
+    def _live(self, since: int | None = None, upto: int | None = None) -> list[tuple[str, int]]:
         """(batch, seq) from the last compaction on: at most compact_after + 1."""
         since = self._state()[1] if since is None else since
-        return [(r["batch"], r["seq"]) for r in self.log().where(F.col("seq") >= since).select("batch", "seq").collect()]
+        own = (F.col("seq") >= since) & (F.col("seq") <= upto if upto is not None else F.lit(True))
+        return [(r["batch"], r["seq"]) for r in self.log().where(own).select("batch", "seq").collect()]
 
     def applied(self, stream: str, batch_id: int | None) -> bool:
         return batch_id is not None and self._state(stream, batch_id)[2]
@@ -107,8 +97,32 @@ class PapersTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.base}/data/batch={b}" for b, _ in live])
 
-    def read(self) -> DataFrame:
-        live = self._live()
+    def publish(self, name: str) -> int:
+        """From now on ``read(name)`` gives the table as it is now, whatever is
+        applied later, until the name is published again."""
+        if is_protected_name(name) or not re.fullmatch(r"[\w-]+", name):
+            raise PermissionError(f"not a name for a published state: {name!r}")
+        last, base, _ = self._state()
+        rows = self.spark.createDataFrame([(name, last, base, now())], PUBLISHED_DDL)
+        rows.drop("name").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/published/name={name}")
+        return last
+
+    def published(self) -> DataFrame:
+        """(name, seq, base, at) of the published states."""
+        if not path_exists(self.spark, f"{self.base}/published"):
+            return self.spark.createDataFrame([], PUBLISHED_DDL)
+        return self.spark.read.schema(PUBLISHED_DDL).parquet(f"{self.base}/published")
+
+    def read(self, name: str | None = None) -> DataFrame:
+        """The newest row of every key: of all applied batches, or of the state
+        published as ``name``."""
+        if name is None:
+            live = self._live()
+        else:
+            at = self.published().where(F.col("name") == name).select("base", "seq").first()
+            if at is None:
+                raise LookupError(f"nothing is published as {name!r}")
+            live = self._live(at["base"], at["seq"])
         rows = self._rows(live)
         return (rows if len(live) < 2 else newest_per_key(rows, [self.key], ["_seq"])).drop("_seq")
 
@@ -162,7 +176,11 @@ class PapersTable:
         live = self._live()
         if len(live) < 2:
             return
-        old = self.log().where(F.col("seq") < self._state()[1]).select("batch").collect()  # most are gone already
+        # only what lies between the last two compactions and no published state reads: earlier folders are gone
+        last_base = self._state()[1]
+        before = self.log().where((F.col("kind") == "base") & (F.col("seq") < last_base)).agg(F.max("seq")).first()[0] or 0
+        kept = {b for p in self.published().collect() for b, _ in self._live(p["base"], p["seq"])}
+        old = [r for r in self.log().where((F.col("seq") >= before) & (F.col("seq") < last_base)).select("batch").collect() if r["batch"] not in kept]
         seq = max(s for _, s in live) + 1
         name = f"base-{seq:012d}"
         self.read().withColumn("_seq", F.lit(seq)).write.mode("overwrite").parquet(f"{self.base}/data/batch={name}")
@@ -172,10 +190,9 @@ class PapersTable:
 
     def rejects(self) -> DataFrame:
         """Reject rows of the applied batches with their batch."""
-        try:
-            found = self.spark.read.option("basePath", f"{self.base}/rejects").parquet(f"{self.base}/rejects")
-        except AnalysisException:
+        if not path_exists(self.spark, f"{self.base}/rejects"):
             return self.spark.createDataFrame([], "id string, reason string, batch string")
+        found = self.spark.read.option("basePath", f"{self.base}/rejects").parquet(f"{self.base}/rejects")
         return found.join(self.log().select("batch"), "batch", "left_semi")
 
     def drop(self) -> bool:

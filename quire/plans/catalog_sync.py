@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.embed import HashingEmbedder
-from quire.operators.table import PapersTable
+from quire.functions.embed import EmbeddingStore, HashingEmbedder, PiecewiseEmbedder
+from quire.operators import quality
+from quire.operators.table import PapersTable, drop_table
 from quire.plans.catalog import query
-from quire.plans.common import TEST_DIM, flat_paper
-from quire.session import shared_path
+from quire.plans.common import TEST_DIM, flat_paper, papers
+from quire.session import cut_lineage, shared_path
 from quire.sources.fixtures import crossref_source, flat_sources, read_table, sources, stats_source, vectors_source
 from quire.streaming import sync as SY
 
@@ -145,9 +146,103 @@ def stream_resume(spark, sf):
     return _content(t)
 
 
+@query
+def stream_corrections(spark, sf):
+    """Corrections come on the bibliographic side alone: no score row again."""
+    base = shared_path(spark, "streams", "stream_corrections")
+    t = PapersTable(spark, f"{base}/table")
+    flat = _flat(spark, sf)
+    stats_source(flat).write.parquet(f"{base}/stats")
+    crossref_source(flat).withColumn("arrived", F.lit(0)).write.parquet(f"{base}/crossref")
+    _run_stream(spark, base, t)
+    crossref_source(batch_b(flat)).withColumn("arrived", F.lit(1)).write.mode("append").parquet(f"{base}/crossref")
+    _run_stream(spark, base, t)
+    return _content(t)
+
+
 @query
 def sync_status(spark, sf):
-    return SY.sync_status(_streamed(spark, sf, "sync_status")).drop("map_s", "write_s")
+    """Totals of all batches; the stages' seconds differ between runs, so what
+    is compared is that both were measured."""
+    return SY.sync_status(_streamed(spark, sf, "sync_status")).withColumn("map_s", F.col("map_s") > 0).withColumn("write_s", F.col("write_s") > 0)
+
+
+@query
+def published_state(spark, sf):
+    """A reader of a published name keeps its state while batches go on; the
+    one that is published after the second batch has both."""
+    flat = _flat(spark, sf)
+    t = _table(spark, "published_state")
+    sync_flat(spark, batch_a(flat), t, 1)
+    t.publish("stable")
+    sync_flat(spark, batch_b(flat), t, 2)
+    t.compact()
+    t.publish("newest")
+    cols = [F.col("id"), F.col("citationsCount").cast("long").alias("citationsCount")]
+    return t.read("stable").select(F.lit("stable").alias("name"), *cols).unionByName(t.read("newest").select(F.lit("newest").alias("name"), *cols))
+
+
+@query
+def drop_target(spark, sf):
+    """Tables named after each language of the documents, one of a protected
+    name and one that is none: rows before, what a drop by name does, rows after."""
+    docs = read_table(spark, sf, "documents").where(F.col("lang").isNotNull())
+    base = shared_path(spark, "tables", "drop_target")
+    folder = F.explode(F.array(F.concat(F.lit("papers_"), F.col("lang")), F.concat(F.lit(".Kibana_"), F.col("lang")))).alias("folder")
+    docs.select(folder, "doc_id", F.col("folder").alias("name")).write.partitionBy("folder").parquet(f"{base}/all")
+    langs = [r[0] for r in docs.select("lang").distinct().limit(100).collect()]
+    before = spark.read.parquet(f"{base}/all").groupBy("name").agg(F.count(F.lit(1)).alias("rows_before"))
+    before = cut_lineage(before, "drop_before")
+    done = []
+    for name in [f"{p}{lang}" for lang in langs for p in ("papers_", ".Kibana_", "gone_")]:
+        try:
+            outcome = "dropped" if drop_table(spark, f"{base}/all/folder={name}", name) else "missing"
+        except PermissionError:
+            outcome = "refused"
+        done.append((name, outcome))
+    left = spark.read.parquet(f"{base}/all").groupBy("name").agg(F.count(F.lit(1)).alias("rows_after"))
+    out = spark.createDataFrame(done, "name string, outcome string").join(before, "name", "left").join(left, "name", "left")
+    return out.fillna(0, ["rows_before", "rows_after"])
+
+
+@query
+def partition_distribution(spark, sf):
+    """Files and rows of a stored table by partition, with their skew; the bytes
+    differ between writers, so what is compared is that they were measured."""
+    path = shared_path(spark, "tables", "by_source")
+    read_table(spark, sf, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("part")).repartition("part").write.partitionBy("part").parquet(path)
+    found = quality.partition_distribution(spark.read.parquet(path), "part")
+    return found.select("partition", "n_files", "n_rows", "skew", (F.col("n_bytes") > 0).alias("measured"))
+
+
+@query
+def profile_merged(spark, sf):
+    """The profile of two batches from the sketches stored beside them: counts
+    are exact, estimated distinct counts within 5 % of the exact ones."""
+    p, path = papers(spark, sf).drop("embeddingVector"), shared_path(spark, "tables", "sketches")
+    older = F.pmod(F.xxhash64("id"), F.lit(3)) > 0
+    for part in (p.where(older), p.where(~older)):
+        quality.profile_sketch(part).write.mode("append").parquet(path)
+    merged = quality.profile_of_sketches(spark.read.parquet(path))
+    exact = quality.table_profile(p, exact=True).select("column_name", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(2), F.col("exact") * 0.05)
+    return merged.join(exact, "column_name").select("column_name", "row_count", "null_count", near.alias("near"))
+
+
+@query
+def embed_incremental(spark, sf):
+    """Embeddings by content: how many texts each of three passes has to embed
+    (batch A, all documents, all again) and how many rows got a vector."""
+    p = papers(spark, sf).select("id", "contextualContent", "citationsCount")
+    store = EmbeddingStore(spark, shared_path(spark, "tables", "embeddings"), TEST_DIM, PiecewiseEmbedder(HashingEmbedder(TEST_DIM)))
+    number = F.substring("id", 2, 20).cast("long")
+    out = None
+    for k, rows in enumerate((p.where(number % 4 < 3), p, p)):
+        found, embedded = store.embed(rows, "contextualContent")
+        one = found.agg(F.lit(k).cast("long").alias("pass"), F.lit(embedded).cast("long").alias("texts_embedded"),
+                        F.count_if(F.size("embedding") == TEST_DIM).alias("rows_with_vector"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query

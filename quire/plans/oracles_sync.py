@@ -9,7 +9,7 @@ _FLAT_B = FLAT.replace("CAST(citationsCount AS BIGINT) AS citationsCount",
 CONTENT = f"""WITH {MAPPED}
 SELECT {_FLAT_B}, sha256(contextualContent) AS content FROM papers"""
 
-for _name in ("upsert_apply", "upsert_idempotent", "stream_sync", "stream_resume"):
+for _name in ("upsert_apply", "upsert_idempotent", "stream_sync", "stream_resume", "stream_corrections"):
     ORACLES[_name] = CONTENT
 
 ORACLES["upsert_accounting"] = f"""WITH {MAPPED}
@@ -35,8 +35,32 @@ SELECT CAST(5 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS total_retrieved
   CAST(count(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS total_indexed,
   CAST(count(*) FILTER (WHERE reason IS NULL AND batch_id < 4) AS BIGINT) AS total_created,
   CAST(count(*) FILTER (WHERE reason IS NULL AND batch_id = 4) AS BIGINT) AS total_updated,
-  CAST(count(*) FILTER (WHERE reason IS NOT NULL) AS BIGINT) AS total_rejected, max(id) AS last_id FROM arrived"""
+  CAST(count(*) FILTER (WHERE reason IS NOT NULL) AS BIGINT) AS total_rejected, max(id) AS last_id, TRUE AS map_s, TRUE AS write_s FROM arrived"""
 ORACLES["recent_errors"] = f"""WITH {MAPPED},
 {_ARRIVED}
 SELECT CAST(batch_id AS BIGINT) AS batch_id, 'rejected ' || id || ': ' || reason AS message
 FROM arrived WHERE reason IS NOT NULL ORDER BY batch_id DESC, message LIMIT 50"""
+
+ORACLES["published_state"] = f"""WITH {MAPPED}
+SELECT 'stable' AS name, id, CAST(citationsCount AS BIGINT) AS citationsCount FROM papers WHERE doc_id % 4 < 3
+UNION ALL SELECT 'newest', id, CAST(CASE WHEN doc_id % 4 >= 2 THEN citationsCount + 1 ELSE citationsCount END AS BIGINT) FROM papers"""
+
+ORACLES["drop_target"] = """
+WITH n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+SELECT 'papers_' || lang AS name, 'dropped' AS outcome, n AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM n
+UNION ALL SELECT '.Kibana_' || lang, 'refused', n, n FROM n
+UNION ALL SELECT 'gone_' || lang, 'missing', 0, 0 FROM n"""
+
+ORACLES["partition_distribution"] = """
+SELECT coalesce(lang, 'none') AS partition, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows,
+  round(count(*) / avg(count(*)) OVER (), 6) AS skew, TRUE AS measured FROM documents GROUP BY 1"""
+
+ORACLES["profile_merged"] = ORACLES["table_profile"].replace("SELECT 'id' AS column_name", "SELECT column_name, row_count, null_count, TRUE AS near FROM (SELECT 'id' AS column_name") + \
+    ") WHERE column_name <> 'embeddingVector'"
+
+ORACLES["embed_incremental"] = f"""WITH {MAPPED},
+a AS (SELECT DISTINCT contextualContent FROM papers WHERE doc_id % 4 < 3),
+b AS (SELECT DISTINCT contextualContent FROM papers)
+SELECT CAST(0 AS BIGINT) AS pass, (SELECT count(*) FROM a) AS texts_embedded, (SELECT count(*) FROM papers WHERE doc_id % 4 < 3) AS rows_with_vector
+UNION ALL SELECT 1, (SELECT count(*) FROM b) - (SELECT count(*) FROM a), (SELECT count(*) FROM papers)
+UNION ALL SELECT 2, 0, (SELECT count(*) FROM papers)"""

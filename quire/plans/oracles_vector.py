@@ -60,3 +60,7 @@ ORACLES["embed_docs"] = f"""WITH {MAPPED}
 SELECT id, CAST(64 AS BIGINT) AS dim, CASE WHEN trim(contextualContent) = '' THEN 'blank' ELSE 'ok' END AS embed_status FROM papers"""
 ORACLES["embed_queries"] = """SELECT item_id AS query_id, CAST(64 AS BIGINT) AS dim,
   CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank' ELSE 'ok' END AS embed_status FROM benchmark"""
+
+_STATUS = "CASE WHEN contextualContent IS NULL OR trim(contextualContent, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'blank' ELSE 'ok' END"
+ORACLES["embed_fallback"] = f"""WITH {MAPPED}
+SELECT {_STATUS} AS embed_status, count(*) AS n, count(*) FILTER (WHERE {_STATUS} = 'blank') AS zero_vectors FROM papers GROUP BY 1"""

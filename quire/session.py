@@ -26,6 +26,8 @@ SESSION_CONF = {
     # inference over it costs seconds of planning and infers nothing useful
     # (join keys are filtered explicitly).
     "spark.sql.constraintPropagation.enabled": "false",
+    # Tables bucketed by document are joined on (request, document) where they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -103,6 +105,27 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(store.exists(at) and store.delete(at, True))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(conf).exists(at))
+
+
+def create_exclusive(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False if it's there already (one store call, so
+    of two that try one succeeds)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    try:
+        store.create(at, False).close()
+    except Exception:  # what Java raises differs between stores
+        if not store.exists(at):
+            raise
+        return False
+    return True
+
+
 MAX_BROADCAST_BYTES = 64 << 20
 
 

@@ -40,9 +40,20 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: Column | None = None, t
 
 def point_lookup(source: DataFrame, keys: DataFrame, key: str = "_id") -> DataFrame:
     """Batch form of a point lookup: every requested key, with the matching
-    document or nulls. Duplicate source keys collapse to one row per key."""
-    one = source.dropDuplicates([key])
-    return keys.select(key).join(one, key, "left")
+    document or nulls. Of several rows of a source key one is taken, the same
+    in every run; only rows of asked keys are compared."""
+    asked = keys.select(key)
+    known = source.join(asked.distinct(), key, "left_semi")
+    return asked.join(newest_per_key(known, [key]), key, "left")
+
+
+def newest_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last by ``order``; without an order (and among
+    ties) the one with the largest hash, the same in every run. Partial
+    maxima are taken before the shuffle, so a hot key costs a row per task."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rank = F.struct(*[F.col(f"`{c}`") for c in order or []], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_h"))
+    return df.groupBy(*keys).agg(F.max_by(whole, rank).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def read_json_payload(df: DataFrame, payload_col: str, schema: T.StructType) -> DataFrame:

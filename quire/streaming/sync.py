@@ -1,28 +1,31 @@
 """Sync jobs: sources -> papers table, as one batch job or as a stream.
 
 Batch: the whole source is one distributed job (no cursor loop).
-Stream: a file source of score rows drives ``foreachBatch``; each micro-batch
-looks its rows up in the whole bibliographic collection, as it is then, and is
-one keyed upsert under its epoch id; a replayed epoch changes nothing. Score
-rows without a bibliographic row wait and are tried again with later batches.
-Metrics are columns of the table's log, rejects are written with the batch.
+Stream: files of score rows and files of bibliographic rows are one stream of
+changes. A streaming aggregation keeps the last row of either kind for every
+id in the state store (RocksDB), and hands on the ids that a micro-batch has
+changed with both of their rows: the work of a batch follows its changes,
+neither source is read again. A corrected title reaches ``papers`` without a
+new score row, and a score row that comes before its bibliographic row is a
+reject until that comes. Each micro-batch is one keyed upsert under its epoch
+id; a replayed epoch changes nothing. Metrics are columns of the table's log,
+rejects are written with the batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from quire.functions.embed import embed_column
 from quire.operators.mapping import NO_CROSSREF, attach_vectors, join_sources, map_joined, to_papers
-from quire.operators.table import PapersTable, newest_per_key, now
+from quire.operators.table import PapersTable, now
 from quire.schema import CROSSREF_SCHEMA, STATS_SCHEMA, papers_schema
-from quire.session import cut_lineage
+from quire.session import cut_lineage, create_exclusive, delete_path
 
 #: Fixed value: how many errors the report shows by default.
 RECENT_ERRORS = 50
@@ -35,7 +38,12 @@ def sync(spark: SparkSession, stats: DataFrame, crossref: DataFrame, table: Pape
     if table.applied(stream, batch_id):
         return {"batch_id": batch_id, "applied": False, "retrieved": 0, "indexed": 0, "created": 0, "updated": 0, "rejected": 0}
     started = now()
-    mapped = cut_lineage(map_joined(join_sources(stats, crossref)), "sync_mapped")
+    # the counts are taken while the mapped rows are written, not by a pass of their own
+    seen = Observation()
+    observed = map_joined(join_sources(stats, crossref)).observe(
+        seen, F.count(F.lit(1)).alias("retrieved"), F.count_if(F.col("_reason").isNull()).alias("indexed"), F.max("id").alias("last_id"))
+    mapped = cut_lineage(observed, "sync_mapped")
+    counts = seen.get
     accepted = mapped.where(F.col("_reason").isNull()).drop("_reason")
     if vectors is not None:
         accepted = attach_vectors(accepted, vectors, dim)
@@ -44,8 +52,6 @@ def sync(spark: SparkSession, stats: DataFrame, crossref: DataFrame, table: Pape
     else:
         accepted = attach_vectors(accepted, None)
     rejects = mapped.where(F.col("_reason").isNotNull()).select("id", F.col("_reason").alias("reason"))
-    counts = mapped.agg(F.count(F.lit(1)).alias("retrieved"), F.count_if(F.col("_reason").isNull()).alias("indexed"),
-                        F.max("id").alias("last_id")).first()
     facts = {"retrieved": counts["retrieved"], "indexed": counts["indexed"], "rejected": counts["retrieved"] - counts["indexed"],
              "last_id": counts["last_id"], "started_at": started, "map_s": (now() - started).total_seconds()}
     res = table.upsert(to_papers(accepted, dim), batch_id, stream=stream, rejects=rejects, facts=facts)
@@ -69,62 +75,110 @@ def recent_errors(table: PapersTable, n: int = RECENT_ERRORS) -> DataFrame:
     return e.orderBy(F.col("seq").desc(), "message").limit(n).select("batch_id", "message")
 
 
-def _waiting(spark: SparkSession, table: PapersTable, stream: str) -> DataFrame:
-    """Score rows left without a bibliographic row by the stream's last batch."""
-    last = (table.log().where((F.col("stream") == stream) & (F.col("kind") == "batch"))
-            .orderBy(F.col("seq").desc()).select("batch_id").limit(1).collect())
-    if not last:
-        return spark.createDataFrame([], STATS_SCHEMA)
-    try:
-        return spark.read.schema(STATS_SCHEMA).parquet(f"{table.base}/waiting/{stream}/epoch={last[0][0]}")
-    except AnalysisException:
-        return spark.createDataFrame([], STATS_SCHEMA)
-
-
-def sync_epoch(spark: SparkSession, stats: DataFrame, crossref: DataFrame, table: PapersTable, epoch: int, dim: int = 768,
-               vectors: DataFrame | None = None, embedder: Callable | None = None, stream: str = "default",
-               arrival: str | None = None) -> dict:
-    """One micro-batch: its score rows and those waiting, each id once (the
-    new row before the waiting one), against the bibliographic rows of these
-    ids (of several the last by ``arrival``)."""
+#: A state store that keeps its state on disk, not in the executors' heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def last_rows(stats: DataFrame, crossref: DataFrame, arrival: str | None = None) -> DataFrame:
+    """(_id, stats, crossref): the last row of either kind of every id (null
+    where there is none). Of several the one that arrived last: by ``arrival``
+    (a column of the bibliographic rows, and of score rows that have it), then
+    by the time of its file, then by its hash, the same in every run.
+
+    On streams this is a native streaming aggregation, whose update mode
+    yields the ids that a micro-batch has changed.
+    """
+    def side(df: DataFrame, fields: list[str], name: str) -> DataFrame:
+        came = F.col(arrival) if arrival and arrival in df.columns else F.lit(0)
+        rank = F.struct(came.cast("long").alias("came"), F.col("_metadata.file_modification_time").alias("at"), F.xxhash64(*fields).alias("h"))
+        return df.select("_id", F.struct(*fields).alias(name), rank.alias(f"{name}_rank"))
+
+    s = side(stats, [f.name for f in STATS_SCHEMA.fields], "stats")
+    c = side(crossref, [f.name for f in CROSSREF_SCHEMA.fields], "crossref")
+    both = s.unionByName(c, allowMissingColumns=True)
+    return both.groupBy("_id").agg(F.max_by("stats", "stats_rank").alias("stats"), F.max_by("crossref", "crossref_rank").alias("crossref"))
+
+
+def sync_epoch(spark: SparkSession, changed: DataFrame, table: PapersTable, epoch: int, dim: int = 768, vectors: DataFrame | None = None,
+               embedder: Callable | None = None, stream: str = "default") -> dict:
+    """One micro-batch: rows (_id, stats, crossref) of the changed ids. Ids
+    without a score row are no paper yet."""
     table.create_if_absent(papers_schema(dim))
     if table.applied(stream, epoch):
         return {"batch_id": epoch, "applied": False}
-    cols = [f.name for f in STATS_SCHEMA.fields]
-    fresh = stats.select(*cols).withColumn("_new", F.lit(1))
-    rows = fresh.unionByName(_waiting(spark, table, stream).select(*cols).withColumn("_new", F.lit(0)))
-    rows = cut_lineage(newest_per_key(rows, ["_id"], ["_new"]), "sync_epoch")
-    known = crossref.join(rows.select("_id"), "_id", "left_semi")
-    known = cut_lineage(newest_per_key(known, ["_id"], [arrival] if arrival else None), "sync_crossref")
-    # written before the batch is logged, in a folder of its epoch: a retry writes it again
-    rows.join(known.select("_id"), "_id", "left_anti").select(*cols).write.mode("overwrite").parquet(
-        f"{table.base}/waiting/{stream}/epoch={epoch}")
-    # a waiting row that waits on is no new reject
-    due = rows.where("_new = 1").unionByName(rows.where("_new = 0").join(known.select("_id"), "_id", "left_semi"))
-    return sync(spark, due.select(*cols), known.select([f.name for f in CROSSREF_SCHEMA.fields]), table, epoch, dim, vectors, embedder, stream)
+    due = cut_lineage(changed.where("stats IS NOT NULL"), "sync_epoch")
+    if due.isEmpty():
+        return {"batch_id": epoch, "applied": False}
+    return sync(spark, due.select("stats.*"), due.where("crossref IS NOT NULL").select("crossref.*"), table, epoch, dim, vectors, embedder, stream)
 
 
 def start_stream_sync(spark: SparkSession, stats_dir: str, crossref_dir: str, table: PapersTable, checkpoint: str, dim: int = 768,
                       *, stream: str = "default", arrival: str | None = None, max_files_per_trigger: int | None = None,
                       processing_time: str | None = None, vectors: DataFrame | None = None,
                       embedder: Callable | None = None) -> StreamingQuery:
-    """Incremental sync: files of score rows are the stream, the folder of
-    bibliographic rows (with an ``arrival`` column, if named) is read anew by
-    every batch. Without ``processing_time`` the query ends when all files are
-    done. ``query.stop()`` stops it, ``query.status`` says whether it runs."""
-    source = spark.readStream.schema(STATS_SCHEMA)
-    if max_files_per_trigger:
-        source = source.option("maxFilesPerTrigger", max_files_per_trigger)
+    """Incremental sync of both collections: new files in either folder are the
+    stream (bibliographic rows with an ``arrival`` column, if named). Without
+    ``processing_time`` the query ends when all files are done. ``query.stop()``
+    stops it, ``query.status`` says whether it runs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     known = T.StructType([*CROSSREF_SCHEMA.fields, *([T.StructField(arrival, T.IntegerType())] if arrival else [])])
 
+    def files(schema: T.StructType, path: str) -> DataFrame:
+        source = spark.readStream.schema(schema)
+        if max_files_per_trigger:
+            source = source.option("maxFilesPerTrigger", max_files_per_trigger)
+        return source.parquet(path)
+
     def each(batch: DataFrame, epoch: int) -> None:
-        own = batch.sparkSession
-        crossref = own.read.schema(known).parquet(crossref_dir)
-        sync_epoch(own, batch, crossref, table, epoch, dim, vectors, embedder, stream, arrival)
+        sync_epoch(batch.sparkSession, batch, table, epoch, dim, vectors, embedder, stream)
 
-    writer = source.parquet(stats_dir).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    changes = last_rows(files(STATS_SCHEMA, stats_dir), files(known, crossref_dir), arrival)
+    writer = changes.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
     return writer.start()
 
 
-__all__ = ["NO_CROSSREF", "recent_errors", "start_stream_sync", "sync", "sync_epoch", "sync_status"]
+class SyncRunner:
+    """The background sync of one table: started, stopped and asked for its
+    state by name. A table has one runner at a time: whoever starts creates a
+    file that must not be there yet, in the store that holds the table."""
+
+    def __init__(self, spark: SparkSession, stats_dir: str, crossref_dir: str, table: PapersTable, checkpoint: str, dim: int = 768, **options):
+        self.spark, self.table, self.lock = spark, table, f"{table.base}/_runner"
+        self.args, self.options, self.query = (stats_dir, crossref_dir, table, checkpoint, dim), options, None
+
+    def start(self) -> bool:
+        """False if a runner of this table is at work, here or elsewhere."""
+        if not create_exclusive(self.spark, self.lock):
+            return False
+        try:
+            self.query = start_stream_sync(self.spark, *self.args, **self.options)
+        except BaseException:
+            delete_path(self.spark, self.lock)
+            raise
+        return True
+
+    def stop(self) -> bool:
+        """Ends the sync after the batch at work; False if it isn't ours."""
+        if self.query is None:
+            return False
+        self.query.stop()
+        self.query = None
+        return delete_path(self.spark, self.lock)
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Until all files are done (or time is up); raises what ended the stream."""
+        return self.query is None or bool(self.query.awaitTermination(seconds) if seconds else self.query.awaitTermination() or True)
+
+    def progress(self) -> DataFrame:
+        """(epoch, at, rows, seconds) of the batches that the query remembers."""
+        rows = [(int(p["batchId"]), str(p["timestamp"]), int(p["numInputRows"]), p["durationMs"].get("triggerExecution", 0) / 1000.0)
+                for p in (self.query.recentProgress if self.query else [])]
+        return self.spark.createDataFrame(rows, "epoch long, at string, rows long, seconds double")
+
+    def status(self) -> DataFrame:
+        """The totals of ``sync_status`` and whether this runner is at work."""
+        return sync_status(self.table).withColumn("running", F.lit(self.query is not None and self.query.isActive))
+
+
+__all__ = ["NO_CROSSREF", "SyncRunner", "recent_errors", "start_stream_sync", "sync", "sync_epoch", "sync_status"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from quire.functions._ship import ship_by_value
-from quire.functions.embed import HashingEmbedder, PiecewiseEmbedder, embed_column
+from quire.functions.embed import EmbeddingStore, HashingEmbedder, PiecewiseEmbedder, embed_column
 from quire.operators import search as S
 from quire.operators import vector as V
 from quire.operators.mapping import join_sources
@@ -114,7 +114,6 @@ def test_stream_restart_takes_no_batch_twice_and_late_rows_are_found(spark, flat
     assert t.log().count() == first == 1
     have = t.read().count()
     crossref_source(flat).withColumn("arrived", F.lit(1)).where(F.substring("_id", -1, 1) == "3").write.mode("append").parquet(f"{base}/crossref")
-    stats_source(flat).limit(1).write.mode("append").parquet(f"{base}/stats")  # the next batch of any kind tries them again
     _run_stream(spark, base, t)
     whole = _table(spark, "late_whole")
     sync_flat(spark, flat, whole, 1)
@@ -148,16 +147,47 @@ def test_search_has_no_row_at_a_time_python(spark):
     assert "BatchEvalPython" not in plan
 
 
-def test_search_reads_only_the_folders_of_its_terms(spark):
+def test_search_pushes_few_terms_to_the_scan(spark):
     from quire.operators.index import postings_of
     idx = paper_index(papers(spark, SF001))
     some = idx.term_stats.where("field = 'title'").select("field", "term").orderBy("term").limit(2)
     pruned = postings_of(idx, some)
-    assert "PartitionFilters: [isnotnull(bucket" in _plan(pruned) or "PartitionFilters: [bucket" in _plan(pruned)
+    assert "PushedFilters: [In(term" in _plan(pruned)
+    assert postings_of(idx, idx.term_stats) is idx.postings
     hits = lambda df: sorted(map(str, df.join(some, ["field", "term"], "left_semi").select("field", "term", "id", "tf").collect()))
     assert hits(pruned) == hits(idx.postings) and hits(pruned)
 
 
+def test_matches_are_scored_without_a_shuffle(spark):
+    idx, req = paper_index(papers(spark, SF001)), search_requests(spark, SF001).select("query_id", "query")
+    for spec in (S.DEFAULT_SPEC, CONTEXTUAL_SPEC):
+        plan = _plan(S.score_documents(req, idx, spec))
+        assert " Exchange" not in plan and "Bucketed: true" in plan
+    plan = _plan(S.search_totals(papers(spark, SF001), idx, search_requests(spark, SF001)))
+    assert "tf#" not in plan and "dl#" not in plan  # nothing that only a score needs is read
+
+
+def test_documents_are_numbered_densely(spark):
+    docs = paper_index(papers(spark, SF001)).docs
+    assert sorted(r["doc"] for r in docs.select("doc").collect()) == list(range(docs.count()))
+
+
+def test_prefix_filter_loses_no_match_and_leaves_rows_out(spark):
+    idx, req = paper_index(papers(spark, SF001)), search_requests(spark, SF001).select("query_id", "query")
+    qexp = S.scored_terms(req, idx, CONTEXTUAL_SPEC)
+    per_slot = qexp.groupBy("query_id", "field", "slot").agg(F.max("rare").alias("rare"), F.min("rare").alias("rare_too"))
+    assert per_slot.where("rare <> rare_too").count() == 0  # all expansions of a query term or none
+    moved = idx.postings.join(qexp, ["field", "term"]).groupBy("rare").count().collect()
+    moved = {r["rare"]: r["count"] for r in moved}
+    assert 0 < moved[True] < moved[False]
+    # against a plain count of all slots that each document has
+    rows = idx.postings.join(qexp.withColumn("nq", F.col("slot").bitwiseAND(F.lit((1 << 28) - 1))), ["field", "term"])
+    plain = rows.groupBy("query_id", "doc", "field").agg(F.count_distinct("slot").alias("n"), F.max("nq").alias("nq"))
+    plain = plain.where("n >= greatest(1, floor(0.75 * nq))").select("query_id", "doc").distinct()
+    pairs = lambda df: sorted(map(tuple, df.select("query_id", "doc").collect()))
+    assert pairs(S.matching_documents(req, idx, CONTEXTUAL_SPEC)) == pairs(plain) == pairs(S.score_documents(req, idx, CONTEXTUAL_SPEC)) != []
+
+
 def test_totals_have_a_row_for_requests_without_hits(spark):
     p = papers(spark, SF001)
     req = spark.createDataFrame([(1, "zzzzqqqq", 0, 5), (2, "the", 4000, 5)], "query_id long, query string, from int, size int")
@@ -241,12 +271,133 @@ class FailsOn:
         return self.inner(texts)
 
 
-def test_failing_chunk_gives_zero_vectors_and_the_rest_goes_on(spark):
+class RefusingEmbedder:
+    """A model that refuses a call with a text above ``max_chars``."""
+
+    def __init__(self, inner, max_chars):
+        self.inner, self.max_chars = inner, max_chars
+
+    def __call__(self, texts):
+        if max(map(len, texts)) > self.max_chars:
+            raise ValueError(f"a text is longer than {self.max_chars} characters")
+        return self.inner(texts)
+
+
+def test_failing_chunk_is_halved_until_the_failing_text_stands_alone(spark):
     df = spark.createDataFrame([(i, f"text number {i}") for i in range(100)] + [(100, " ")], "id long, text string").coalesce(1)
     rows = embed_column(df, "text", 8, FailsOn("text number 5")).collect()
-    status = [r["embed_status"] for r in rows]
-    assert status.count("chunk_failed") == 20 and status.count("blank") == 1 and status.count("ok") == 80
+    assert {r["id"]: r["embed_status"] for r in rows if r["embed_status"] != "ok"} == {5: "failed", 100: "blank"}
     assert all((not any(r["embedding"])) == (r["embed_status"] != "ok") for r in rows)
+    long = df.withColumn("text", F.when(F.col("id") % 10 == 0, F.repeat("text", 50)).otherwise(F.col("text")))
+    status = {r["id"]: r["embed_status"] for r in embed_column(long, "text", 8, RefusingEmbedder(HashingEmbedder(8), 100)).collect()}
+    assert [i for i, x in status.items() if x == "failed"] == [0, 10, 20, 30, 40, 50, 60, 70, 80, 90]
+    pieces = PiecewiseEmbedder(RefusingEmbedder(HashingEmbedder(8), 100), 100)
+    assert {r["embed_status"] for r in embed_column(long, "text", 8, pieces).collect()} == {"ok", "blank"}
+
+
+def test_known_texts_are_not_embedded_again_and_failed_ones_are(spark):
+    path = shared_path(spark, "t", "vectors")
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None), (5, "d"), (5, "d")], "id long, text string")
+    rows, n = EmbeddingStore(spark, path, 8, FailsOn("c")).embed(df, "text")
+    assert n == 4 and sorted((r["id"], r["embed_status"]) for r in rows.collect()) == [(1, "ok"), (2, "ok"), (3, "failed"), (4, "blank"), (5, "ok"), (5, "ok")]
+    rows, n = EmbeddingStore(spark, path, 8).embed(df.union(spark.createDataFrame([(6, "e")], df.schema)), "text")
+    got = {r["id"]: r["embedding"] for r in rows.collect()}
+    assert n == 2 and got[3] == HashingEmbedder(8)(["c"])[0].tolist() and got[1] == got[2] == HashingEmbedder(8)(["a b"])[0].tolist()
+    assert EmbeddingStore(spark, path, 8).embed(df.limit(0), "text")[0].collect() == []
+
+
+def test_published_state_outlives_batches_and_compactions(spark, flat):
+    t = _table(spark, "published", compact_after=2)
+    sync_flat(spark, flat.where("doc_id < 30"), t, 1)
+    t.publish("old")
+    before = _content(t)
+    for k in range(2, 9):
+        sync_flat(spark, batch_b(flat).where(F.col("doc_id") % 8 == k % 8), t, k)
+    assert sorted((r.id, r.citationsCount) for r in t.read("old").select("id", "citationsCount").collect()) == before != _content(t)
+    t.publish("old")
+    assert sorted((r.id, r.citationsCount) for r in t.read("old").select("id", "citationsCount").collect()) == _content(t)
+    with pytest.raises(LookupError):
+        t.read("none")
+    with pytest.raises(PermissionError):
+        t.publish(".kibana_1")
+
+
+def test_tables_are_dropped_by_name_unless_protected(spark):
+    from quire.operators.table import drop_table
+    path = shared_path(spark, "t", "drop")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(PermissionError):
+        drop_table(spark, path, ".OpenDistro_x")
+    assert spark.read.parquet(path).count() == 3
+    assert drop_table(spark, path, "papers") and not drop_table(spark, path, "papers")
+
+
+def test_one_runner_at_a_time_starts_stops_and_tells_its_progress(spark, flat):
+    base = shared_path(spark, "streams", "runner")
+    t = PapersTable(spark, f"{base}/table")
+    stats_source(flat).write.parquet(f"{base}/stats")
+    crossref_source(flat).withColumn("arrived", F.lit(0)).write.parquet(f"{base}/crossref")
+    make = lambda **o: SY.SyncRunner(spark, f"{base}/stats", f"{base}/crossref", t, f"{base}/ckpt", 64, arrival="arrived", **o)
+    one, two = make(), make()
+    assert one.start() and not two.start() and not two.stop()
+    assert one.wait()
+    progress, status = one.progress().collect(), one.status().first()
+    assert progress and sum(p["rows"] for p in progress) == flat.count() + crossref_source(flat).count()
+    assert status["batches"] == 1 and not status["running"] and status["map_s"] > 0
+    assert one.stop() and two.start()
+    two.wait()
+    assert two.status().first()["batches"] == 1 and two.stop()  # nothing new
+    steady = make(processing_time="1 second")
+    assert steady.start() and steady.status().first()["running"] and steady.stop() and not steady.status().first()["running"]
+
+
+def test_corrections_of_one_side_and_rows_without_the_other(spark):
+    base = shared_path(spark, "streams", "sides")
+    t = PapersTable(spark, f"{base}/table")
+    flat = flat_sources(spark, read_table(spark, SF001, "documents")).where("doc_id between 20 and 29")
+    for k, (stats, cross) in enumerate([(flat.where("doc_id < 23"), flat.where("doc_id > 25")), (flat.where("doc_id > 25"), flat.where("doc_id < 23")),
+                                        (None, flat.where("doc_id = 21").withColumn("citations_raw", F.lit(999)))]):
+        if stats is not None:
+            stats_source(stats).write.mode("append").parquet(f"{base}/stats")
+        crossref_source(cross).withColumn("arrived", F.lit(k)).write.mode("append").parquet(f"{base}/crossref")
+        _run_stream(spark, base, t)
+    want = _table(spark, "sides_whole")
+    both = flat.where("doc_id < 23 OR doc_id > 25").withColumn("citations_raw", F.when(F.col("doc_id") == 21, 999).otherwise(F.col("citations_raw")))
+    sync_flat(spark, both, want, 1)
+    assert _content(t) == _content(want) and 999 in [c for _, c in _content(t)]
+
+
+def test_sketches_of_batches_estimate_the_whole(spark):
+    from quire.operators.quality import profile_of_sketches, profile_sketch, table_profile
+    df = spark.range(60_000).selectExpr("id", "id % 777 AS few", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('text ', id % 30000) END AS text", "array(id % 50) AS list")
+    whole = {r["column_name"]: r for r in table_profile(df, exact=True).collect()}
+    parts = profile_sketch(df.where("id < 20000")).unionByName(profile_sketch(df.where("id >= 15000")))
+    for r in profile_of_sketches(parts).collect():
+        exact = whole[r["column_name"]]
+        assert abs(r["distinct_count"] - exact["distinct_count"]) <= .05 * exact["distinct_count"]
+        assert r["row_count"] == 65_000
+    assert profile_of_sketches(profile_sketch(df.limit(0))).first()["row_count"] == 0
+
+
+def test_distribution_over_files_and_partitions(spark):
+    from quire.operators.quality import file_distribution, partition_distribution
+    path = shared_path(spark, "t", "files")
+    spark.range(1000).selectExpr("id", "CASE WHEN id < 700 THEN 'a' ELSE 'b' END AS p").repartition(1).write.partitionBy("p").parquet(path)
+    spark.range(500).selectExpr("id", "'b' AS p").repartition(1).write.mode("append").partitionBy("p").parquet(path)
+    files = file_distribution(spark.read.parquet(path), "p").collect()
+    assert sorted((r["partition"], r["n_rows"], r["skew"]) for r in files) == [("a", 700, 1.4), ("b", 300, .6), ("b", 500, 1.0)]
+    assert all(r["n_bytes"] > 0 and r["file"].endswith(".parquet") for r in files)
+    parts = partition_distribution(spark.read.parquet(path), "p").collect()
+    assert sorted((r["partition"], r["n_files"], r["n_rows"]) for r in parts) == [("a", 1, 700), ("b", 2, 800)]
+
+
+def test_lookup_takes_the_same_row_of_a_repeated_key_whatever_the_order(spark):
+    from quire.sources.scan import point_lookup
+    rows = [("a", i) for i in range(50)] + [("b", 1)]
+    keys = spark.createDataFrame([("a",), ("c",)], "_id string")
+    found = {tuple(map(tuple, point_lookup(spark.createDataFrame(x, "_id string, n int").repartition(p), keys).orderBy("_id").collect()))
+             for x in (rows, rows[::-1]) for p in (1, 7)}
+    assert len(found) == 1 and [r[0] for r in found.pop()] == ["a", "c"]
 
 
 def test_long_texts_are_embedded_in_pieces():
