@@ -26,8 +26,8 @@ from quire.llm.common import ship_by_value, shuffle_partitions
 #: Length s of inner substrings and how many w of them a k-mer has (k = s + w - 1),
 #: for texts in general and for texts below SHORT code points.
 LONG_SCALE, SHORT_SCALE, SHORT = (8, 24), (3, 6), 96
-#: Code points that are worked on in one go; work size only.
-CHUNK = 1 << 18
+#: Code points, and texts, that are worked on in one go; work sizes only.
+CHUNK, CHUNK_ROWS = 1 << 18, 1 << 13
 _MULT = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -118,16 +118,20 @@ class Anchors:
         return part
 
 
-def _numbered(x: Anchors) -> np.ndarray:
-    """A key per anchor of text, 24-bit hash and how many equal ones precede."""
-    key = x.text << 24 | (x.value >> np.uint32(8)).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(key) else np.empty(0, np.int64)
-    number = np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
-    out = np.empty_like(key)
-    out[order] = ordered << 24 | np.minimum(number, (1 << 24) - 1)
-    return out
+def _keys(a: Anchors, b: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """A key per anchor of either side: equal if text, 24-bit hash and the
+    number of equal ones before are. Hashes of texts are numbered first, so no
+    count of texts or repeats outgrows its bits."""
+    both = np.r_[a.text, b.text] << 24 | (np.r_[a.value, b.value] >> np.uint32(8)).astype(np.int64)
+    kinds, kind = np.unique(both, return_inverse=True)
+    out = []
+    for own in (kind[:len(a.text)], kind[len(a.text):]):
+        order = np.argsort(own, kind="stable")
+        first = np.cumsum(np.bincount(own, minlength=len(kinds))) - np.bincount(own, minlength=len(kinds))
+        number = np.empty(len(own), np.int64)
+        number[order] = np.arange(len(own)) - first[own[order]]
+        out.append(number * max(len(kinds), 1) + own)  # below anchors squared
+    return out[0], out[1]
 
 
 def likeness(a: Anchors, b: Anchors) -> np.ndarray:
@@ -144,8 +148,8 @@ def likeness(a: Anchors, b: Anchors) -> np.ndarray:
 
 def _likeness(a: Anchors, b: Anchors) -> np.ndarray:
     """The same by the anchors as they are."""
-    ka, kb = _numbered(a), _numbered(b)
-    _, ia, ib = np.intersect1d(ka, kb, return_indices=True)
+    ka, kb = _keys(a, b)
+    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     text, diagonal = a.text[ia], a.at[ia] - b.at[ib]
     _, group, votes = np.unique(np.stack([text, diagonal]), axis=1, return_inverse=True, return_counts=True) if len(ia) else (0, ia, ia)
     both = a.counts + b.counts
@@ -191,7 +195,7 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for row in zip(*(batch.column(n).to_pylist() for n in ("range", "ahead", "id", "text")), strict=True):
             held.append(row)
             size += len(row[3])
-            if size >= CHUNK and len(held) > 1:
+            if (size >= CHUNK or len(held) > CHUNK_ROWS) and len(held) > 1:
                 yield work(held)
                 held, size = held[-1:], len(held[-1][3])
     if len(held) > 1:
@@ -205,7 +209,8 @@ def fingerprints_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text is the text whose last quarter is taken from the next
     one's start, in ascending order of id (an integer; nulls first; rows with
     one id by their text); after the last comes the first. Null texts count as
-    empty. No rows: no rows. Other columns of ``df`` are not read.
+    empty. Rows of one id, or of none, are one range, which streams through a
+    task in blocks of bounded size. No rows: no rows. Other columns of ``df`` are not read.
 
     Rows go to ranges of ids with boundaries at approximate quantiles; the
     first row of every range goes to the range before as well, so every row

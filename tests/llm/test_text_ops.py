@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quire.llm import bpe
+from quire.llm import bpe, syncmers
 from quire.llm.common import apply_llm_conf
 from quire.llm.licenses import FULL_TEXTS, TEXTS, full_texts, license_digests, loose_digest, scan_licenses
 from quire.llm.simhash import (forest_of_buckets, keep_one_per_component, local_roots, majority, shingle_hashes, simhash_components,
@@ -188,6 +189,100 @@ def test_likeness_of_pairs_with_one_short_text():
     assert likeness(a.take(2, 4), b.take(2, 4)).tolist() == got[2:4].tolist()
 
 
+def plain_hash(points):
+    """A polynomial over the mixed code points, one by one; of a run whose
+    length is no power of two, over its first and its last such part."""
+    step, mult, mask = int(syncmers._STEP), syncmers._MULT, 2**64 - 1
+
+    def run(part):
+        out = 0
+        for p in part:
+            own = (p + 1) * step & mask
+            out = (out * mult + (own ^ own >> 31)) & mask
+        return out
+    width = 1 << len(points).bit_length() - 1
+    return run(points) if width == len(points) else (run(points[:width]) * pow(mult, len(points), 1 << 64) + run(points[-width:])) & mask
+
+
+def plain_mix(x):
+    mask = 2**64 - 1
+    x = (x ^ x >> 32) * int(syncmers._STEP) & mask
+    x = (x ^ x >> 29) * syncmers._MULT & mask
+    return x ^ x >> 32
+
+
+def plain_syncmers(text, s, w):
+    """Closed syncmers by a double loop: every k-mer, every inner s-mer."""
+    points, found = [ord(c) for c in text], []
+    for at in range(len(points) - s - w + 2):
+        orders = [plain_mix(plain_hash(points[at + j:at + j + s])) >> 32 for j in range(w)]
+        least = min(orders)
+        if orders[0] == least or orders.index(least) == w - 1:
+            found.append(at)
+    return found
+
+
+def plain_likeness(a, b):
+    """By a double loop over two anchor lists (position, hash)."""
+    if not a and not b:
+        return 1.0
+    times, pairs = {}, []
+    for side, anchors in ((0, a), (1, b)):
+        for at, value in anchors:
+            n = times[side, value >> 8] = times.get((side, value >> 8), 0) + 1
+            pairs.append((side, value >> 8, n, at))
+    first = {(v, n): at for side, v, n, at in pairs if side == 0}
+    met = [first[v, n] - at for side, v, n, at in pairs if side == 1 and (v, n) in first]
+    good = [d for d in met if met.count(d) > 1 or min(len(a), len(b)) < 2]
+    return 2 * len(good) / (len(a) + len(b))
+
+
+@pytest.mark.parametrize("scale", [syncmers.LONG_SCALE, syncmers.SHORT_SCALE])
+def test_closed_syncmers_equal_a_double_loop(scale):
+    rng = random.Random(5)
+    for text in [sentence(rng, 60), "aaaa" * 30, "ab" * 40, "é漢😀x" * 20, "", "short", sentence(rng, 5)]:
+        points = np.array([ord(c) for c in text], np.uint32)
+        assert syncmers.closed_syncmers(points, *scale)[0].tolist() == plain_syncmers(text, *scale)
+
+
+def test_likeness_equals_a_double_loop():
+    rng = random.Random(6)
+    texts = [sentence(rng, rng.randint(20, 90)) for _ in range(12)] + ["tick tock " * 40, "tick tock " * 55, "", "x" * 300]
+    texts = [t if len(t) >= syncmers.SHORT or not t else t * 8 for t in texts]
+    others = [t[:len(t) // 2] + rng.choice(texts)[:80] + t[len(t) // 2:] for t in texts]
+    others = [t if len(t) >= syncmers.SHORT else "" for t in others]
+    a, b = Anchors(texts), Anchors(others)
+    listed = lambda x, i: list(zip(x.at[x.text == i].tolist(), x.value[x.text == i].tolist(), strict=True))
+    assert likeness(a, b).tolist() == pytest.approx([plain_likeness(listed(a, i), listed(b, i)) for i in range(len(texts))])
+
+
+def test_likeness_of_very_many_short_texts():
+    same = Anchors(["a"] * 70_000)
+    assert (likeness(same, Anchors(["a"] * 70_000)) == 1).all()
+    assert (likeness(same, Anchors(["a", "b"] * 35_000)) == [1, 0] * 35_000).all()
+
+
+def test_long_runs_of_equal_and_of_null_texts_are_worked_in_blocks(spark, monkeypatch):
+    n = 150_000
+    df = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id < 80000 THEN 'a' END AS text").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = fingerprints_with_next(df).selectExpr("count(*)", "sum(CASE WHEN near_next < 1 THEN 1 ELSE 0 END)", "sum(CASE WHEN near_edited < 1 THEN 1 ELSE 0 END)").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert tuple(got) == (n, 2, 0)  # only where the runs meet, and from the last to the first
+    sizes = []
+
+    class Counted(Anchors):
+        def __init__(self, texts, short=False):
+            sizes.append(len(texts))
+            super().__init__(texts, short)
+    monkeypatch.setattr(syncmers, "Anchors", Counted)
+    batch = pa.RecordBatch.from_pydict({"range": [0] * 50_000, "ahead": [0] * 50_000, "id": list(range(50_000)), "text": [""] * 50_000})
+    assert sum(b.num_rows for b in syncmers._fingerprint_rows(iter([batch]))) == 49_999
+    assert max(sizes) <= syncmers.CHUNK_ROWS + 1
+
+
 def test_edited_text_below_the_short_scale_is_near(spark):
     text = sentence(random.Random(4), 60)[:100]
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
