@@ -159,14 +159,14 @@ def centroid_rollup(nodes: DataFrame, paths: DataFrame, values: list[str], *, ta
     done, small = [], []
     while True:
         sizes = state.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("top_weight"))
-        sizes = sizes.where(F.col("n") > task_nodes).select("comp", "top_weight")
-        path = state.join(sizes, "comp").where(2 * F.col("weight") > F.col("top_weight"))
-        splits = cut_lineage(path.groupBy("comp", "top_weight").agg(
-            F.max_by(F.struct("node", "weight"), "depth").alias("centre"), F.max("depth").alias("centre_depth")), "trie_splits")
-        n = splits.count()
+        sizes = cut_lineage(sizes.where(F.col("n") > task_nodes).select("comp", "top_weight"), "trie_sizes")
+        n = sizes.count()
         if not n:
             small.append(state)
             break
+        path = state.join(_small(sizes, n), "comp").where(2 * F.col("weight") > F.col("top_weight"))
+        splits = cut_lineage(path.groupBy("comp", "top_weight").agg(
+            F.max_by(F.struct("node", "weight"), "depth").alias("centre"), F.max("depth").alias("centre_depth")), "trie_splits")
         small.append(state.join(_small(splits.select("comp"), n), "comp", "left_anti"))
         wanted = splits.select((F.col("centre_depth") + 1).alias("way_depth")).distinct()
         mine = state.join(_small(splits, n), "comp")
