@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions._ship import ship_by_value
-from quire.session import checked_broadcast
+from quire.session import checked_broadcast, cut_lineage
 
 ship_by_value(__name__)
 
@@ -125,31 +125,36 @@ def fuzzy_candidates(qterms: DataFrame, vocab: DataFrame, variants: DataFrame |
     ``qterms`` has ``qterm``; ``vocab`` has ``term``. A pair qualifies for
     the exact check only if both strings reach a shared variant with at most
     k deletions each, and native Levenshtein rules out pairs with Lev > 2k
-    (DL >= Lev / 2); the rest are measured by the Damerau-Levenshtein UDF,
-    evaluated once per distinct pair.
+    (DL >= Lev / 2) and is the distance of pairs that no transposition can
+    bring nearer; only the rest are measured by the Damerau-Levenshtein UDF.
     """
     q = qterms.select("qterm").distinct().withColumn("k", auto_edits(F.length("qterm")))
     qv = checked_broadcast(variant_rows(q, "qterm", F.col("k")).select("qterm", "variant").join(q, "qterm"),
                            name="query_variants")
     vv = variants if variants is not None else vocabulary_variants(vocab)
-    cand = (qv.join(vv, "variant").where(F.col("dv") <= F.col("k"))
-            .select("qterm", "k", "term").distinct()
-            .where(F.levenshtein("qterm", "term") <= 2 * F.col("k")))  # DL >= Lev / 2
+    lev = F.levenshtein("qterm", "term")
+    cand = cut_lineage(qv.join(vv, "variant").where(F.col("dv") <= F.col("k")).select("qterm", "k", "term").distinct()
+                       .withColumn("lev", lev).where(F.col("lev") <= 2 * F.col("k")), "fuzzy_pairs")  # DL >= Lev / 2
+    # A transposition costs 2 in Lev and 1 in DL, any other edit 1 in both. So DL
+    # is Lev unless there's a transposition: none if Lev < 2; of Lev 2 to 4 within
+    # 2 edits the transpositions leave Lev 2 and 4 anagrams, Lev 3 one letter off.
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    off = F.greatest(F.size(F.array_except(F.split("qterm", ""), F.split("term", ""))), F.size(F.array_except(F.split("term", ""), F.split("qterm", ""))))
+    moved = F.when(F.col("lev") == 3, (F.abs(F.length("qterm") - F.length("term")) <= 1) & (off <= 1)).otherwise(
+        (F.length("qterm") == F.length("term")) & (letters("qterm") == letters("term")))
+    plain = cand.where((F.col("lev") <= F.col("k")) & ((F.col("lev") < 2) | ~moved)).select("qterm", "term", F.col("lev").alias("distance"))
     # spread the Python check over all cores: AQE would otherwise coalesce the
     # small post-shuffle input into one task and one Python worker
     par = cand.sparkSession.sparkContext.defaultParallelism
-    checked = cand.repartition(par, "qterm", "term").withColumn("distance", dl_distance("qterm", "term", "k"))
-    return checked.where(F.col("distance") <= F.col("k")).select("qterm", "term", "distance")
+    unsure = cand.where((F.col("lev") >= 2) & moved).repartition(par, "qterm", "term").withColumn("distance", dl_distance("qterm", "term", "k"))
+    return plain.unionByName(unsure.where(F.col("distance") <= F.col("k")).select("qterm", "term", "distance"))
 
 
-def fuzzy_expansions(qterms: DataFrame, term_stats: DataFrame, max_expansions: int | None = None,
-                     variants: DataFrame | None = None) -> DataFrame:
+def fuzzy_expansions(pairs: DataFrame, term_stats: DataFrame, max_expansions: int | None = None) -> DataFrame:
     """(field, qterm, term, distance): per field, every vocabulary term of
-    that field within AUTO edits; with ``max_expansions`` only the first ones
-    by (distance, term).
+    that field within AUTO edits, from the pairs of ``fuzzy_candidates``; with
+    ``max_expansions`` only the first ones by (distance, term).
     """
-    vocab = term_stats.select("term").distinct()
-    pairs = fuzzy_candidates(qterms, vocab, variants)
     per_field = pairs.join(term_stats.select("field", "term"), "term").select("field", "qterm", "term", "distance")
     if max_expansions is None:
         return per_field

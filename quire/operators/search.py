@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.fuzzy import fuzzy_expansions
+from quire.functions.fuzzy import fuzzy_candidates, fuzzy_expansions
 from quire.functions.text import tokens
 from quire.operators.index import TextIndex, fuzzy_variants, postings_of
 from quire.operators.requests import MAX_WINDOW
@@ -88,17 +88,23 @@ def expansions(requests: DataFrame, index: TextIndex, spec: TextQuery) -> DataFr
     parts = [(qt, std)] if std else []
     if eng:
         parts.append((english_query_terms(qt), eng))
+    pairs = None
+    if spec.fuzzy:  # one search of the vocabulary for the terms of all analyses
+        asked = parts[0][0].select("qterm")
+        for terms, _ in parts[1:]:
+            asked = asked.unionByName(terms.select("qterm"))
+        pairs = cut_lineage(fuzzy_candidates(asked, index.term_stats.select("term").distinct(), fuzzy_variants(index)), "fuzzy_terms")
     out = None
     for terms, fields in parts:
-        found = terms.join(_expand(terms, index, spec, fields), "qterm").select("query_id", "nq", "q", "field", "term", "weight")
+        found = terms.join(_expand(terms, index, spec, fields, pairs), "qterm").select("query_id", "nq", "q", "field", "term", "weight")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _expand(qterms: DataFrame, index: TextIndex, spec: TextQuery, fields: list[str]) -> DataFrame:
+def _expand(qterms: DataFrame, index: TextIndex, spec: TextQuery, fields: list[str], pairs: DataFrame | None) -> DataFrame:
     ts = index.term_stats.where(F.col("field").isin(fields))
-    if spec.fuzzy:
-        exp = fuzzy_expansions(qterms.select("qterm"), ts, spec.max_expansions, fuzzy_variants(index))
+    if pairs is not None:
+        exp = fuzzy_expansions(pairs.join(qterms.select("qterm").distinct(), "qterm", "left_semi"), ts, spec.max_expansions)
         w = F.lit(1.0) - F.col("distance") / F.least(F.length("qterm"), F.length("term"))
         return exp.select("field", "qterm", "term", w.alias("weight"))
     q = qterms.select("qterm").distinct()
@@ -111,10 +117,11 @@ def scored_terms(requests: DataFrame, index: TextIndex, spec: TextQuery) -> Data
     with what scoring needs of them; the size of the requests, not the corpus.
 
     A slot is one number for field, query term and its request's number of
-    terms. With a minimum of m of a field's n terms a document has to have one
-    of the n - m + 1 terms with the fewest postings (terms that no document
-    has are first among these): those are ``rare``. A field with fewer than m
-    terms that any document has can't match and is left out.
+    terms. With a minimum of m of a field's n terms a document lacks n - m at
+    most, so it has j of the n - m + j terms with the fewest postings (terms
+    that no document has are first among these), for any j: those are ``rare``
+    (j: a third of m). A field with fewer than m terms that any document has
+    can't match and is left out.
     """
     boosts = {**spec.fields, **spec.keyword_fields}
     code = {f: i for i, f in enumerate(boosts)}
@@ -124,14 +131,14 @@ def scored_terms(requests: DataFrame, index: TextIndex, spec: TextQuery) -> Data
         kw = kw.select("query_id", F.lit(1).alias("nq"), F.lit(0).alias("q"),
                        F.explode(F.array(*[F.lit(f) for f in spec.keyword_fields])).alias("field"), "term", F.lit(1.0).alias("weight"))
         qexp = qexp.unionByName(kw)
-    qexp = qexp.join(index.term_stats, ["field", "term"])
+    qexp = cut_lineage(qexp.join(index.term_stats, ["field", "term"]), "query_terms")
     if spec.min_should_match is not None:
         sizes = qexp.groupBy("query_id", "field", "nq", "q").agg(F.sum("df").alias("moves"))
         need = F.when(F.col("field").isin(list(spec.keyword_fields)), F.lit(1)).otherwise(least_matches(spec))
         by_size = Window.partitionBy("query_id", "field").orderBy("moves", "q")
         sizes = sizes.withColumn("missing", F.col("nq") - F.count(F.lit(1)).over(Window.partitionBy("query_id", "field")))
         sizes = sizes.where(F.col("missing") <= F.col("nq") - need).withColumn(
-            "rare", F.row_number().over(by_size) + F.col("missing") <= F.col("nq") - need + 1)
+            "rare", F.row_number().over(by_size) + F.col("missing") <= F.col("nq") - need + least_rare(need))
         qexp = qexp.join(sizes.select("query_id", "field", "q", "rare"), ["query_id", "field", "q"])
     else:
         qexp = qexp.withColumn("rare", F.lit(True))
@@ -147,6 +154,11 @@ def least_matches(spec: TextQuery) -> Column:
     return F.greatest(F.lit(1), F.floor(F.lit(spec.min_should_match) * F.col("nq")))
 
 
+def least_rare(need: Column) -> Column:
+    """How many of the rare terms a document with ``need`` terms has at least."""
+    return F.greatest(F.lit(1), F.floor(need / 3))
+
+
 def _per_field(index: TextIndex, qexp: DataFrame, spec: TextQuery, score: Column, *extra: str) -> DataFrame:
     """(query_id, doc, field, fs, matched, nq) of the fields that match: the
     best expansion per query term, summed. All of it happens inside a bucket of
@@ -157,8 +169,11 @@ def _per_field(index: TextIndex, qexp: DataFrame, spec: TextQuery, score: Column
     postings = postings_of(index, qexp).select("field", "term", "doc", *extra)
     hits = postings.join(qexp, ["field", "term"]).select("query_id", "doc", "slot", score.alias("s"))
     if spec.min_should_match is not None:
-        few = postings.select("field", "term", "doc").join(qexp.where("rare"), ["field", "term"])
-        few = few.select("query_id", "doc", field.alias("field")).distinct().hint("shuffle_hash")
+        few = postings.select("field", "term", "doc").join(qexp.where("rare"), ["field", "term"]).select("query_id", "doc", "slot").distinct()
+        nq = F.max(F.col("slot").bitwiseAND(F.lit((1 << 28) - 1))).alias("nq")
+        few = few.groupBy("query_id", "doc", field.alias("field")).agg(F.count(F.lit(1)).alias("n"), nq)
+        enough = F.when(F.col("field").isin([code[f] for f in spec.keyword_fields]), F.lit(1)).otherwise(least_rare(least_matches(spec)))
+        few = few.where(F.col("n") >= enough).select("query_id", "doc", "field").hint("shuffle_hash")
         hits = hits.withColumn("field", field).join(few, ["query_id", "doc", "field"], "left_semi").drop("field")
     per_term = hits.groupBy("query_id", "doc", "slot").agg(F.max("s").alias("ts"))
     per_field = per_term.groupBy("query_id", "doc", field.alias("field")).agg(
