@@ -54,10 +54,8 @@ def fragments(text: str, terms: set[str], size: int, n: int) -> list[str]:
     return out
 
 
-def _frag_batch(size: int, n: int):
-    def run(text: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([fragments(t, set(ts) if ts is not None else set(), size, n) for t, ts in zip(text, terms)])
-    return run
+def _frag_batch(text: pd.Series, terms: pd.Series, size: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([fragments(t, set(ts) if ts is not None else set(), int(s), int(k)) for t, ts, s, k in zip(text, terms, size, n)])
 
 
 def highlight(page: DataFrame, papers: DataFrame, requests: DataFrame, index: TextIndex, spec: S.TextQuery,
@@ -70,14 +68,11 @@ def highlight(page: DataFrame, papers: DataFrame, requests: DataFrame, index: Te
         stems = exp.where(F.col("field") == name).select("query_id", F.lit(name.removesuffix(".english")).alias("field"), F.col("term").alias("eterm"))
         words = words.unionByName(stems.join(index.english, "eterm").select("query_id", "field", "term"))
     terms = words.groupBy("query_id", "field").agg(F.collect_set("term").alias("terms"))
+    # the page meets the papers once; then a row per field that the page asks for
     rows = page.select("query_id", "id", "rank").join(papers.select("id", *fields), "id")
-    outs = []
-    for f, (size, n) in fields.items():
-        udf = F.pandas_udf(_frag_batch(size, n), T.ArrayType(T.StringType()))
-        t = terms.where(F.col("field") == f).select("query_id", "terms")
-        r = rows.select("query_id", "id", "rank", F.col(f).alias("text")).join(t, "query_id", "left")
-        outs.append(r.select("query_id", "id", "rank", F.lit(f).alias("field"), udf("text", "terms").alias("fragments")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.lit(size).alias("size"), F.lit(n).alias("n"))
+                               for f, (size, n) in fields.items()])).alias("e")
+    long = rows.select("query_id", "id", "rank", each).select("query_id", "id", "rank", "e.*").join(terms, ["query_id", "field"], "left")
+    udf = F.pandas_udf(_frag_batch, T.ArrayType(T.StringType()))
+    out = long.select("query_id", "id", "rank", "field", udf("text", "terms", "size", "n").alias("fragments"))
     return out.where(F.size("fragments") > 0)
