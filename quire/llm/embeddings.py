@@ -9,12 +9,15 @@ Gaussian tail. Pairs whose upper bound is below the threshold are settled by
 that; all others are computed again in double precision, so no link is an
 estimate.
 
-Which pairs are looked at: every vector goes to its ``probes`` nearest cells
-around centres drawn from the vectors; a pair is decided in the first cell the
-two share. Centres are drawn by density, so those that one vector could link to
-are thinned to one: a large group of near copies is one crowded cell, not
-hundreds between which its pairs get lost. Equal vectors count as one with a
-multiplicity. A cell above ``TILE`` rows is cut into segments, and every pair of
+Which pairs are looked at: every vector goes to its nearest cells around
+centres drawn from the vectors; a pair is decided in the first cell the two
+share. Centres are drawn by density, so those that one vector could link to are
+thinned to one: a large group of near copies is one crowded cell, not hundreds
+between which its pairs get lost. Where unrelated vectors are that close too,
+for they share a common direction, only closer centres are thinned. The mean of
+the centres that stay is taken off before cells are chosen, and the number of
+cells of a vector follows from a trial: planted pairs at the threshold have to
+meet. Equal vectors count as one with a multiplicity. A cell above ``TILE`` rows is cut into segments, and every pair of
 segments is a piece of work of its own. Cells emit counts of links per vector
 and a spanning forest, never their pairs.
 """
@@ -36,6 +39,8 @@ from quire.llm.simhash import local_roots
 TILE, PAIRS = 1024, 1 << 16
 #: Vectors aimed at per cell, and the bound on cells (their centres are broadcast).
 PER_CELL, MAX_CELLS = 128, 16384
+#: Cells of a vector: at least, at most, and the share of planted pairs that has to meet.
+PROBES, MOST_PROBES, MEETING = 6, 32, 0.98
 
 
 def usable(embedding: Column) -> Column:
@@ -92,6 +97,59 @@ def spread_out(centres: np.ndarray, most: float) -> np.ndarray:
     return kept
 
 
+def thinned(centres: np.ndarray, threshold: float) -> np.ndarray:
+    """``centres`` without those that one vector could link to beside one that
+    stays (the cosine of twice the angle). Should that leave less than half of
+    them, unrelated vectors are as close as that or most rows are near copies:
+    then the level is raised in steps, at most to ``threshold`` itself."""
+    for most in np.linspace(max(2 * threshold ** 2 - 1, 0.0), threshold, 5):
+        kept = spread_out(centres, most)
+        if len(kept) * 2 >= len(centres):
+            break
+    return centres[kept]
+
+
+def centred(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit directions of the centres from their mean, and the mean."""
+    mean = centres.mean(axis=0)
+    away = centres - mean
+    return away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-6), mean
+
+
+def nearest_cells(unit: np.ndarray, directions: np.ndarray, mean: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` cells of every row, in no order."""
+    out = np.empty((len(unit), probes), np.int32)
+    for at in range(0, len(unit), 256):
+        score = (unit[at:at + 256] - mean) @ directions.T
+        out[at:at + 256] = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+    return out
+
+
+def probes_needed(centres: np.ndarray, threshold: float, seed: int, trials: int = 512) -> int:
+    """The least number of cells by which MEETING of planted pairs share one:
+    at most ``trials`` centres (their own cells don't count) and a partner of
+    each at the threshold, away in the direction of another centre."""
+    directions, mean = centred(centres)
+    rng = np.random.default_rng(seed)
+    own = rng.permutation(len(centres))[:trials]
+    unit = centres[own]
+    away = centres[rng.integers(0, len(centres), len(own))] - mean
+    away -= np.einsum("ij,ij->i", away, unit)[:, None] * unit
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-6)
+    most = min(MOST_PROBES, len(centres) - 1)
+    order = []
+    for rows in (unit, threshold * unit + np.sqrt(1 - threshold ** 2) * away):
+        score = (rows - mean) @ directions.T
+        score[np.arange(len(own)), own] = -np.inf
+        best = np.argpartition(-score, max(most - 1, 0), axis=1)[:, :most]
+        order.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1), axis=1))
+    for probes in range(min(PROBES, most), most):
+        met = (order[0][:, :probes, None] == order[1][:, None, :probes]).any(axis=(1, 2))
+        if met.mean() >= MEETING:
+            return max(probes, PROBES)
+    return max(most, PROBES)
+
+
 class Cell:
     """Rows of one tile of a cell."""
 
@@ -136,15 +194,16 @@ class Cell:
         return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (a[:0], b[:0])
 
 
-def embedding_links(vectors: DataFrame, dim: int, *, threshold: float = 0.9, probes: int = 6, confidence: float = 4.0,
-                    max_cells: int = MAX_CELLS, seed: int = 42) -> DataFrame:
+def embedding_links(vectors: DataFrame, dim: int, *, threshold: float = 0.9, probes: int | None = None,
+                    confidence: float = 4.0, max_cells: int = MAX_CELLS, seed: int = 42) -> DataFrame:
     """(node, other, links) from (node, times, embedding): rows with a null
     ``other`` add to a node's number of links (times of the others), the rest
     are a spanning forest of the links.
 
     Centres are at most ``max_cells`` vectors, those with the smallest hashes:
     one for about PER_CELL vectors, but no two so close that one vector could
-    link to both. Every vector is put into cells.
+    link to both. Every vector is put into ``probes`` cells, by default as many
+    as ``probes_needed`` finds.
     """
     spark = vectors.sparkSession
     wanted = int(min(max_cells, max(1, vectors.count() // PER_CELL)))
@@ -153,20 +212,17 @@ def embedding_links(vectors: DataFrame, dim: int, *, threshold: float = 0.9, pro
     if not len(drawn):
         return spark.createDataFrame([], "node long, other long, links long")
     centres = unit_rows(drawn, dim)[0].astype(np.float32)
-    centres = centres[spread_out(centres, max(2 * threshold ** 2 - 1, 0.0))]  # the cosine of twice the angle
-    shared = spark.sparkContext.broadcast((centres, rotation(dim, seed)))
-    probes = min(probes, len(centres))
+    centres = thinned(centres, threshold)
+    probes = min(probes or probes_needed(centres, threshold, seed), len(centres))
+    shared = spark.sparkContext.broadcast((*centred(centres), rotation(dim, seed)))
 
     @F.arrow_udf("struct<code:binary,factor:float,cells:array<int>>")
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        centre, turn = shared.value
+        directions, mean, turn = shared.value
         for lists in batches:
             unit = unit_rows(lists, dim)[0].astype(np.float32)
             code, factor = encode(unit @ turn.T)
-            cells = np.empty((len(unit), probes), np.int32)
-            for at in range(0, len(unit), 256):
-                score = unit[at:at + 256] @ centre.T
-                cells[at:at + 256] = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+            cells = nearest_cells(unit, directions, mean, probes)
             offsets = np.arange(len(unit) + 1, dtype=np.int32)
             yield pa.StructArray.from_arrays(
                 [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor),
@@ -183,7 +239,7 @@ def embedding_links(vectors: DataFrame, dim: int, *, threshold: float = 0.9, pro
                        F.col("at.code").alias("code"), F.col("at.factor").alias("factor"), F.col("at.cells").alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = shared.value[1]
+        turn = shared.value[2]
 
         def linked(part: pa.Table) -> pa.RecordBatch:
             part = part.combine_chunks()

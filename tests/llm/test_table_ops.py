@@ -318,6 +318,56 @@ def test_centres_that_stay_are_apart_and_cover_the_others():
     assert (cosines[kept] >= .62).sum() == len(kept) and (cosines >= .62).any(axis=1).all()
 
 
+def common_direction(rng, n, dim, mean_cosine):
+    x = rng.standard_normal((n, dim))
+    x *= np.sqrt(1 - mean_cosine) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += np.sqrt(mean_cosine)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize(("dim", "mean_cosine"), [(64, 0.0), (128, 0.5), (128, 0.7), (128, 0.8)])
+def test_cells_hold_on_vectors_with_a_common_direction(dim, mean_cosine):
+    rng = np.random.default_rng(6)
+    x = common_direction(rng, 100_000, dim, mean_cosine)
+    centres = embeddings.thinned(x[:781], .9)
+    assert len(centres) > 390
+    probes = embeddings.probes_needed(centres, .9, 42)
+    cells = embeddings.nearest_cells(x, *embeddings.centred(centres), probes)
+    assert np.bincount(cells.ravel()).max() < .05 * len(x)
+    # pairs at the threshold meet, though no centre was drawn for them
+    u = x[-4000:].astype(float)
+    z = rng.standard_normal(u.shape)
+    z -= (z * u).sum(1, keepdims=True) * u
+    v = .9 * u + np.sqrt(.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    other = embeddings.nearest_cells(v.astype(np.float32), *embeddings.centred(centres), probes)
+    assert (cells[-4000:, :, None] == other[:, None, :]).any(axis=(1, 2)).mean() > .95
+
+
+def test_links_of_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(7)
+    x = common_direction(rng, 6000, 64, .7)
+    z = rng.standard_normal((1000, 64))
+    z -= (z * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cos = rng.uniform(.9, .97, (1000, 1))
+    vectors = np.concatenate([x, cos * x[:1000] + np.sqrt(1 - cos**2) * z]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(8)
+    found = np.zeros(len(vectors), int)
+    for r in embeddings.embedding_near_duplicates(df).collect():
+        found[r["id"]] = r["n_links"]
+    unit = vectors.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = (unit @ unit.T >= .9).sum(1) - 1
+    assert (found <= true).all() and found.sum() / true.sum() > .97
+
+
+def test_probes_of_few_centres():
+    one = np.eye(1, 8, dtype=np.float32)
+    assert len(embeddings.thinned(np.repeat(one, 5, axis=0), .9)) == 1
+    assert embeddings.probes_needed(one, .9, 1) == embeddings.PROBES
+    assert embeddings.probes_needed(np.eye(3, 8, dtype=np.float32), .9, 1) == embeddings.PROBES
+
+
 def test_code_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     v = rng.standard_normal((400, 64))
