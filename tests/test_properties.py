@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF001, SF01
 from quire.functions._ship import ship_by_value
 from quire.functions.embed import EmbeddingStore, HashingEmbedder, PiecewiseEmbedder, embed_column
+from quire.operators import quantise as PQ
 from quire.operators import search as S
 from quire.operators import vector as V
 from quire.operators.mapping import join_sources
@@ -250,6 +251,41 @@ def test_stored_cells_equal_exact_when_all_are_probed_and_recall_is_high(spark):
     assert "PartitionFilters" in _plan(index.cells(spark).where("cell = 1"))
 
 
+@pytest.mark.parametrize("dim", [24, 10])
+def test_coded_cells_rank_like_the_exact_search(spark, dim):
+    rng = np.random.default_rng(3)
+    vectors = [v.tolist() for v in rng.standard_normal((2000, dim))] + [[0.0] * dim, None, [1.0]]
+    docs = spark.createDataFrame([(f"d{i:05d}", v) for i, v in enumerate(vectors)], "id string, vec array<double>")
+    qs = docs.where("id < 'd00080' or id > 'd01998'").select(F.col("id").alias("query_id"), "vec")
+    ivf = V.ivf_build(docs, dim, shared_path(spark, "t", "ivf"), n_cells=12)
+    index = PQ.pq_build(ivf, spark, shared_path(spark, "t", "pq"), parts=8)
+    assert index.codes(spark).count() == 2000 and index.codes(spark).where(F.length("code") == 8).count() == 2000
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score").collect()))
+    for own in (False, True):
+        exact = V.knn_exact(docs, qs, 10, dim, exclude_self=own)
+        assert rows(PQ.pq_search(index, qs, 10, 12, 2000, exclude_self=own)) == rows(exact)
+        recall = [r["recall"] for r in V.recall_at_k(PQ.pq_search(index, qs, 10, 12, 100, exclude_self=own), exact).collect()]
+        assert len(recall) == 81 and sum(recall) / len(recall) >= .95
+
+
+def test_codes_of_few_and_of_no_documents(spark):
+    docs = spark.createDataFrame([(f"d{i}", [float(i % 3), 1.0]) for i in range(9)], "id string, vec array<double>")
+    qs = docs.select(F.col("id").alias("query_id"), "vec")
+    for some in (docs, docs.limit(0)):
+        ivf = V.ivf_build(some, 2, shared_path(spark, "t", "ivf"))
+        index = PQ.pq_build(ivf, spark, shared_path(spark, "t", "pq"))
+        got = PQ.pq_search(index, qs, 3, len(ivf.centres), 9).select("query_id", "id", "rank")
+        assert sorted(got.collect()) == sorted(V.knn_exact(some, qs, 3, 2).select("query_id", "id", "rank").collect())
+
+
+@pytest.mark.parametrize(("name", "queries"), [("knn_pq_recall", 500), ("related_pq_recall", 477)])
+def test_registered_coded_searches_score_at_most_a_quarter(spark, name, queries):
+    import __spark_entry__
+    rows = __spark_entry__.queries()[name](spark, SF01).collect()
+    assert len(rows) == queries and sum(r["recall"] for r in rows) / len(rows) >= .95
+    assert max(r["exact_share"] for r in rows) <= .25
+
+
 def test_no_limit_on_duplicates_unless_asked_for(spark):
     df = spark.range(1500).unionByName(spark.range(1500)).toDF("id")
     assert duplicate_ids(df).count() == 1500
