@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import ship_by_value
 
 NO_RANK = np.int32(2**31 - 1)
-#: Longer pieces are merged one by one with a heap: a row of a matrix costs the square of its length.
+#: Longer pieces are a matrix each, as a row costs the square of its length where a round is one merge.
 LONGEST_ROW = 2048
 #: Cells of one matrix, and pieces that a task remembers; work sizes only.
 MATRIX_CELLS = 1 << 20
@@ -149,7 +148,7 @@ class Encoder:
         tokens = np.flatnonzero(whole >= 0)
         found = [(tokens, whole[tokens].astype(np.int32), np.ones(len(tokens), np.int64))]
         for i in np.flatnonzero((whole < 0) & (sizes > LONGEST_ROW)):
-            ids = self._one_by_one(pieces[i])
+            ids = self._long_row(pieces[i])
             found.append((np.array([i]), ids, np.array([len(ids)])))
         rest = np.flatnonzero((whole < 0) & (sizes <= LONGEST_ROW))
         step = np.where(sizes[rest] <= 12, 1, 1 << np.maximum(np.log2(np.maximum(sizes[rest], 1)).astype(np.int64) - 3, 0))
@@ -207,35 +206,33 @@ class Encoder:
             changed, place = np.r_[right, left], np.r_[at[right], at[left] - 1]
             ranks[changed, place] = self.pairs.ranks(ids[changed, place], ids[changed, place + 1])
 
-    def _one_by_one(self, piece: bytes) -> np.ndarray:
-        """The same merges for a very long piece: a heap of (rank, place)."""
+    def _long_row(self, piece: bytes) -> np.ndarray:
+        """A matrix of one row, for a very long piece. A round merges the pair
+        of least rank at all its places, from the left, up to the first merge
+        that brings a pair of lower rank: the merges and their order are those
+        of a merge a round."""
         ids = self.of_byte[np.frombuffer(piece, np.uint8)]
-        first = self.pairs.ranks(ids[:-1], ids[1:])
-        heap = [(r, i) for i, r in enumerate(first.tolist()) if r != NO_RANK]
-        heapify(heap)
-        rank_at, ids = first.tolist() + [int(NO_RANK)], ids.tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        size = len(ids)
-
-        def renew(i: int) -> None:
-            j = after[i]
-            rank_at[i] = int(self.pairs.ranks(np.array([ids[i]]), np.array([ids[j]]))[0]) if j < size else int(NO_RANK)
-            if rank_at[i] != NO_RANK:
-                heappush(heap, (rank_at[i], i))
-
-        while heap:
-            rank, i = heappop(heap)
-            if ids[i] < 0 or rank_at[i] != rank:
-                continue
-            j = after[i]
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < size:
-                before[after[i]] = i
-            renew(i)
-            if before[i] >= 0:
-                renew(before[i])
-        return np.array([x for x in ids if x >= 0], np.int32)
+        ranks = np.r_[self.pairs.ranks(ids[:-1], ids[1:]), NO_RANK]  # of each id with the next one
+        while (best := ranks.min()) != NO_RANK:
+            at = np.flatnonzero(ranks == best)
+            starts = np.r_[True, np.diff(at) > 1]  # places that overlap are a run: every other one is merged
+            at = at[(at - at[starts][np.cumsum(starts) - 1]) % 2 == 0]
+            before = np.where(at > 0, ids[np.maximum(at - 1, 0)], np.int32(-1))
+            before[1:][np.diff(at) == 2] = best  # just merged itself
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], np.int32(-1))
+            merged = np.full(len(at), best, np.int32)
+            lower = np.flatnonzero((self.pairs.ranks(before, merged) < best) | (self.pairs.ranks(merged, after) < best))
+            if len(lower):
+                at = at[:lower[0] + 1]
+            ids[at] = best
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, ranks = ids[stays], ranks[stays]
+            at -= np.arange(len(at))
+            ranks[-1] = NO_RANK
+            for place in (at[at < len(ids) - 1], at[at > 0] - 1):
+                ranks[place] = self.pairs.ranks(ids[place], ids[place + 1])
+        return ids
 
 
 class Decoder:

@@ -331,12 +331,38 @@ def test_both_ways_of_merging_agree_at_the_border(vocabulary, monkeypatch):
     texts = ["".join(rng.choice("abcdeéo") for _ in range(n)) for n in (100, 2000, 2047, 2048, 2049, 2100)]
     encoder = bpe.Encoder(ranks, bpe.mergeable_pairs(ranks), pattern)
     ways = []
-    for longest in (0, 2048, 1 << 20):  # all by the heap, as it is, all by matrices
+    for longest in (0, 2048, 1 << 20):  # all in rows of their own, as it is, all in shared matrices
         monkeypatch.setattr(bpe, "LONGEST_ROW", longest)
         ways.append([x.tolist() for x in encoder.texts(texts)])
     assert ways[0] == ways[1] == ways[2]
 
 
+def test_long_rows_merge_in_order_whatever_the_ranks(monkeypatch):
+    monkeypatch.setattr(bpe, "LONGEST_ROW", 0)
+    for seed in range(40):  # ranks are dealt at random: merges often bring pairs of lower rank
+        rng = random.Random(seed)
+        tokens = {bytes([b]) for b in range(256)}
+        while len(tokens) < 256 + 60:
+            few = [t for t in tokens if len(t) > 1 or t in (b"a", b"b", b"c")]
+            tokens.add(rng.choice(few) + rng.choice(few))
+        numbers = list(range(len(tokens)))
+        rng.shuffle(numbers)
+        ranks = dict(zip(sorted(tokens), numbers, strict=True))
+        texts = ["".join(rng.choice("abc" if n % 3 else "a") for _ in range(n)) for n in (1, 2, 3, 4, 5, 9, 50, 300, 301)]
+        ids, counts = bpe.Encoder(ranks, bpe.mergeable_pairs(ranks), r"\w+").texts(texts)
+        for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            parts = [bytes([b]) for b in text.encode()]
+            if text.encode() in ranks:  # a piece that is a token is that token
+                parts = [text.encode()]
+            while True:
+                pairs = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+                if not pairs:
+                    break
+                _, i = min(pairs)
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            assert got.tolist() == [ranks[p] for p in parts]
+
+
 def test_bpe_decode_refuses_unknown_ids(vocabulary):
     with pytest.raises((ValueError, IndexError)):
         bpe.Decoder(vocabulary[2])(np.array([10**6]))
