@@ -65,27 +65,34 @@ def _ranged(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
     return rows.withColumn("range", number("hash", "tie"))
 
 
-def choose_splitters(rows: DataFrame, total: int, ranges: int, seed: int = 42) -> np.ndarray:
-    """Sampled boundaries; overfull ranges are subdivided until none is left
-    with more than one key to cut at."""
+def choose_splitters(rows: DataFrame, total: int, ranges: int, seed: int = 42, whole: float = 0.0) -> tuple[np.ndarray, list[int]]:
+    """Sampled boundaries, and the hashes that they may cut. Overfull ranges
+    are subdivided until none is left with a key to cut at. Boundaries lie
+    between texts; only a text whose copies have more bytes than a range, and
+    more than ``whole``, is cut inside: at most as many texts as ranges."""
     mean = max(total / ranges, 1.0)
+    between = -(2**63)
     splitters = quantile_splitters(_sampled(rows, mean / OVERSAMPLE, seed), ranges)[["hash", "tie"]].copy()
-    splitters["tie"] = -(2**63)  # at first between texts, so that ranges hold all copies of a text
-    splitters = np.unique(splitters)
-    for attempt in range(1, 9):
+    splitters["tie"] = between
+    splitters, heavy, attempt = np.unique(splitters), np.empty(0, np.int64), 0
+    while True:
+        attempt += 1
         sizes = _ranged(rows, splitters).groupBy("range").agg(F.sum("size").alias("bytes"))
         over = [(r["range"], r["bytes"]) for r in sizes.where(F.col("bytes") > 2 * mean).collect()]
         if not over:
             break
         inside = _ranged(rows, splitters).where(F.col("range").isin([r for r, _ in over]))
+        many = inside.groupBy("hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > max(mean, whole))
+        heavy = np.union1d(heavy, many.select("hash").toArrow()["hash"].to_numpy())
         sample = _sampled(inside, mean / OVERSAMPLE, seed + attempt)
         at = range_numbers(sample["hash"], sample["tie"], splitters["hash"].copy(), splitters["tie"].copy())
-        more = [quantile_splitters(sample[at == r], int(np.ceil(size / mean)) + 1)[["hash", "tie"]] for r, size in over]
-        wider = np.unique(np.concatenate([splitters, *more]))
+        more = np.concatenate([quantile_splitters(sample[at == r], int(np.ceil(size / mean)) + 1)[["hash", "tie"]] for r, size in over])
+        more["tie"][~np.isin(more["hash"], heavy)] = between
+        wider = np.unique(np.concatenate([splitters, more]))
         if len(wider) == len(splitters):
             break
         splitters = wider
-    return splitters
+    return splitters, heavy.tolist()
 
 
 def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 16,
@@ -106,7 +113,8 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut_lineage(rows, "shard_keys")
     count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(shards * RANGES_PER_SHARD, -(-count // ROWS_PER_RANGE))
-    splitters = choose_splitters(rows, total, ranges, seed)
+    share = max(total / shards, 1.0)
+    splitters, heavy = choose_splitters(rows, total, ranges, seed, together * share)
     ranged = cut_lineage(_ranged(rows, splitters), "shard_ranges")
 
     # one row per range, as many as there are splitters
@@ -120,8 +128,7 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.withColumn("before", F.sum("size").over(in_order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("group_bytes", F.sum("size").over(copies)).withColumn("group_before", F.min("before").over(copies))
     placed = placed.join(starts, "range")
-    share = max(total / shards, 1.0)
-    middle = F.when(F.col("group_bytes") <= together * share, F.col("group_before") + F.col("group_bytes") / 2).otherwise(
+    middle = F.when((F.col("group_bytes") <= together * share) & ~F.col("hash").isin(heavy), F.col("group_before") + F.col("group_bytes") / 2).otherwise(
         F.col("before") + F.col("size") / 2)
     shard = F.least(F.floor((F.col("bytes_before") + middle) / share), F.lit(shards - 1)).cast("int")
     placed = placed.select("id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("number") - 1).alias("place"))

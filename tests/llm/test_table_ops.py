@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import embeddings, quality, sharding, warc
@@ -74,6 +75,29 @@ def test_copies_stay_together_unless_they_are_many(spark):
     assert all(len(h) == 1 for h in homes.values())
 
 
+def test_placement_equals_a_plain_one_and_small_groups_beside_a_hot_text_stay_whole(spark):
+    rng = random.Random(3)
+    rows = [(i, "hot text " * 30 if i % 3 == 0 else f"text {rng.randrange(700)} " * 4 if i % 3 == 1 else "w" * rng.randrange(400)) for i in range(9000)]
+    rows += [(20_000 + i, "second hot text " * 20) for i in range(1500)] + [(None, "t"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["id"]), r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_by_bytes(df.repartition(7), shards=16).collect())
+    keyed = sorted((xxhash.xxh64_intdigest((t or "").encode(), 42), -(2**63) if i is None else i, len((t or "").encode()) + 1, i, t or "") for i, t in rows)
+    keyed.sort(key=lambda r: (r[0] - (1 << 64) if r[0] >> 63 else r[0], *r[1:3]))
+    share, before, groups = sum(r[2] for r in keyed) / 16, 0, {}
+    for r in keyed:
+        groups.setdefault(r[0], [before, 0])[1] += r[2]
+        before += r[2]
+    want, before, slots = [], 0, {}
+    for h, _, size, i, t in keyed:
+        start, whole = groups[h]
+        middle = start + whole / 2 if whole <= .02 * share else before + size / 2
+        shard = min(int(middle // share), 15)
+        want.append((str(i), zlib.crc32(t.encode()), shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        before += size
+    assert got == sorted(want)
+
+
 def test_shards_of_odd_rows(spark):
     rows = [(1, None, 0), (1, None, 0), (None, "", 0), (3, "é" * 10, 0), (4, "z" * 100_000, 0), (5, "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
