@@ -41,6 +41,23 @@ def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, weight:
                            "__mix_key": exponential_key(F.col(id_col), weight, seed)})
 
 
+def with_sums_before(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with, for each name and column of ``sums``, the sum of the column
+    over all rows before in ``order``, which has no ties. Rows are ranged by
+    ``order``; a row per range, at most as many as shuffle partitions, passes
+    one task, the rows themselves don't."""
+    n = shuffle_partitions(df.sparkSession)
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "mix_order")
+    totals = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__{name}") for name, c in sums.items()])
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", *[F.sum(f"__{name}").over(earlier).alias(f"__{name}") for name in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    both = ranged.join(F.broadcast(starts), "__range")
+    zero = F.lit(0)
+    before = {name: F.coalesce(F.col(f"__{name}"), zero) + F.coalesce(F.sum(c).over(inside), zero) for name, c in sums.items()}
+    return both.withColumns(before).drop("__range", *[f"__{name}" for name in sums])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_times: int) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
@@ -48,19 +65,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_times: int) -
     the sum of all sizes; a target stops at ``max_times`` its source's size
     and the excess is shared again by weight. That is a common level per unit
     of weight: with sources in the order of the level at which they fill up,
-    it is the largest of (what is left) / (weight that is left). The table has
-    one row per source, so its windows need no partitioning.
+    it is the largest of (what is left) / (weight that is left).
     """
-    everything = Window.partitionBy(F.lit(0))
-    named = sizes.withColumn("place", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())))
-    weigh = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1)
-    named = named.withColumn("weight", weigh).withColumn("cap", F.col("source_size") * max_times)
-    before = everything.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = F.max("level").over(everything)
-    return (named.withColumn("level", left / weight_left).withColumn("level", level)
-            .select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target")))
+    named = with_sums_before(sizes.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"place": "one"})
+    weigh = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    named = named.withColumn("weight", weigh).withColumn("cap", F.col("source_size") * max_times).withColumn("full", F.col("cap") / F.col("weight"))
+    filled = cut_lineage(with_sums_before(named, [F.col("full"), F.col("place")], {"caps": "cap", "weights": "weight"}), "mix_levels")
+    total, weight = filled.agg(F.sum("source_size"), F.sum("weight")).first()  # two numbers
+    level = filled.agg(F.max((F.lit(total or 0) - F.col("caps")) / (F.lit(weight or 1.0) - F.col("weights")))).first()[0]
+    return filled.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level or 0.0) * F.col("weight")).alias("target"))
 
 
 def mix_plan(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_times: int = 3) -> DataFrame:
@@ -72,13 +85,12 @@ def mix_plan(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_times: i
     ranged = slim.repartitionByRange(shuffle_partitions(spark), "source", "__mix_key", "__mix_id").withColumn("part", F.spark_partition_id())
     ranged = cut_lineage(ranged, "mix_ranges")
     sums = ranged.groupBy("part", "source").agg(F.sum("__mix_size").alias("words"))
-    # a row per range and source, later a row per source: one file each
-    sums = cut_lineage(sums.coalesce(1), "mix_sums")
+    sums = cut_lineage(sums, "mix_sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_times)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn(
         "rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    targets = cut_lineage(targets.coalesce(1), "mix_targets")
+    targets = cut_lineage(targets, "mix_targets")
 
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
@@ -93,7 +105,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_times: i
     cuts = peers.groupBy("source").agg(F.min(F.struct("row", "upto", "peers", "rest")).alias("at"))
     missing = F.col("at.rest") - (F.col("at.upto") - F.col("at.peers") * F.col("at.row.size"))
     cuts = cuts.select("source", F.col("at.row").alias("cut"), F.floor(missing / F.col("at.peers")).cast("long").alias("cut_words"))
-    return cut_lineage(null_safe_join(targets, cuts, ["source"], "left").coalesce(1), "mix_plan")
+    return cut_lineage(null_safe_join(targets, cuts, ["source"], "left"), "mix_plan")
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quire.llm import embeddings, quality, sharding, warc
 from quire.llm.common import apply_llm_conf, shared_path, word_count
 from quire.llm.components import connected_components
-from quire.llm.mixing import mix_sources, mixed_copies
+from quire.llm.mixing import mix_sources, mixed_copies, source_targets
 from quire.llm.urls import judge_urls
 
 SF01 = "/root/testdata/sf0.01"
@@ -152,6 +152,16 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, mixed)) == sorted(map(str, again))
 
 
+def test_targets_of_many_sources_equal_plain_ones(spark):
+    rng = random.Random(5)
+    sizes = {None if k == 0 else f"s{k:04d}": rng.choice([0, 0, 1, 5, 100, 10_000, 1_000_000]) for k in range(700)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: (r["source_size"], r["target"]) for r in source_targets(df, (5, 2, 1), 3).collect()}
+    want = naive_targets(sizes)
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert all(math.isclose(got[s][1], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in sizes)
+
+
 def test_better_documents_are_preferred(spark):
     rows = [(i, "big" if i < 2000 else "a-small", "w w w w w") for i in range(2400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
