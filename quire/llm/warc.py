@@ -275,15 +275,30 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     packed.write.option("maxRecordsPerFile", 1).option("lineSep", LINE_END.decode()).option("compression", "none").text(path)
 
 
-def read_archives(spark: SparkSession, path: str, *, keys: frozenset[str] | None = None, by_range: bool = False) -> DataFrame:
+def opens_by_range(spark: SparkSession, path: str) -> bool:
+    """Whether pyarrow opens the store of ``path`` and finds it there."""
+    from pyarrow import fs
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    try:
+        store, place = fs.FileSystem.from_uri(uri)
+        return store.get_file_info(place).type != fs.FileType.NotFound
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def read_archives(spark: SparkSession, path: str, *, keys: frozenset[str] | None = None, by_range: bool | None = None) -> DataFrame:
     """(key, record_type, payload_bytes, payload_digest, refers_to, url,
     payload) of the records in a folder's archives.
 
     payload is null for revisits. A payload that does not have its record's
-    digest raises. ``by_range`` opens archives where they are and reads ranges
-    only (a store that pyarrow can open); else Spark reads their content,
-    which works in every store. No archives: no rows.
+    digest raises. Archives are opened where they are and only ranges of them
+    are read (``by_range``; by default wherever pyarrow opens the store); in
+    other stores Spark reads their content. No archives: no rows.
     """
+    if by_range is None:
+        by_range = opens_by_range(spark, path)
     files = spark.read.format("binaryFile").load(path)
     files = files.select("path", F.lit(None).cast("binary").alias("content") if by_range else "content")
 

@@ -425,7 +425,8 @@ def test_archives_round_trip_odd_pages(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string").repartition(3)
     path = shared_path(spark, "test_warc")
     warc.write_archives(df, path, archive_bytes=200)
-    for by_range in (False, True):
+    assert warc.opens_by_range(spark, path) and not warc.opens_by_range(spark, path + "-none")
+    for by_range in (False, True, None):
         got = warc.read_archives(spark, path, by_range=by_range).collect()
         want = []
         for i, _, h in rows:
