@@ -195,6 +195,29 @@ def test_ordinal_gradient_and_order():
     assert ((tails >= .5).sum(axis=1) == grade).mean() > .9
 
 
+def test_fitted_model_is_the_optimum_of_a_plain_likelihood():
+    rng = np.random.default_rng(1)
+    n, dim, ridge = 300, 6, 1e-2
+    feature, row, value = rng.integers(0, dim, 4 * n), np.repeat(np.arange(n), 4), rng.uniform(.1, 1, 4 * n)
+    grade = rng.integers(0, 4, n)
+    model = quality.fit_ordinal(row, feature, value, grade, grades=4, dim=dim, ridge=ridge)
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for i in range(n):
+            score = sum(value[j] * weights[feature[j]] for j in range(4 * i, 4 * i + 4))
+            tails = [1.0, *(1 / (1 + math.exp(t - score)) for t in thresholds), 0.0]
+            total -= math.log(tails[grade[i]] - tails[grade[i] + 1])
+        return total / n + ridge / 2 * sum(w * w for w in weights)
+
+    step = 1e-4
+    for at in range(dim + 3):  # central differences vanish at the optimum
+        up, down = np.r_[model.weights, model.thresholds], np.r_[model.weights, model.thresholds]
+        up[at] += step
+        down[at] -= step
+        assert abs(loss(up[:dim], up[dim:]) - loss(down[:dim], down[dim:])) / (2 * step) < 1e-3
+
+
 def test_shape_of_a_word_is_that_of_all_of_it():
     assert quality.word_shape("a" * 100 + "7" * 100 + "-Ab") == "a0-Aa"
 
