@@ -17,9 +17,9 @@ between which its pairs get lost. Where unrelated vectors are that close too,
 for they share a common direction, only closer centres are thinned. The mean of
 the centres that stay is taken off before cells are chosen, and the number of
 cells of a vector follows from a trial: planted pairs at the threshold have to
-meet. Equal vectors count as one with a multiplicity. A cell above ``TILE`` rows is cut into segments, and every pair of
-segments is a piece of work of its own. Cells emit counts of links per vector
-and a spanning forest, never their pairs.
+meet. Equal vectors count as one with a multiplicity. A cell above ``TILE`` rows
+is cut into segments, and every pair of segments is a piece of work of its own.
+Cells emit counts of links per vector and a spanning forest, never their pairs.
 """
 
 from __future__ import annotations
