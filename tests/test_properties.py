@@ -445,3 +445,22 @@ def test_long_texts_are_embedded_in_pieces():
     out = PiecewiseEmbedder(inner, 10)(["a b c d e f g h i j k", "short", ""])
     assert max(map(len, seen)) <= 10 and "".join(seen) == "a b c d e f g h i j kshort"
     assert out.shape == (3, 8) and abs(np.linalg.norm(out[0]) - 1) < 1e-6
+
+
+def test_queries_meet_a_block_of_codes_once_and_in_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(f"d{i:04d}", v.tolist()) for i, v in enumerate(rng.standard_normal((600, 8)))], "id string, vec array<double>")
+    qs = docs.select(F.col("id").alias("query_id"), "vec")
+    ivf = V.ivf_build(docs, 8, shared_path(spark, "t", "ivf"), n_cells=30)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 100)
+    places = V.blocks_of(ivf.cells(spark), 150)
+    assert len({f for f, _ in places.values()}) <= 8  # not a block per cell
+    d, q = V.dealt(ivf.cells(spark), qs, V._probes(qs, "query_id", ivf.centres, 30, places), places)
+    groups = q.groupBy("block", "qb").count().collect()
+    assert max(r["count"] for r in groups) < 200 and d.groupBy("block", "qb").count().agg(F.max("count")).first()[0] <= 200
+    assert q.count() == 600 * len({r["block"] for r in groups})
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "rank").collect()))
+    monkeypatch.setattr(V, "DOC_BLOCK", 40)
+    assert rows(V.ivf_search(ivf, qs, 5, nprobe=30)) == rows(V.knn_exact(docs, qs, 5, 8))
+    few = V.ivf_search(ivf, qs, 5, nprobe=4)
+    assert .5 < few.join(V.knn_exact(docs, qs, 5, 8), ["query_id", "id"]).count() / 3000 < 1
