@@ -464,3 +464,19 @@ def test_queries_meet_a_block_of_codes_once_and_in_bounded_groups(spark, monkeyp
     assert rows(V.ivf_search(ivf, qs, 5, nprobe=30)) == rows(V.knn_exact(docs, qs, 5, 8))
     few = V.ivf_search(ivf, qs, 5, nprobe=4)
     assert .5 < few.join(V.knn_exact(docs, qs, 5, 8), ["query_id", "id"]).count() / 3000 < 1
+
+
+def test_postings_are_computed_stored_and_extended_where_their_document_is(spark):
+    from quire.operators.index import build_index, by_document, number_documents
+    from quire.plans.catalog_search import with_english
+    p = papers(spark, SF001)
+    dealt, buckets = by_document(number_documents(p))
+    plan = _plan(build_index(dealt, buckets=buckets).postings)
+    assert plan.count("Exchange hashpartitioning(doc") == 1 == plan.count("Exchange hashpartitioning")  # texts move once, postings never
+    idx, plain = paper_index(p), with_english(build_index(p, extra={"authors": F.transform("authors", lambda a: a["name"])}))
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    assert rows(idx.postings, "field", "term", "id", "tf", "dl") == rows(plain.postings, "field", "term", "id", "tf", "dl") != []
+    assert rows(idx.term_stats, "field", "term", "df") == rows(plain.term_stats, "field", "term", "df")
+    assert rows(idx.english, "term", "eterm") == rows(plain.english, "term", "eterm")
+    stats = lambda i: {(r["field"], r["n_docs"], round(r["avgdl"], 9)) for r in i.field_stats.collect()}
+    assert stats(idx) == stats(plain)
