@@ -61,6 +61,8 @@ def _frag_batch(text: pd.Series, terms: pd.Series, size: pd.Series, n: pd.Series
 def highlight(page: DataFrame, papers: DataFrame, requests: DataFrame, index: TextIndex, spec: S.TextQuery,
               fields: dict[str, tuple[int, int]] = HIGHLIGHT_FIELDS) -> DataFrame:
     """page(query_id, id, rank) -> (query_id, id, rank, field, fragments)."""
+    # the terms and the rows both read the page: it is ranked once, not for each
+    page = cut_lineage(page.select("query_id", "id", "rank"), "highlight_page")
     exp = S.expansions(requests.join(page.select("query_id").distinct(), "query_id", "left_semi"), index, spec)
     exp = cut_lineage(exp.select("query_id", "field", "term"), "highlight_terms")
     words = exp.where(F.col("field").isin(list(fields)))
@@ -69,7 +71,7 @@ def highlight(page: DataFrame, papers: DataFrame, requests: DataFrame, index: Te
         words = words.unionByName(stems.join(index.english, "eterm").select("query_id", "field", "term"))
     terms = words.groupBy("query_id", "field").agg(F.collect_set("term").alias("terms"))
     # the page meets the papers once; then a row per field that the page asks for
-    rows = page.select("query_id", "id", "rank").join(papers.select("id", *fields), "id")
+    rows = page.join(papers.select("id", *fields), "id")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.lit(size).alias("size"), F.lit(n).alias("n"))
                                for f, (size, n) in fields.items()])).alias("e")
     long = rows.select("query_id", "id", "rank", each).select("query_id", "id", "rank", "e.*").join(terms, ["query_id", "field"], "left")
