@@ -30,14 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import _Numbers, spread
 from quire.llm.common import ship_by_value
 
-#: Words and token pairs that a task remembers; work sizes only.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 2_000_000
+#: Words and token pairs that a task remembers, and characters that it encodes
+#: at once; work sizes only, which bound what a Python worker holds.
+REMEMBERED_WORDS, REMEMBERED_PAIRS, SLICE_CHARS = 200_000, 400_000, 1_000_000
 
 #: The published word pattern of byte-level pre-tokenizers (fixed value).
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -191,8 +192,6 @@ class TrieEncoder:
         """Token ids of all texts, one after the other, and how many each has."""
         if len(self.numbers) > REMEMBERED_WORDS:
             self._forget()
-        if len(self.pairs) > REMEMBERED_PAIRS:
-            self.pairs = {}
         look = self.numbers.__getitem__
         cut = [np.fromiter(map(look, self._words(t)), np.int64) if t else np.empty(0, np.int64) for t in texts]
         if self.numbers.new:
@@ -229,6 +228,8 @@ class TrieEncoder:
                 differs = int.from_bytes(spelled[:n]) ^ int.from_bytes(before[:n])
                 shared = n - (differs.bit_length() + 7) // 8
             del states[shared + 1:], last[shared + 1:]
+            if len(pairs) > REMEMBERED_PAIRS:
+                pairs.clear()
             before, state, depth = spelled, states[-1], shared
             for byte in spelled[shared:]:
                 depth += 1
@@ -259,6 +260,19 @@ class TrieEncoder:
         return out
 
 
+def slices(texts: pa.Array, chars: int) -> Iterator[list[str | None]]:
+    """The texts in order, in lists that reach ``chars`` characters with their last."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text.as_py())
+        held += len(some[-1] or "")
+        if held >= chars:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 class TokenBytes:
     """Bytes of token ids, one after the other in one array."""
 
@@ -291,8 +305,8 @@ def trie_encode(df: DataFrame, text_col: str, vocab_file: str, *, ids_col: str =
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = TrieEncoder(*shared.value)
-        for texts in batches:
-            ids, counts = encoder.encode(texts.to_pylist())
+        for texts in (some for batch in batches for some in slices(batch, SLICE_CHARS)):
+            ids, counts = encoder.encode(texts)
             yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
 
     return df.withColumn(ids_col, encode(F.col(text_col)))
@@ -301,36 +315,43 @@ def trie_encode(df: DataFrame, text_col: str, vocab_file: str, *, ids_col: str =
 def trie_decode(df: DataFrame, ids_col: str, vocab_file: str, *, text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids in ``text_col``; bytes that aren't UTF-8
     become U+FFFD. Null ids: the empty text. An unknown id raises."""
+    return df.withColumn(text_col, _decoded(df, ids_col, vocab_file))
+
+
+def _decoded(df: DataFrame, ids_col: str, vocab_file: str) -> Column:
     with open(vocab_file, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(TokenBytes(Vocabulary(f.read()).bytes_of))
 
     @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def decode(batch: pa.Array) -> pa.Array:
         spelled, none = shared.value, np.empty(0, np.int64)
-        for batch in batches:
-            yield pa.array([spelled(row.values.to_numpy() if row.is_valid else none).decode("utf-8", "replace") for row in batch], pa.string())
+        return pa.array([spelled(row.values.to_numpy() if row.is_valid else none).decode("utf-8", "replace") for row in batch], pa.string())
 
-    return df.withColumn(text_col, decode(F.col(ids_col)))
+    return decode(F.col(ids_col))
 
 
 def ids_as_bytes(df: DataFrame, ids_col: str, *, bytes_col: str) -> DataFrame:
     """``df`` with the ids as little-endian 32-bit integers; null ids: empty."""
+    return df.withColumn(bytes_col, _packed(ids_col))
+
+
+def _packed(ids_col: str) -> Column:
 
     @F.arrow_udf("binary")
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([row.values.to_numpy().astype("<i4").tobytes() if row.is_valid else b"" for row in batch], pa.binary())
+    def packed(batch: pa.Array) -> pa.Array:
+        return pa.array([row.values.to_numpy().astype("<i4").tobytes() if row.is_valid else b"" for row in batch], pa.binary())
 
-    return df.withColumn(bytes_col, packed(F.col(ids_col)))
+    return packed(F.col(ids_col))
 
 
 def trie_round_trip(df: DataFrame, id_col: str, text_col: str, vocab_file: str) -> DataFrame:
     """(id, ids, n_tokens, ids_bytes, decoded): whole texts encoded, and the
-    ids decoded again. Other columns are not read."""
+    ids decoded again. Other columns are not read. One Python worker of a task
+    encodes, one packs and decodes."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     encoded = trie_encode(src, "text", vocab_file).drop("text")
-    packed = ids_as_bytes(encoded, "ids", bytes_col="ids_bytes")
-    return trie_decode(packed, "ids", vocab_file).withColumn("n_tokens", F.size("ids").cast("long"))
+    return encoded.select("id", "ids", _packed("ids").alias("ids_bytes"), _decoded(encoded, "ids", vocab_file).alias("decoded"),
+                          F.size("ids").cast("long").alias("n_tokens"))
 
 
 ship_by_value(__name__)

@@ -103,3 +103,27 @@ def test_other_kinds_of_files_are_refused():
     with pytest.raises(ValueError):
         with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
             Vocabulary(f.read())
+
+
+def test_a_round_trip_takes_two_python_workers_and_slices_lose_no_row(spark, theirs, monkeypatch):
+    import quire.llm.trie_bpe as TB
+    apply_llm_conf(spark)
+    rows = [(i, None if i % 7 == 0 else f"row {i} " * (i % 40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(TB, "SLICE_CHARS", 500)
+    found = TB.trie_round_trip(df, "doc_id", "text", PATH)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    got = {r["id"]: r for r in found.collect()}
+    assert len(got) == 300
+    for i, text in rows:
+        assert got[i]["ids"] == theirs.encode(text or "", add_special_tokens=False).ids and got[i]["decoded"] == (text or "")
+        assert len(got[i]["ids_bytes"]) == 4 * got[i]["n_tokens"]
+
+
+def test_a_task_remembers_a_bounded_number_of_pairs(ours, theirs, monkeypatch):
+    import quire.llm.trie_bpe as TB
+    monkeypatch.setattr(TB, "REMEMBERED_PAIRS", 50)
+    rnd = random.Random(7)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(2000))]
+    same(ours, theirs, texts)
+    assert len(ours.pairs) <= 100
