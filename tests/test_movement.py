@@ -105,3 +105,57 @@ def test_best_of_a_block_are_found_by_groups_as_by_all_scores(exclude_self, monk
     want = V._block_topk(7, exclude_self)(docs, asked)
     of = lambda x: sorted(map(str, x.itertuples(index=False)))
     assert of(got) == of(want) and len(got) == 300 * 7
+
+
+def test_english_postings_are_made_where_their_document_is(spark):
+    from quire.functions.english import english_postings
+    from quire.plans.catalog_search import paper_index, papers
+    idx = paper_index(papers(spark, SF001))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(english_postings(idx.postings))
+        assert "Exchange" not in plan and "Join" not in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_papers_neither_store_nor_move_the_text_that_repeats_others(spark):
+    from quire.operators.index import by_document, number_documents
+    from quire.operators.mapping import CONTENT_COLUMNS, contextual_content
+    from quire.plans.common import papers, papers_and_rejects
+    from quire.schema import PAPER_COLUMNS
+    p = papers(spark, SF001)
+    assert "contextualContent" not in spark.read.parquet(p._snapshot_key[-1]).columns and p.columns == PAPER_COLUMNS
+    assert papers_and_rejects(spark, SF001)[0].select("id", "contextualContent").exceptAll(p.select("id", "contextualContent")).isEmpty()
+    dealt, _ = by_document(number_documents(p), derived={"contextualContent": contextual_content(*map(F.col, CONTENT_COLUMNS))})
+    plan = _plan(dealt.select("doc", "contextualContent"))
+    assert "concat_ws" in plan[:plan.index("Exchange")] and "concat_ws" not in plan[plan.index("Exchange"):]
+
+
+def test_a_content_that_is_not_its_parts_is_analysed_itself(spark):
+    from quire.operators.index import build_index
+    rows = [("a", "One two", "two. THREE", "", "One two two. THREE", "J x"),  # its parts
+            ("b", "One two", "two", "one", "other words, other", None),
+            ("c", None, "  ", None, "", "J"), ("d", "x", "ΟΔΟΣ", "y", None, ""), ("e", "ΟΔΟΣ", "x", " ", "ΟΔΟΣ x", "")]
+    names = ("title", "abstract", "openSummary", "contextualContent", "journal")
+    df = spark.createDataFrame(rows, "id string, " + ", ".join(f"{n} string" for n in names))
+    want = []
+    for n in names:
+        from quire.functions.text import tokens
+        for r in df.select("id", tokens(n).alias("t")).collect():
+            want += [(n, t, r["id"], r["t"].count(t), len(r["t"])) for t in set(r["t"])]
+    idx = build_index(df)
+    got = [tuple(r) for r in idx.postings.select("field", "term", "id", "tf", "dl").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    import time
+    from quire.session import cut_lineage
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in map(str, disk.getAllFiles().toList().mkString("\n").split("\n")) if "/shuffle_" in f}
+    before, until = files(), time.time() + 20
+    out = cut_lineage(spark.range(1000).repartition(7, "id"), "t")
+    while files() - before and time.time() < until:
+        time.sleep(.5)
+    assert not files() - before and out.count() == 1000
