@@ -159,3 +159,12 @@ def test_a_stage_leaves_no_shuffle_files(spark):
     while files() - before and time.time() < until:
         time.sleep(.5)
     assert not files() - before and out.count() == 1000
+
+
+def test_merged_profile_has_every_column(spark):
+    from quire.plans.catalog import registry
+    from quire.schema import PAPER_COLUMNS
+    found = {r["column_name"]: r for r in registry()["profile_merged"](spark, SF001).collect()}
+    assert set(found) == set(PAPER_COLUMNS) and all(r["near"] for r in found.values())
+    vectors = registry()["table_profile"](spark, SF001).where("column_name = 'embeddingVector'").first()
+    assert found["embeddingVector"]["null_count"] == vectors["null_count"]
