@@ -54,16 +54,25 @@ def fragments(text: str, terms: set[str], size: int, n: int) -> list[str]:
     return out
 
 
-def _frag_batch(text: pd.Series, terms: pd.Series, size: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([fragments(t, set(ts) if ts is not None else set(), int(s), int(k)) for t, ts, s, k in zip(text, terms, size, n)])
+#: Hits of a request that are marked together.
+HITS_AT_ONCE = 100
+
+
+def _frag_batch(texts: pd.Series, terms: pd.Series, size: pd.Series, n: pd.Series) -> pd.Series:
+    out = []
+    for ts, known, s, k in zip(texts, terms, size, n):
+        known = set(known) if known is not None else set()
+        out.append([fragments(t, known, int(s), int(k)) for t in ts])
+    return pd.Series(out)
 
 
 def highlight(page: DataFrame, papers: DataFrame, requests: DataFrame, index: TextIndex, spec: S.TextQuery,
-              fields: dict[str, tuple[int, int]] = HIGHLIGHT_FIELDS) -> DataFrame:
-    """page(query_id, id, rank) -> (query_id, id, rank, field, fragments)."""
+              fields: dict[str, tuple[int, int]] = HIGHLIGHT_FIELDS, pairs: DataFrame | None = None) -> DataFrame:
+    """page(query_id, id, rank) -> (query_id, id, rank, field, fragments).
+    ``pairs``: ``fuzzy_pairs`` of the requests, if the search made them."""
     # the terms and the rows both read the page: it is ranked once, not for each
     page = cut_lineage(page.select("query_id", "id", "rank"), "highlight_page")
-    exp = S.expansions(requests.join(page.select("query_id").distinct(), "query_id", "left_semi"), index, spec)
+    exp = S.expansions(requests.join(page.select("query_id").distinct(), "query_id", "left_semi"), index, spec, pairs)
     exp = cut_lineage(exp.select("query_id", "field", "term"), "highlight_terms")
     words = exp.where(F.col("field").isin(list(fields)))
     for name in [f for f in spec.fields if f.endswith(".english")]:  # its stems mark the words that have them
@@ -74,7 +83,12 @@ def highlight(page: DataFrame, papers: DataFrame, requests: DataFrame, index: Te
     rows = page.join(papers.select("id", *fields), "id")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.lit(size).alias("size"), F.lit(n).alias("n"))
                                for f, (size, n) in fields.items()])).alias("e")
-    long = rows.select("query_id", "id", "rank", each).select("query_id", "id", "rank", "e.*").join(terms, ["query_id", "field"], "left")
-    udf = F.pandas_udf(_frag_batch, T.ArrayType(T.StringType()))
-    out = long.select("query_id", "id", "rank", "field", udf("text", "terms", "size", "n").alias("fragments"))
+    long = rows.select("query_id", "id", "rank", each).select("query_id", "id", "rank", "e.*")
+    # terms are many: they go to Python once for the hits of a request, not for each
+    some = F.floor(F.col("rank") / HITS_AT_ONCE).alias("some")
+    hits = long.groupBy("query_id", "field", "size", "n", some).agg(F.collect_list(F.struct("id", "rank", "text")).alias("hits"))
+    hits = hits.join(terms, ["query_id", "field"], "left")
+    udf = F.pandas_udf(_frag_batch, T.ArrayType(T.ArrayType(T.StringType())))
+    out = hits.select("query_id", "field", "hits", udf("hits.text", "terms", "size", "n").alias("found"))
+    out = out.select("query_id", "field", F.inline(F.arrays_zip("hits", "found"))).select("query_id", "hits.id", "hits.rank", "field", F.col("found").alias("fragments"))
     return out.where(F.size("fragments") > 0)
